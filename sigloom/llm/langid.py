@@ -80,7 +80,7 @@ def sample_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str, l
         return rows.select("lang", "text").limit(0)
     quota = max(1, settings.sample // len(counts))
     # Hashes below a bound that about twice the quota pass, so that the ranking sees few rows.
-    bounds = [(r["lang"], int(min(1.0, 2 * (quota + 20) / r["n"]) * (2**63 - 1))) for r in counts]
+    bounds = [(r["lang"], min(2**63 - 1, 2 * (quota + 20) * 2**63 // r["n"])) for r in counts]
     limits = df.sparkSession.createDataFrame(bounds, "lang string, most long")
     near = rows.join(F.broadcast(limits), "lang").filter(F.abs(F.coalesce("h", F.lit(0))) <= F.col("most"))
     return near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= quota).select("lang", "text")
