@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm.staging import rank_within, stage
-from sigloom.llm.tokens import Encoder
+from sigloom.llm.tokens import encoder
 
 PIECE = "start long, length long, crc32 long"
 
@@ -27,11 +27,11 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, room: int, id_col: str = "
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", T._parse_datatype_string(f"array<struct<{PIECE.replace(' ', ':')}>>".replace(",:", ",")))])
 
     def run(batches):
-        encoder, end = Encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path).encode, end_id.to_bytes(4, "little")
         for batch in batches:
             counts, pieces = [], []
             for text in batch.column(1):
-                ids = encoder.encode((text.as_py() or b"").decode("utf-8", "replace")) + end
+                ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + end
                 view, n = memoryview(ids), len(ids) // 4
                 counts.append(n)
                 pieces.append([{"start": s, "length": k, "crc32": zlib.crc32(view[4 * s : 4 * (s + k)])} for s, k in cut_pieces(n, room)])

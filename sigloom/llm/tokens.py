@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 # The bytes that a byte-level vocabulary writes as themselves; the others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,3 +65,9 @@ class Encoder:
         else:
             words = text.split(" ")
         return self.words._ids(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: a Python worker keeps it, and the ids of frequent words, from task to task."""
+    return Encoder(path)
