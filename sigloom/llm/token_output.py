@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigloom.llm.packing import cut_pieces
 from sigloom.llm.staging import shared_dir, stage
-from sigloom.llm.tokens import Encoder
+from sigloom.llm.tokens import encoder
 
 ROUNDS = 6
 END = b"\n"
+MOST_TASKS = 10_000
 
 
 def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -38,21 +42,45 @@ def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def encode_sequences(df: DataFrame, tokenizer_path: str, room: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """(id, ``start``, ``length``, ``ids``): the pieces of every row's ids, 2 bytes each, not padded."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    """(``ids``, ``pieces``): texts' ids, each text's with ``end_id`` after them, end to end in sequences of ``room`` ids of two bytes.
+
+    Only the last sequence of an input partition is shorter. ``pieces``: what a sequence holds, as (id, start in the
+    document, length, offset in the sequence, crc32 of the bytes).
+    """
+    kind = df.schema[id_col].dataType
+    fields = [("id", kind), ("start", T.LongType()), ("length", T.LongType()), ("offset", T.LongType()), ("crc32", T.LongType())]
+    schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields])))])
 
     def run(batches):
-        encoder = Encoder(tokenizer_path)
-        if encoder.tokenizer.get_vocab_size() > 1 << 16:
+        own, end = encoder(tokenizer_path), end_id.to_bytes(2, "little")
+        if own.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in two bytes")
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                rows = []
-                for doc, text in zip(batch.column(0)[k : k + 256].to_pylist(), batch.column(1)[k : k + 256], strict=True):
-                    ids = np.frombuffer(encoder.encode((text.as_py() or b"").decode("utf-8", "replace")), "<u4").astype("<u2").tobytes() + end_id.to_bytes(2, "little")
-                    rows += [(doc, s, n, ids[2 * s : 2 * (s + n)]) for s, n in cut_pieces(len(ids) // 2, room)]
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary()), strict=True)], ["id", "start", "length", "ids"])
+        target = to_arrow_schema(schema)
+        open_, pieces, rows = bytearray(), [], []
+
+        def batch():
+            ids, held = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(held, target.field(1).type)], schema=target)
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = np.frombuffer(own.encode((text.as_py() or b"").decode("utf-8", "replace")), "<u4").astype("<u2").tobytes() + end
+                at = 0
+                while at < len(ids):
+                    part = ids[at : at + 2 * room - len(open_)]
+                    pieces.append({"id": doc, "start": at // 2, "length": len(part) // 2, "offset": len(open_) // 2, "crc32": zlib.crc32(part)})
+                    open_ += part
+                    at += len(part)
+                    if len(open_) == 2 * room:
+                        rows.append((bytes(open_), pieces))
+                        open_, pieces = bytearray(), []
+                        if len(rows) == 512:
+                            yield batch()
+                            rows.clear()
+        if open_:
+            rows.append((bytes(open_), pieces))
+        if rows:
+            yield batch()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -68,40 +96,52 @@ def number_rows(staged: DataFrame, name: str) -> tuple[DataFrame, int]:
     return at.join(F.broadcast(offsets), F.col("__file") == F.col("__f")).withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__f", "__before"), total
 
 
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Within, shuffle files go as soon as the job that made them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(
-    df: DataFrame, path: str, tokenizer_path: str, key: int, room: int = 1024, per_shard: int = 8192, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
+    df: DataFrame, path: str, tokenizer_path: str, key: int, room: int = 1024, per_shard: int = 8192, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
 ) -> DataFrame:
-    """Write shards below ``path`` in training order; give the index, one row per sequence.
-
-    A sequence is a piece of at most ``room`` ids of a text and ``end_id``, as little-endian 16-bit integers, padded with zeros.
-    Slot ``s`` of the permutation is record ``s % per_shard`` of the folder ``shard=<s // per_shard>``, a single file of records of
-    ``2 * room + 1`` bytes (a line feed ends each), so a reader seeks to any slot and resumes there. Every shard but the
-    last is full. Index: id, ``start``, ``length``, ``slot``, ``shard``, ``record``, ``ids_crc32`` (of the ids, 16-bit,
-    not padded). Null and empty texts are one sequence of the end id; repeated rows are written as often as they come;
-    null ids are kept. Other columns are not read. An empty table gives an empty index and no shard. The same input files and
-    key give the same order. Tokens are written once to the shared folder before they are numbered, as the
-    permutation's size is then known.
+    """Write shards below ``path`` in training order; give the index, one row per piece of a document.
+
+    Sequences are ``room`` ids as little-endian 16-bit integers (see ``encode_sequences``; a short one is padded with zeros). Slot ``s`` of the
+    permutation is record ``s % per_shard`` of the folder ``shard=<s // per_shard>``, a single file of records of ``2 * room + 1`` bytes (a line
+    feed ends each), so a reader seeks to any slot and resumes there. Every shard but the last is full. Index: id, ``start`` and ``length`` in the
+    document's ids, ``slot``, ``shard``, ``record``, ``offset`` in the sequence, ``ids_crc32`` (of the 16-bit ids). Null and empty texts are the end id
+    alone; repeated rows are written as often as they come; null ids are kept. Other columns are not read. An empty table gives an empty index and
+    no shard. Tokens are written once to the shared folder before they are numbered, as the permutation's size is then known;
+    shards are written in ``rounds`` by ranges of slots, so that only that share of the tokens is in shuffle files at a time.
     """
     spark = df.sparkSession
     tokens = stage(encode_sequences(df, tokenizer_path, room, id_col, text_col, end_id), "tokens")
     numbered, total = number_rows(tokens, "number")
 
     @F.pandas_udf("long")
-    def slot(number):
-        import pandas as pd
-
+    def slot(number: pd.Series) -> pd.Series:
         return pd.Series(feistel(number.to_numpy(), total, key))
 
-    @F.pandas_udf("long")
-    def checksum(ids):
-        return ids.map(zlib.crc32)
-
     ordered = numbered.withColumn("slot", slot("number")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    parts = max(1, min(-(-total // per_shard), 100 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    record = F.concat("ids", F.expr(f"repeat(X'00', {2 * room} - 2 * length)").cast("binary"))
-    shuffled = ordered.select("shard", "slot", "ids", "length").repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    shuffled.select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END.decode()).option("compression", "none").text(path)
-    return ordered.select(F.col("id").alias(id_col), "start", F.col("length").cast("long").alias("length"), "slot", "shard", (F.col("slot") % per_shard).alias("record"), checksum("ids").alias("ids_crc32"))
+    shards = -(-total // per_shard)
+    record = F.concat("ids", F.expr(f"repeat(X'00', {2 * room} - octet_length(ids))").cast("binary"))
+    with shuffle_files_dropped(spark):
+        for k in range(rounds):
+            first, last = k * shards // rounds, (k + 1) * shards // rounds
+            if first == last:
+                continue
+            own = ordered.filter((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", "slot", "ids")
+            dealt = own.repartitionByRange(min(last - first, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot")
+            dealt.select("shard", record.cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", END.decode()).option("compression", "none").text(path)
+    held = ordered.select("slot", "shard", F.explode("pieces").alias("p"))
+    return held.select(F.col("p.id").alias(id_col), "p.start", "p.length", "slot", "shard", (F.col("slot") % per_shard).alias("record"), "p.offset", F.col("p.crc32").alias("ids_crc32"))
 
 
 def read_shards(spark: SparkSession, path: str, room: int = 1024, first_slot: int = 0, per_shard: int = 8192) -> DataFrame:
@@ -123,6 +163,4 @@ def read_shards(spark: SparkSession, path: str, room: int = 1024, first_slot: in
 
 def token_output(df: DataFrame, tokenizer_path: str, key: int = 20240607, **options) -> DataFrame:
     """Shards in a new folder of the shared directory; the index of ``materialise``."""
-    import uuid
-
     return materialise(df, f"{shared_dir(df.sparkSession)}/shards-{uuid.uuid4().hex}", tokenizer_path, key, **options)
