@@ -79,10 +79,10 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, width: int) -> DataFrame
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(batches).combine_chunks()
         ids, pivot, ring, deal, r = (table.column(c).to_numpy() for c in ("id", "pivot", "ring", "deal", "r"))
         x = _matrix(table.column("v").chunk(0), width)
         order = np.lexsort((ids, r, deal, ring, pivot))
