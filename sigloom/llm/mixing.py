@@ -30,7 +30,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     weight = F.sum("__w").over(every) - F.coalesce(F.sum("__w").over(by_limit), F.lit(0.0))
     levels = limited.withColumn("__level", left / weight)
     fits = F.when(F.col("__level") <= F.col("__limit") / F.col("__w"), F.col("__level"))
-    first = F.min(fits).over(every)
+    # Levels fall from the first source that keeps below its limit on, so the first is the largest that fits.
+    first = F.max(fits).over(every)
     return levels.withColumn("__first", first).select(
         "source", "source_size", F.when(F.col("__first").isNull(), F.col("__limit")).otherwise(F.least("__limit", F.col("__first") * F.col("__w"))).alias("target")
     )

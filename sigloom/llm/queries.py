@@ -143,7 +143,7 @@ ORACLE_SQL = {
         w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS lim FROM s),
         l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(lim) OVER p, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0.0::DOUBLE)) AS level
               FROM w WINDOW p AS (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT source, source_size, coalesce(least(lim, min(CASE WHEN level <= lim / w THEN level END) OVER () * w), lim) AS target FROM l),
+        t AS (SELECT source, source_size, coalesce(least(lim, max(CASE WHEN level <= lim / w THEN level END) OVER () * w), lim) AS target FROM l),
         r AS (SELECT b.*, source_size, target, row_number() OVER (PARTITION BY b.source ORDER BY band, h, doc_id NULLS FIRST, size) - 1 AS i,
                      CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS e
               FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
