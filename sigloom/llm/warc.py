@@ -74,7 +74,7 @@ def serialised(records: DataFrame) -> DataFrame:
     named = {"WARC-Type": "record_type", "WARC-Date": "date", "WARC-Target-URI": "target_uri", "Content-Type": "content_type", "WARC-Block-Digest": "block_digest", "WARC-Source-Payload-Digest": "source_digest"}
     lines = [F.concat(F.lit(f"{k}: "), F.regexp_replace(F.col(c), r"[\r\n]+", " ")) for k, c in named.items()]
     links = [F.concat(F.lit(f"{k}: <"), F.col(c), F.lit(">")) for k, c in (("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"))]
-    kept = F.concat(F.lit("WARC-Source-Headers: "), F.base64(F.col("source_headers").cast("binary")))
+    kept = F.concat(F.lit("WARC-Source-Headers: "), F.regexp_replace(F.base64(F.col("source_headers").cast("binary")), r"\s", ""))
     head = F.concat_ws(CRLF, F.lit("WARC/1.1"), *links, *lines, kept, F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string")))
     return records.select(F.concat(head, F.lit(CRLF * 2), F.col("content")).alias("value"))
 
