@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.staging import chunk_count, null_safe, stage
+from sigloom.llm.staging import chunk_count, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,19 +55,22 @@ def mix(
     kept = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     bits = F.bin(F.col("__size"))
-    rows = df.withColumns({"__size": size.cast("long"), "__source": F.col(source_col), "__md5": digest, "__id": F.col(id_col)}).select(*[F.col(c) for c in kept], "__size", "__source", "__md5", "__id")
+    rows = df.withColumns({"__size": size.cast("long"), "__source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "__md5": digest, "__id": F.col(id_col)}).select(*[F.col(c) for c in kept], "__size", "__source", "__md5", "__id")
     rows = rows.withColumn("__band", (F.length(bits) * 8 + F.conv(F.substring(bits, 1, 3), 2, 10).cast("int")).cast("int"))
     rows = rows.withColumn("__chunk", F.floor(F.conv(F.substring("__md5", 1, 8), 16, 10).cast("long") * chunks / F.lit(1 << 32)).cast("int"))
     counts = stage(rows.groupBy("__source", "__band", "__chunk").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words")), "mix-counts")
-    sizes = counts.groupBy(F.col("__source").alias("source")).agg(F.sum("__words").alias("source_size"))
-    targets = stage(source_targets(sizes, weights, share, most), "mix-targets").withColumnRenamed("source", "__ts")
+    named = F.when(F.col("__source") != "", F.substring("__source", 2, 2**31 - 1))
+    sizes = counts.groupBy(named.alias("source")).agg(F.sum("__words").alias("source_size"))
+    targets = stage(source_targets(sizes, weights, share, most), "mix-targets")
+    targets = targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__ts"), "source_size", "target")
     before = Window.partitionBy("__source").orderBy("__band", "__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    offsets = offsets.join(targets, null_safe(offsets, targets, {"__source": "__ts"}))
+    offsets = offsets.join(targets, F.col("__source") == F.col("__ts"))
     offsets = offsets.select(F.col("__source").alias("__os"), F.col("__band").alias("__ob"), F.col("__chunk").alias("__oc"), "__before", "source_size", "target")
     within = Window.partitionBy("__source", "__band", "__chunk").orderBy("__md5", "__id", "__size")
     local = rows.withColumn("__local", F.row_number().over(within) - 1)
-    joined = local.join(offsets, null_safe(local, offsets, {"__source": "__os", "__band": "__ob", "__chunk": "__oc"}))
+    # Keys without nulls join by plain equality, on the partitioning that the ranks have already.
+    joined = local.join(offsets, (F.col("__source") == F.col("__os")) & (F.col("__band") == F.col("__ob")) & (F.col("__chunk") == F.col("__oc")))
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumns({"__at": F.col("__before") + F.col("__local"), "__step": step})
     crossed = F.floor((F.col("__at") + 1) * F.col("__step") + offset) - F.floor(F.col("__at") * F.col("__step") + offset)

@@ -48,7 +48,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value, name:
     The order is that of hashed chunks and, within one, of ``order``, which must tell
     all rows apart that are to be told apart. Chunks are summed first, so that no task sorts
     a whole key, however many rows it has. ``df`` is read twice: it must be staged or
-    cheap, and give the same rows each time. Null keys form a key of their own.
+    cheap, and give the same rows each time. Keys must not be null.
     """
     spark = df.sparkSession
     chunked = df.withColumns({"__v": value.cast("long"), "__chunk": F.pmod(F.xxhash64(*order), F.lit(chunk_count(spark)))})
@@ -57,7 +57,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value, name:
     offsets = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__chunk").alias("__k"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = chunked.withColumn("__local", F.coalesce(F.sum("__v").over(within), F.lit(0)))
-    joined = local.join(offsets, null_safe(local, offsets, {**{k: f"__k_{k}" for k in keys}, "__chunk": "__k"}))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__k_{k}") for k in keys], F.col("__chunk") == F.col("__k"))
+    joined = local.join(offsets, same)
     return joined.withColumn(name, F.col("__before") + F.col("__local")).drop("__v", "__chunk", "__k", "__before", "__local", *[f"__k_{k}" for k in keys])
 
 
