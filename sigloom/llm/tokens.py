@@ -17,10 +17,13 @@ _PUNCTUATION = ".,!?;:"
 
 
 class _Words(dict):
-    """Ids of " word" by word. Words of letters go straight to the BPE model, others through the whole tokenizer."""
+    """Ids of " word" by word. Words of letters go straight to the BPE model, others through the whole tokenizer.
+
+    ``most`` words are kept, and those kept before them, so that frequent words stay when room is made.
+    """
 
     def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        self.tokenizer, self.model, self.most, self.older = tokenizer, tokenizer.model, most, {}
         self.ends = {c: self._ids(c) for c in _PUNCTUATION}
 
     def _ids(self, text: str) -> bytes:
@@ -29,13 +32,16 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if word[-1:] in self.ends and word[-2:-1].isalpha():
             return self[word[:-1]] + self.ends[word[-1]]
-        if word.isalpha():
+        if (ids := self.older.get(word)) is not None:
+            pass
+        elif word.isalpha():
             tokens = self.model.tokenize(f" {word}".encode().decode("latin-1").translate(BYTE_LETTERS))
             ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         else:
             ids = self._ids(f" {word}")
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -50,7 +56,7 @@ class Encoder:
     depends on the longest word, not on the text's length.
     """
 
-    def __init__(self, path: str, kept_words: int = 600_000):
+    def __init__(self, path: str, kept_words: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
