@@ -9,6 +9,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,25 +124,59 @@ def rf_classify_loso(rows: DataFrame, reference: DataFrame, trees: int = 100) ->
     return by_fold(kept, lambda train, test: rf_classify(train, test, "tangent", trees))
 
 
+def logistic_fit(df: DataFrame, by: str, features: str, label: str, size: int, ridge: float = 1e-3, steps: int = 8) -> DataFrame:
+    """(by, ``beta``): logistic regressions of all groups together, by Newton's method; the last entry is the intercept.
+
+    A step is one job: every batch adds up its rows' gradients and curvatures by group, Spark adds the batches, and the groups'
+    small systems are solved where they meet. Rows of a group are never gathered.
+    """
+    width, kind = size + 1, df.schema[by].dataType.simpleString()
+    rows = df.select(F.col(by).alias("__g"), F.col(label).cast("double").alias("__y"), F.col(features).alias("__x"))
+    models = stage(rows.select("__g").distinct().withColumn("beta", F.array_repeat(F.lit(0.0), width)), "beta")
+
+    def sums(batches):
+        for b in batches:
+            group, y = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            x = np.concatenate([matrix.batch(b.column(2)), np.ones((len(y), 1))], 1)
+            beta = matrix.batch(b.column(3))
+            for g in np.unique(group):
+                own = group == g
+                p = 1 / (1 + np.exp(-np.clip(x[own] @ beta[own][0], -30, 30)))
+                curve = x[own].T * (p * (1 - p)) @ x[own]
+                flat = np.concatenate([[own.sum()], x[own].T @ (y[own] - p), curve.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(flat), b.schema.field(0).type), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["__g", "at", "v"])
+
+    def move(beta: np.ndarray, s: np.ndarray) -> np.ndarray:
+        n, gradient, curve = s[:, :1], s[:, 1 : 1 + width], s[:, 1 + width :].reshape(len(s), width, width)
+        return beta + np.linalg.solve(curve + (ridge * n)[..., None] * np.eye(width), (gradient - ridge * n * beta)[..., None])[..., 0]
+
+    for _ in range(steps):
+        joined = rows.join(F.broadcast(models.withColumnRenamed("__g", "__h")), F.col("__g") == F.col("__h")).select("__g", "__y", "__x", "beta")
+        totals = joined.mapInArrow(sums, f"__g {kind}, at int, v double").groupBy("__g", "at").agg(F.sum("v").alias("v"))
+        flat = totals.groupBy(F.col("__g").alias("__h")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("s"))
+        models = stage(models.join(flat, F.col("__g") == F.col("__h")).select("__g", matrix.shaped(move, "beta", "s").alias("beta")), "beta")
+    return models.withColumnRenamed("__g", by)
+
+
 def csp_losocv(rows: DataFrame, filters: int = 4, transport: bool = True) -> DataFrame:
-    """Leave-one-subject-out: transport to the general mean, spatial filters of the other subjects, RBF classifier.
+    """Leave-one-subject-out: transport to the general mean, spatial filters of the other subjects, kernel logistic regression.
 
-    Subjects' means are fitted once; a fold's filters come from the class means of the other subjects, all folds at a time.
+    Subjects' means are fitted once; then the filters, features and classifiers of all folds are fitted together, a row for each of
+    its folds. Adds ``predicted_label`` and ``predicted_proba`` (of label 1).
     """
     means = stage(matrix.subject_means(rows), "subject-means")
     moved = matrix.parallel_transport(rows, means, matrix.general_mean(means)) if transport else rows
     moved = stage(moved.select("subject_id", "i", "event_id", F.col("label").cast("double").alias("label"), "sample_weight", "cov"), "moved")
     folds = moved.select(F.col("subject_id").alias("fold")).distinct()
     train = folds.join(moved, F.col("fold") != F.col("subject_id"))
-    models = stage(matrix.csp_fit(train.withColumn("label", F.col("label").cast("int")), ["fold"], filters), "csp")
-
-    def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        fold = test.select(F.col("subject_id").alias("fold")).limit(1)
-        w = F.broadcast(models.join(F.broadcast(fold), "fold").select(F.col("filters").alias("__w")))
-        lift = lambda df: df.crossJoin(w).withColumn("features", matrix.filtered("__w", "cov")).drop("__w", "cov")
-        return rbf_classify(lift(train), lift(test), "features", filters)
-
-    return by_fold(moved, run)
+    models = stage(matrix.csp_fit(train.withColumn("label", F.col("label").cast("int")), ["fold"], filters).select("fold", F.col("filters").alias("__w")), "csp")
+    featured = moved.join(F.broadcast(models), F.lit(True)).withColumn("features", matrix.filtered("__w", "cov")).withColumn("__f", rbf_features("features", filters))
+    featured = stage(featured.drop("__w", "cov"), "features")
+    fitted = logistic_fit(featured.filter("fold <> subject_id"), "fold", "__f", "label", 64)
+    test = featured.filter("fold = subject_id").join(F.broadcast(fitted), "fold")
+    score = F.aggregate(F.zip_with("__f", F.slice("beta", 1, 64), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at("beta", 65)
+    judged = test.withColumn("predicted_proba", 1 / (1 + F.exp(-score))).withColumn("predicted_label", (F.col("predicted_proba") >= 0.5).cast("int"))
+    return judged.drop("__f", "beta", "fold")
 
 
 def losocv(rows: DataFrame, filters: int = 4) -> tuple[DataFrame, DataFrame]:

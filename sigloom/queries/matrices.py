@@ -244,9 +244,9 @@ def calibrated_vote_eval(spark, sf_dir):
 
 @register()
 def sequential_elimination(spark, sf_dir):
-    rows = rows4(spark, sf_dir).filter("vec_id % 3 = 0 OR subject_id < 20")
+    rows = rows4(spark, sf_dir)
     near = E.cross_subject_candidates(rows, "cov", matrix.riemann_distance, 25)
-    return E.sequential_elimination(near.withColumn("other", F.col("candidate.subject_id")), 17, 25)
+    return E.sequential_elimination(near.withColumn("other", F.col("candidate.subject_id")), 10, 25)
 
 
 @register()

@@ -286,10 +286,10 @@ def rank_subjects(spark, sf_dir):
     return W.rank_subjects(_metrics(spark, sf_dir)).select("subject_id", "f1", "position")
 
 
-@register(f"{PRED} SELECT subject_id, sample_index, predicted_label, 1 - predicted_b AS predicted_label_b FROM pred WHERE sample_index % 2 = 0")
+@register(f"{PRED} SELECT subject_id, sample_index, predicted_label, 1 - predicted_b AS predicted_label_b FROM pred WHERE sample_weight > 0.5")
 def merge_predictions(spark, sf_dir):
     p = S.predictions(spark, sf_dir)
-    other = p.filter("sample_index % 2 = 0").select("subject_id", "sample_index", (1 - F.col("predicted_b")).alias("predicted_label"))
+    other = p.filter("sample_weight > 0.5").select("subject_id", "sample_index", (1 - F.col("predicted_b")).alias("predicted_label"))
     return J.merge_predictions(p.select("subject_id", "sample_index", "predicted_label"), other)
 
 
@@ -300,13 +300,13 @@ def attach_metric(spark, sf_dir):
 
 
 @register(
-    f"""{METRICS}, m AS (SELECT subject_id, subject_id % 3 AS k, "precision" FROM metrics UNION ALL SELECT subject_id, 7, recall FROM metrics WHERE subject_id % 2 = 0),
+    f"""{METRICS}, m AS (SELECT subject_id, subject_id % 3 AS k, "precision" FROM metrics UNION ALL SELECT subject_id, 7, recall FROM metrics WHERE recall > 0.45),
     c AS (SELECT subject_id, "precision", row_number() OVER (PARTITION BY subject_id ORDER BY CAST(k <> 2 AS INTEGER), k) AS r FROM m)
     SELECT subject_id, num_samples, p AS "precision" FROM metrics JOIN (SELECT subject_id, "precision" AS p FROM c WHERE r = 1) USING (subject_id)"""
 )
 def channel_power_precision(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    by_k = m.select("subject_id", (F.col("subject_id") % 3).alias("k"), "precision").unionByName(m.filter("subject_id % 2 = 0").select("subject_id", F.lit(7).cast("long").alias("k"), F.col("recall").alias("precision")))
+    by_k = m.select("subject_id", (F.col("subject_id") % 3).alias("k"), "precision").unionByName(m.filter("recall > 0.45").select("subject_id", F.lit(7).cast("long").alias("k"), F.col("recall").alias("precision")))
     return J.channel_power_precision(m.select("subject_id", "num_samples"), by_k, 2)
 
 
@@ -326,11 +326,10 @@ def exclude_label(spark, sf_dir):
     return P.drop_background(P.exclude_label(S.epochs(spark, sf_dir), 1)).select("vec_id", "subject_id")
 
 
-@register(f"{EPOCHS} SELECT vec_id, subject_id FROM epochs WHERE subject_id IN (SELECT subject_id FROM epochs WHERE vec_id < 15) AND subject_id NOT IN (3, 5)")
+@register(f"{EPOCHS} SELECT vec_id, subject_id FROM epochs WHERE subject_id IN (SELECT subject_id FROM epochs WHERE sample_weight > 0.97::DOUBLE) AND subject_id NOT IN (SELECT subject_id FROM epochs WHERE sample_weight < 0.01::DOUBLE)")
 def select_subjects(spark, sf_dir):
     e = S.epochs(spark, sf_dir)
-    dropped = e.filter("subject_id IN (3, 5)")
-    return P.exclude_subjects(P.select_subjects(e, e.filter("vec_id < 15")), dropped).select("vec_id", "subject_id")
+    return P.exclude_subjects(P.select_subjects(e, e.filter("sample_weight > 0.97")), e.filter("sample_weight < 0.01")).select("vec_id", "subject_id")
 
 
 @register(f"{PRED} SELECT subject_id, event_id, sample_index FROM pred WHERE subject_id IN (SELECT subject_id FROM pred GROUP BY subject_id HAVING count(*) >= 600 AND count(DISTINCT true_label) > 1)")
@@ -368,10 +367,10 @@ def trial_filter(spark, sf_dir):
     return P.trial_filter(named, ["Rest", "Image"], "even", ["0", "1"]).select("subject_id", "event_id")
 
 
-@register(f"{PRED} SELECT subject_id, sample_index, proba FROM pred WHERE event_id % 7 <> 0 AND sample_index % 11 <> 0")
+@register(f"{PRED} SELECT subject_id, sample_index, proba FROM pred WHERE sample_weight >= 0.1 AND proba > 0")
 def valid_predictions(spark, sf_dir):
     p = S.predictions(spark, sf_dir)
-    holes = p.withColumns({"predicted_label": F.when(F.col("event_id") % 7 == 0, -99).otherwise(F.col("predicted_label")), "proba": F.when(F.col("sample_index") % 11 == 0, float("nan")).otherwise(F.col("proba"))})
+    holes = p.withColumns({"predicted_label": F.when(F.col("sample_weight") < 0.1, -99).otherwise(F.col("predicted_label")), "proba": F.when(F.col("proba") == 0, float("nan")).otherwise(F.col("proba"))})
     return P.valid_predictions(holes, score="proba").select("subject_id", "sample_index", "proba")
 
 

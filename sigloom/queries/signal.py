@@ -268,13 +268,13 @@ def first_background(spark, sf_dir):
 
 
 @register(
-    f"""{HOURLY}, spans AS (SELECT subject_id, idx AS a, coalesce(nxt, 4611686018427387904) AS b FROM (SELECT *, lead(idx) OVER (PARTITION BY subject_id ORDER BY idx) AS nxt FROM hourly WHERE subject_id % 2 = 0) WHERE label = 'Background')
+    f"""{HOURLY}, spans AS (SELECT subject_id, idx AS a, coalesce(nxt, 4611686018427387904) AS b FROM (SELECT *, lead(idx) OVER (PARTITION BY subject_id ORDER BY idx) AS nxt FROM hourly WHERE idx < {20 * _SPAN}) WHERE label = 'Background')
     SELECT subject_id, event_id FROM hourly h WHERE EXISTS (SELECT 1 FROM spans s WHERE s.subject_id = h.subject_id AND idx >= a AND idx < b)
         OR (subject_id NOT IN (SELECT subject_id FROM spans) AND idx < {3 * _SPAN})"""
 )
 def warmup_rows(spark, sf_dir):
     h = _hourly(spark, sf_dir)
-    events = h.filter("subject_id % 2 = 0").select("subject_id", "idx", F.col("label").alias("description"))
+    events = h.filter(F.col("idx") < 20 * _SPAN).select("subject_id", "idx", F.col("label").alias("description"))
     return J.warmup_rows(h.select("subject_id", "idx", "event_id"), events, ["Background"], _SPAN / 10).select("subject_id", "event_id")
 
 
