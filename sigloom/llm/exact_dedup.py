@@ -81,5 +81,5 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     possible = marked.filter("__possible")
     keepers = stage(possible.groupBy("__sha").agg(F.max(id_col).alias("__keep")), "keepers").withColumnRenamed("__sha", "__s")
     # An inner join (keepers are unique): Spark would push a semi join below the filter's join, and all rows would shuffle.
-    stays = possible.join(keepers, null_safe(possible, keepers, {"__sha": "__s", id_col: "__keep"}))
+    stays = possible.join(keepers, null_safe(possible, keepers, {"__sha": "__s", id_col: "__keep"})).select(*marked.columns)
     return marked.filter("NOT __possible").unionByName(stays.dropDuplicates(["__sha", id_col])).select(*df.columns)
