@@ -10,35 +10,45 @@ from functools import lru_cache
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_LETTERS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
-# White space beside which a lone space doesn't start a new word.
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
+# A lone space before which a new word starts.
 _WORD_START = re.compile(r"(?<=\S) (?=\S)")
-_PUNCTUATION = ".,!?;:"
+_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+
+
+class _Uneven(Exception):
+    """White space beside a space: the text must be cut with care."""
 
 
 class _Words(dict):
-    """Ids of " word" by word. Words of letters go straight to the BPE model, others through the whole tokenizer.
+    """Ids of ``lead`` and a word, by word. Letters go straight to the BPE model, anything else through the whole tokenizer.
 
-    ``most`` words are kept, and those kept before them, so that frequent words stay when room is made.
+    Signs after letters, and a line feed between two words, are pieces of their own, so such words are put together from their
+    parts. ``most`` words are kept, and those kept before them, so that frequent words stay when room is made.
     """
 
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.model, self.most, self.older = tokenizer, tokenizer.model, most, {}
-        self.ends = {c: self._ids(c) for c in _PUNCTUATION}
+    def __init__(self, tokenizer, most: int, lead: str):
+        self.tokenizer, self.model, self.most, self.lead, self.older = tokenizer, tokenizer.model, most, lead, {}
+        self.signs: dict[str, bytes] = {}
+        self.bare = _Words(tokenizer, most, "") if lead else self
+        self.line_feed = self.whole("\n")
 
-    def _ids(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def whole(self, text: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self.ends and word[-2:-1].isalpha():
-            return self[word[:-1]] + self.ends[word[-1]]
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Uneven
         if (ids := self.older.get(word)) is not None:
             pass
         elif word.isalpha():
-            tokens = self.model.tokenize(f" {word}".encode().decode("latin-1").translate(BYTE_LETTERS))
+            tokens = self.model.tokenize(f"{self.lead}{word}".encode().decode("latin-1").translate(BYTE_LETTERS))
             ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        elif (parts := _LETTERS_THEN_SIGNS.fullmatch(word)) and parts[1].isalpha():
+            return self[parts[1]] + self._signs(parts[2])
+        elif "\n" in word and not (at := word.index("\n")) == 0 and not word[at - 1].isspace() and not word[at + 1].isspace():
+            return self[word[:at]] + self.line_feed + self.bare[word[at + 1 :]]
         else:
-            ids = self._ids(f" {word}")
+            ids = self.whole(f"{self.lead}{word}")
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.older = dict(self)
@@ -46,6 +56,13 @@ class _Words(dict):
             self[word] = ids
         return ids
 
+    def _signs(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) >= 10_000:
+                self.signs.clear()
+            self.signs[signs] = self.whole(signs)
+        return self.signs[signs]
+
 
 class Encoder:
     """Ids of a byte-level BPE tokenizer without added special tokens.
@@ -56,21 +73,23 @@ class Encoder:
     depends on the longest word, not on the text's length.
     """
 
-    def __init__(self, path: str, kept_words: int = 200_000):
+    def __init__(self, path: str, kept_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(self.tokenizer, kept_words)
+        self.words = _Words(self.tokenizer, kept_words, " ")
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _UNEVEN.search(text):
+        words = text.split(" ")
+        try:
+            return self.words.bare[words[0]] + b"".join(map(self.words.__getitem__, words[1:]))
+        except _Uneven:
             words = _WORD_START.split(text)
-        else:
-            words = text.split(" ")
-        return self.words._ids(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+            later = [self.words.whole(f" {w}") if w[-1].isspace() else self.words[w] for w in words[1:]]
+            return self.words.whole(words[0]) + b"".join(later)
 
 
 @lru_cache(maxsize=2)
