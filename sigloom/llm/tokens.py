@@ -28,21 +28,26 @@ class _Words(dict):
 
     def __init__(self, tokenizer, most: int, lead: str):
         self.tokenizer, self.model, self.most, self.lead, self.older = tokenizer, tokenizer.model, most, lead, {}
+        self.bytes = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.mapped_lead = lead.translate(BYTE_LETTERS)
         self.signs: dict[str, bytes] = {}
+        self.ends = {c: self.whole(c) for c in ".,!?;:"}
         self.bare = _Words(tokenizer, most, "") if lead else self
         self.line_feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def __missing__(self, word: str) -> bytes:
+        if (end := self.ends.get(word[-1:])) is not None and word[:-1].isalpha():
+            return self[word[:-1]] + end
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Uneven
         if (ids := self.older.get(word)) is not None:
             pass
         elif word.isalpha():
-            tokens = self.model.tokenize(f"{self.lead}{word}".encode().decode("latin-1").translate(BYTE_LETTERS))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(self.mapped_lead + mapped)])
         elif (parts := _LETTERS_THEN_SIGNS.fullmatch(word)) and parts[1].isalpha():
             return self[parts[1]] + self._signs(parts[2])
         elif "\n" in word and not (at := word.index("\n")) == 0 and not word[at - 1].isspace() and not word[at + 1].isspace():
@@ -73,7 +78,7 @@ class Encoder:
     depends on the longest word, not on the text's length.
     """
 
-    def __init__(self, path: str, kept_words: int = 300_000):
+    def __init__(self, path: str, kept_words: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
