@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
