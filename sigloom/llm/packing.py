@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.staging import rank_within, stage
+from sigloom.llm.staging import rank_within, small_batches, stage
 from sigloom.llm.tokens import encoder
 
 PIECE = "start long, length long, crc32 long"
@@ -109,6 +109,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, room: int = 1024, id_col:
     """
     encoded = encode_pieces(df, tokenizer_path, room, id_col, text_col, end_id)
     pieces = encoded.select("id", "doc_tokens", F.explode("pieces").alias("p")).select("id", "doc_tokens", F.col("p.start").alias("start"), F.col("p.length").cast("int").alias("length"), F.col("p.crc32").alias("ids_crc32"))
-    staged = stage(pieces.withColumn("__key", F.monotonically_increasing_id()), "pieces")
+    with small_batches(df.sparkSession):
+        staged = stage(pieces.withColumn("__key", F.monotonically_increasing_id()), "pieces")
     placed = place(staged, room)
     return placed.select(F.col("id").alias(id_col), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigloom.llm.components import connected_components
-from sigloom.llm.staging import stage
+from sigloom.llm.staging import small_batches, stage
 
 SEED = 42
 SPLIT_BITS = 6
@@ -246,7 +246,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as often as they came. Null ids count as larger than any; a component of null ids only has a null id. Other columns
     are not read, so names cannot clash. An empty table gives no rows.
     """
-    rows = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    with small_batches(df.sparkSession):
+        rows = stage(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fp")
     linked = stage(linked_fingerprints(distinct, budget), "linked-fp")
     least = distinct.select(F.col("fp").alias("__fp"), "least")

@@ -1,35 +1,28 @@
-"""Tables kept between jobs, and ranks over all rows without one task seeing them all."""
+"""Ranks and running sums over all rows without one task seeing them all."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_local_dirs: dict[str, str] = {}
+from sigloom.sources.staging import shared_dir, stage
 
+__all__ = ["chunk_count", "null_safe", "rank_within", "running_total", "shared_dir", "small_batches", "stage"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="sigloom-")
-    return _local_dirs[context.applicationId]
 
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within, Arrow batches hold at most ``rows`` rows: whole texts are long, and two workers share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def chunk_count(spark: SparkSession) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigloom.llm.staging import shared_dir, stage
+from sigloom.llm.staging import shared_dir, small_batches, stage
 from sigloom.llm.tokens import encoder
 
 ROUNDS = 6
@@ -122,7 +122,8 @@ def materialise(
     shards are written in ``rounds`` by ranges of slots, so that only that share of the tokens is in shuffle files at a time.
     """
     spark = df.sparkSession
-    tokens = stage(encode_sequences(df, tokenizer_path, room, id_col, text_col, end_id), "tokens")
+    with small_batches(spark):
+        tokens = stage(encode_sequences(df, tokenizer_path, room, id_col, text_col, end_id), "tokens")
     numbered, total = number_rows(tokens, "number")
 
     @F.pandas_udf("long")

@@ -78,7 +78,7 @@ class Encoder:
     depends on the longest word, not on the text's length.
     """
 
-    def __init__(self, path: str, kept_words: int = 250_000):
+    def __init__(self, path: str, kept_words: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
