@@ -20,6 +20,7 @@ from sigloom.llm.tokens import encoder
 ROUNDS = 6
 END = b"\n"
 MOST_TASKS = 10_000
+KEPT_WORDS = 250_000
 
 
 def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -52,7 +53,7 @@ def encode_sequences(df: DataFrame, tokenizer_path: str, room: int, id_col: str,
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields])))])
 
     def run(batches):
-        own, end = encoder(tokenizer_path), end_id.to_bytes(2, "little")
+        own, end = encoder(tokenizer_path, KEPT_WORDS), end_id.to_bytes(2, "little")
         if own.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit in two bytes")
         target = to_arrow_schema(schema)
@@ -109,7 +110,7 @@ def shuffle_files_dropped(spark: SparkSession):
 
 
 def materialise(
-    df: DataFrame, path: str, tokenizer_path: str, key: int, room: int = 1024, per_shard: int = 8192, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
+    df: DataFrame, path: str, tokenizer_path: str, key: int, room: int = 1024, per_shard: int = 8192, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
 ) -> DataFrame:
     """Write shards below ``path`` in training order; give the index, one row per piece of a document.
 

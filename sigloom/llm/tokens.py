@@ -98,6 +98,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_words: int = 120_000) -> Encoder:
     """The process's encoder: a Python worker keeps it, and the ids of frequent words, from task to task."""
-    return Encoder(path)
+    return Encoder(path, kept_words)
