@@ -12,6 +12,8 @@ _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_LETTERS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(_OTHER)}
 # A lone space before which a new word starts.
 _WORD_START = re.compile(r"(?<=\S) (?=\S)")
+# A lone line feed between characters that aren't white space.
+_LINE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 _LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 
 
@@ -50,8 +52,8 @@ class _Words(dict):
             ids = b"".join([self.bytes[t.id] for t in self.model.tokenize(self.mapped_lead + mapped)])
         elif (parts := _LETTERS_THEN_SIGNS.fullmatch(word)) and parts[1].isalpha():
             return self[parts[1]] + self._signs(parts[2])
-        elif "\n" in word and not (at := word.index("\n")) == 0 and not word[at - 1].isspace() and not word[at + 1].isspace():
-            return self[word[:at]] + self.line_feed + self.bare[word[at + 1 :]]
+        elif "\n" in word and len(lines := _LINE_FEED.split(word)) > 1:
+            return self[lines[0]] + b"".join([self.line_feed + self.bare[x] for x in lines[1:]])
         else:
             ids = self.whole(f"{self.lead}{word}")
         if len(word) <= 64:

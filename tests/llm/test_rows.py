@@ -40,6 +40,12 @@ def test_encoder_on_documents(encoder, documents, odd):
         assert np.frombuffer(encoder.encode(r.text or ""), "<u4").tolist() == plain_ids(encoder, r.text)
 
 
+@pytest.mark.parametrize("line", ["word", "don't!", "a,b;12", "天地玄黄", "ながい文。", "x\n\ny", "é\r\nz"])
+def test_encoder_on_many_lines_without_spaces(encoder, line):
+    for text in ("\n".join([line] * 5000), " start " + "\n".join(f"{line}{k}" for k in range(5000)) + " end"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain_ids(encoder, text)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 500), max_size=20))
 def test_packing_patterns(histogram):
