@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigloom.llm.staging import small_batches
+
 FOLDS = 5
 
 
@@ -123,16 +125,48 @@ def fit(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id",
     return Model(labels, landmarks, (whiten @ beta).astype(np.float32), (bias - centre @ beta).astype(np.float32), settings)
 
 
-def judge(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
-    """Label and score of each text, in batches of ``model.settings.batch``."""
-    labels, scores = ["und"] * len(texts), [0.0] * len(texts)
+def _judge(texts: list[str], model: Model) -> tuple[list[str], list[float], list[float]]:
+    """Label, score and lift of each text, in batches of ``model.settings.batch``.
+
+    The lift is how far the score is on its way from what a text without any n-gram of the landmarks gets for that label to 1. Scores
+    over the labels sum to 1, so the best one alone is never low. With a single label, which everything gets, the lift is 1.
+    """
+    labels, scores, lifts = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if model.labels and has_letter(t)]
     for k in range(0, len(known), model.settings.batch):
         some = known[k : k + model.settings.batch]
         out = model.scores(presence([texts[i] for i in some], model.settings))
         for i, best, value in zip(some, out.argmax(1), out.max(1), strict=True):
             labels[i], scores[i] = model.labels[best], min(1.0, max(0.0, float(value)))
-    return labels, scores
+            room = 1 - float(model.bias[best])
+            lifts[i] = (float(value) - float(model.bias[best])) / room if len(model.labels) > 1 and room > 1e-6 else 1.0
+    return labels, scores, lifts
+
+
+def judge(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
+    """Label and score of each text."""
+    return _judge(texts, model)[:2]
+
+
+def least_lift(df: DataFrame, model: Model, share: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half the lift that all but ``share`` of the right predictions have, over all labelled rows of the held-out fold; 0 if none is right.
+
+    Midway between no evidence at all and the least that known languages show. The driver gets counts by thousandths.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            labels, _, lifts = _judge([t.decode("utf-8", "replace") for t in batch.column(0).to_pylist()], shared.value)
+            right = [max(0, int(1000 * x)) for x, label, lang in zip(lifts, labels, batch.column(1).to_pylist(), strict=True) if label == lang != "und"]
+            step, n = np.unique(np.array(right, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n.astype(np.int64))], ["step", "n"])
+
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col)) == 0))
+    with small_batches(df.sparkSession, 512):
+        counts = rows.select(F.col(text_col).cast("binary"), F.col(lang_col)).mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    before = np.cumsum([0, *(r["n"] for r in counts)])
+    return next((r["step"] / 2000 for r, n in zip(counts, before[1:], strict=True) if n > share * before[-1]), 0.0)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,16 +196,16 @@ def identify(df: DataFrame, settings: Settings | None = None, id_col: str = "doc
     return predict(df, fit(df, settings, id_col, text_col, lang_col), id_col, text_col)
 
 
-def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose language ``judge`` names with a score of ``least`` or more; ``und`` never stays."""
+def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "text", lift: float = -np.inf) -> DataFrame:
+    """The rows of ``df``, all columns, whose language ``judge`` names with a score of ``least`` and a lift of ``lift`` or more; ``und`` never stays."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
         kept = []
         for k in range(0, len(texts), 512):
-            labels, scores = judge([(t or b"").decode("utf-8", "replace") for t in texts[k : k + 512].to_pylist()], shared.value)
-            kept += [x != "und" and y >= least for x, y in zip(labels, scores, strict=True)]
+            found = _judge([(t or b"").decode("utf-8", "replace") for t in texts[k : k + 512].to_pylist()], shared.value)
+            kept += [x != "und" and y >= least and z >= lift for x, y, z in zip(*found, strict=True)]
         return pa.array(kept, pa.bool_())
 
     return df.filter(known(F.col(text_col).cast("binary")))
