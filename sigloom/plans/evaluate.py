@@ -44,16 +44,17 @@ def riemannian_knn_loo(rows: DataFrame, k: int = 25, weighted: bool = False) ->
     return W.knn_vote(near, weighted)
 
 
-def cross_subject_candidates(rows: DataFrame, value: str, distance: Callable, k: int, blocks: int = 32) -> DataFrame:
+def cross_subject_candidates(rows: DataFrame, value: str, distance: Callable, k: int, blocks: int = 32, each: bool = False) -> DataFrame:
     """(subject_id, test, candidate, true_label, label, d): the ``k`` nearest rows of other subjects in each of ``blocks`` parts.
 
-    Every row is compared with every row of other subjects, a block at a time; only ``k`` per test row and block go on.
+    Every row is compared with every row of other subjects, a block at a time; only ``k`` per test row and block go on. With ``each``
+    it is ``k`` per test row, block and other subject, so that any subset of the subjects has its ``k`` nearest among them.
     """
     test = rows.select("subject_id", F.col("i").alias("test"), F.col("label").alias("true_label"), F.col(value).alias("__a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
     other = rows.select(F.col("subject_id").alias("__s"), F.struct("subject_id", "i").alias("candidate"), "label", F.col(value).alias("__b"), F.pmod(F.xxhash64("subject_id", "i"), F.lit(blocks)).cast("int").alias("__block"))
     joined = test.join(other, "__block").filter(F.col("subject_id") != F.col("__s"))
     measured = joined.select("subject_id", "test", "true_label", "candidate", "label", "__block", distance(F.col("__a"), F.col("__b")).alias("d"))
-    w = Window.partitionBy("subject_id", "test", "__block").orderBy("d", "candidate")
+    w = Window.partitionBy("subject_id", "test", "__block", *(["candidate.subject_id"] if each else [])).orderBy("d", "candidate")
     return measured.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r", "__block")
 
 
@@ -245,7 +246,7 @@ def sequential_elimination(candidates: DataFrame, keep: int, k: int) -> DataFram
     """(``round``, ``removed``, ``f1``): drop, one by one, the subject without whom the others' mean f1 is best; the first wins ties.
 
     ``candidates``: every test row with the rows of all other subjects, nearest first in ``rank`` (per test row and candidate's subject
-    ``other`` at most ``k``). The table is built once; a round is a filter and an aggregate over all possible removals together.
+    ``other`` the ``k`` nearest at least). The table is built once; a round is a filter and an aggregate over all possible removals together.
     """
     candidates = stage(candidates.select("subject_id", "test", "other", "candidate", "d", "true_label", "label"), "candidates")
     spark, left, out = candidates.sparkSession, keys_of(candidates), []

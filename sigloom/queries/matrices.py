@@ -245,7 +245,7 @@ def calibrated_vote_eval(spark, sf_dir):
 @register()
 def sequential_elimination(spark, sf_dir):
     rows = rows4(spark, sf_dir)
-    near = E.cross_subject_candidates(rows, "cov", matrix.riemann_distance, 25)
+    near = E.cross_subject_candidates(rows, "cov", matrix.riemann_distance, 25, each=True)
     return E.sequential_elimination(near.withColumn("other", F.col("candidate.subject_id")), 10, 25)
 
 
