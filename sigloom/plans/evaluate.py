@@ -263,7 +263,7 @@ def sequential_elimination(candidates: DataFrame, keep: int, k: int) -> DataFram
     return spark.createDataFrame(out, f"round int, removed {kind}, f1 double")
 
 
-def score_regression_cv(df: DataFrame, features: str, score: str, folds: int = 5, trees: int = 50, seed: int = 42, order: str = "i") -> DataFrame:
+def score_regression_cv(df: DataFrame, features: str, score: str, folds: int = 5, trees: int = 100, seed: int = 42, order: str = "i") -> DataFrame:
     """Add ``predicted_score`` from forests fitted on the other folds (``order`` modulo ``folds``)."""
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -316,7 +316,7 @@ def pair_distances(rows: DataFrame, score: str, least: int = 2, value: str = "co
     return paired.select("subject_id", "pair_index", distance(F.col("first"), F.col("second")).alias("distance"), F.col("score").alias("vas"))
 
 
-def pair_distance_vs_score(rows: DataFrame, score: str, permutations_: int = 999, **options) -> DataFrame:
+def pair_distance_vs_score(rows: DataFrame, score: str, permutations_: int = 9999, **options) -> DataFrame:
     """Rank correlation of pair distances with a score per subject, with both p-values and stars."""
     pairs = stage(pair_distances(rows, score, **options), "pair-distances")
     by_t = A.spearman_by(pairs, ["subject_id"], "distance", "vas")

@@ -156,7 +156,7 @@ def losocv_summary(spark, sf_dir):
 @register()
 def rf_classify_loso(spark, sf_dir):
     rows = rows4(spark, sf_dir)
-    return E.rf_classify_loso(rows, matrix.general_mean(stage(matrix.subject_means(rows), "means")), trees=10).select("subject_id", "i", "label", "predicted_label", "predicted_proba")
+    return E.rf_classify_loso(rows, matrix.general_mean(stage(matrix.subject_means(rows), "means"))).select("subject_id", "i", "label", "predicted_label", "predicted_proba")
 
 
 @register()
@@ -228,7 +228,7 @@ def pair_distance_vs_index(spark, sf_dir):
 @register()
 def permutation_by_user(spark, sf_dir):
     rows = S.read(spark, sf_dir, "events").select("user_id", F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"))
-    return E.permutation_test(rows, "user_id", "x", "y", 999)
+    return E.permutation_test(rows, "user_id", "x", "y")
 
 
 @register()
@@ -252,7 +252,7 @@ def sequential_elimination(spark, sf_dir):
 @register()
 def score_regression(spark, sf_dir):
     rows = rows4(spark, sf_dir).withColumn("features", P.flatten_upper(F.col("cov"), 4))
-    out = E.score_regression_cv(rows, "features", "sample_weight", trees=10)
+    out = E.score_regression_cv(rows, "features", "sample_weight")
     return A.regression_metrics(out, ["subject_id"], "sample_weight", "predicted_score")
 
 
