@@ -34,17 +34,24 @@ def unit_step_state(sections: np.ndarray) -> np.ndarray:
 
 
 def sosfilt(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Filter channels x times; ``state`` (sections x 2 x channels) is carried over and given back."""
+    """Filter channels x times, any number of channels at once; ``state`` (sections x 2 x channels) is carried over and given back."""
     state = np.zeros((len(sections), 2, len(x))) if state is None else state.copy()
-    y = np.array(x, float)
-    for s, (b0, b1, b2, _, a1, a2) in enumerate(sections):
-        z0, z1 = state[s]
-        for t in range(y.shape[1]):
-            v = y[:, t].copy()
-            y[:, t] = b0 * v + z0
-            z0, z1 = b1 * v - a1 * y[:, t] + z1, b2 * v - a2 * y[:, t]
-        state[s] = z0, z1
-    return y, state
+    y = np.array(x.T, float, order="C")
+    for v in y:
+        for s, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+            z = state[s]
+            out = b0 * v + z[0]
+            z[0] = b1 * v - a1 * out + z[1]
+            z[1] = b2 * v - a2 * out
+            v[:] = out
+    return y.T, state
+
+
+def free_responses(sections: np.ndarray, n: int) -> np.ndarray:
+    """What each entry of a flat state (sections x 2) still gives in ``n`` steps without input: entries x times."""
+    size = 2 * len(sections)
+    columns = np.eye(size).reshape(size, len(sections), 2).transpose(1, 2, 0)
+    return sosfilt(sections, np.zeros((size, n)), columns)[0]
 
 
 def transition(sections: np.ndarray, n: int) -> np.ndarray:

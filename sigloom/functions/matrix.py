@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import linalg
+from sigloom.operators.joins import lookup_subject_matrix
 
 MATRIX = "array<double>"
 
@@ -115,50 +117,76 @@ def filtered(w: Column | str, c: Column | str, log: bool = True) -> Column:
     return shaped(run, w, c)
 
 
+def group_sums(df: DataFrame, by: list[str], columns: list[str], f: Callable[..., np.ndarray], name: str = "sums") -> DataFrame:
+    """(by, ``name``): the sum over each group of vectors of one length; ``f`` turns a group's rows of a batch to such a vector.
+
+    ``f`` gets an Arrow array per column. A batch gives one vector a group that it meets, Spark adds their entries, so no task holds a
+    group and what shuffles is not rows but partial sums.
+    """
+    keys = [_arrow_type(df, b) for b in by]
+    target = pa.schema([*[(b, t) for b, t in zip(by, keys, strict=True)], ("at", pa.int32()), ("v", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            groups = table.select(by).to_pandas().groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(table))]
+            for at in groups:
+                own = table.take(pa.array(at))
+                flat = np.asarray(f(*[own.column(c).combine_chunks() for c in columns]), float).ravel()
+                given = [pa.repeat(own.column(k)[0], len(flat)) for k in by]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], schema=target)
+
+    kinds = [f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by]
+    partial = df.select(*by, *columns).mapInArrow(run, ", ".join([*kinds, "at int", "v double"]))
+    entries = partial.groupBy(*by, "at").agg(F.sum("v").alias("v"))
+    return entries.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias(name))
+
+
+def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.select(name).schema).field(0).type
+
+
 def riemann_means(df: DataFrame, by: list[str], cov: str = "cov", weight: str | None = None, tolerance: float = 1e-8, most: int = 50) -> DataFrame:
     """(by, ``mean``, ``n``): the weighted mean matrix of every group.
 
-    One round of Spark per step, for all groups at once: the current means are joined to the rows, each batch sums its
-    rows' logarithms by group, and the sums combine; a group of any size is never in one task. It stops
-    when the largest step is below ``tolerance``. The means, one row per group, are what the driver waits for.
+    One round of Spark per step, for all groups at once: the current means are joined to the rows, each batch adds up its
+    rows' logarithms by group, and the sums combine (see ``group_sums``). It stops when the largest step is below ``tolerance``, and
+    warns if it is not after ``most`` rounds. ``df`` is read once a round: stage what is dear. The largest step is all that the driver gets.
     """
     from sigloom.sources.staging import stage
 
     w = F.col(weight) if weight else F.lit(1.0)
     rows = df.select(*by, F.col(cov).alias("__c"), w.cast("double").alias("__w"))
     names = [F.col(b).alias(f"__by_{b}") for b in by]
+    meet = lambda left, right: left.join(right, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]) if by else left.crossJoin(F.broadcast(right))
+
+    def plain(c: pa.Array, v: pa.Array) -> np.ndarray:
+        weights = v.to_numpy(zero_copy_only=False)
+        return np.concatenate([[weights.sum()], weights @ batch(c)])
 
-    def sums(frame: DataFrame, value: Column) -> DataFrame:
-        totals = frame.select(*by, "__w", F.posexplode(value).alias("__at", "__v")).groupBy(*by, "__at").agg((F.sum(F.col("__v") * F.col("__w")) / F.sum("__w")).alias("__m"))
-        flat = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__m"))), lambda s: s["__m"])
-        return totals.groupBy(*by).agg(flat.alias("__s"))
+    def logs(c: pa.Array, v: pa.Array, m: pa.Array) -> np.ndarray:
+        inverse, weights = linalg.invsqrtm(square(batch(m.slice(0, 1)))[0]), v.to_numpy(zero_copy_only=False)
+        return np.concatenate([[weights.sum()], weights @ linalg.logm(inverse @ square(batch(c)) @ inverse).reshape(len(weights), -1)])
 
-    means = stage(sums(rows, F.col("__c")).withColumnRenamed("__s", "mean"), "means")
+    def step_of(s: np.ndarray) -> np.ndarray:
+        return s[:, 1:] / s[:, :1]
+
+    means = stage(group_sums(rows, by, ["__c", "__w"], plain).select(*by, shaped(step_of, "sums").alias("mean"), F.col("sums")[0].alias("n")), "means")
     for _ in range(most):
-        given = means.select(*names, F.col("mean").alias("__mean"))
-        joined = rows.join(given, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]) if by else rows.crossJoin(F.broadcast(given))
-        step = shaped(lambda c, m: _by_reference(c, m, lambda x, root, inverse: linalg.logm(inverse @ x @ inverse)), "__c", "__mean")
-        steps = sums(joined, step).select(*names, F.col("__s").alias("__step"))
-        moved = means.join(steps, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]) if by else means.crossJoin(steps)
+        steps = group_sums(meet(rows, means.select(*names, F.col("mean").alias("__mean"))), by, ["__c", "__w", "__mean"], logs, "__sums").select(*names, shaped(step_of, "__sums").alias("__step"))
         move = shaped(lambda m, s: _moved(square(m), square(s)), "mean", "__step")
         size = F.sqrt(F.aggregate("__step", F.lit(0.0), lambda a, v: a + v * v))
-        means = stage(moved.select(*by, move.alias("mean"), size.alias("__size")), "means")
-        if (means.agg(F.max("__size")).first()[0] or 0.0) < tolerance:
+        means = stage(meet(means, steps).select(*by, move.alias("mean"), "n", size.alias("__size")), "means")
+        largest = means.agg(F.max("__size")).first()[0] or 0.0
+        if largest < tolerance:
             break
-    counted = rows.groupBy(*by).agg(F.sum("__w").alias("n"))
-    if not by:
-        return means.select("mean").crossJoin(counted)
-    right = counted.select(*names, "n")
-    return means.join(right, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]).select(*by, "mean", "n")
-
-
-def _by_reference(c: np.ndarray, m: np.ndarray, f) -> np.ndarray:
-    kinds, which = np.unique(m, axis=0, return_inverse=True)
-    out = np.zeros_like(c)
-    for k, mean in enumerate(square(kinds)):
-        own = which.ravel() == k
-        out[own] = f(square(c[own]), linalg.sqrtm(mean), linalg.invsqrtm(mean)).reshape(own.sum(), -1)
-    return out
+    else:
+        warnings.warn(f"means moved by {largest:.1e} in the last of {most} rounds", stacklevel=2)
+    return means.select(*by, "mean", "n")
 
 
 def _moved(mean: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -171,7 +199,7 @@ def subject_means(df: DataFrame, cov: str = "cov", key: str = "subject_id") -> D
     return riemann_means(df, [key], cov)
 
 
-def general_mean(means: DataFrame, key: str = "subject_id", most: int = 100_000) -> DataFrame:
+def general_mean(means: DataFrame) -> DataFrame:
     """One row: count-weighted mean of the subjects' means, its inverse, and the mean count cut to whole rows (``cap``)."""
     general = riemann_means(means.withColumnRenamed("n", "__count"), [], "mean", "__count")
     cap = means.agg(F.floor(F.avg("n")).alias("cap"))
@@ -189,58 +217,48 @@ def general_mean_excluding(means: DataFrame, key: str = "subject_id") -> DataFra
 
 
 def parallel_transport(df: DataFrame, means: DataFrame, general: DataFrame, cov: str = "cov", key: str = "subject_id") -> DataFrame:
-    """Move every subject's matrices so that its mean becomes the general mean."""
-    g = general.select(F.col("mean").alias("__g"))
-    e = means.crossJoin(g).select(F.col(key).alias("__key"), transport_matrix("mean", "__g").alias("__e"))
-    return df.join(e, F.col(key) == F.col("__key")).withColumn(cov, congruence("__e", cov)).drop("__key", "__e")
+    """Move every subject's matrices so that its mean becomes the general mean; a subject without a mean fails the job."""
+    e = means.crossJoin(F.broadcast(general.select(F.col("mean").alias("__g")))).select(key, transport_matrix("mean", "__g").alias("__e"), F.col("n").alias("__n"))
+    return lookup_subject_matrix(df, e, key, count="__n", kept="__e").withColumn(cov, congruence("__e", cov)).drop("__e", "__n")
 
 
-def pooled_moments(df: DataFrame, by: list[str], n_channels: int, sample: str = "sample") -> DataFrame:
-    """(by, n, sums, products) over all samples of all windows of a group: batches give partial sums, Spark adds them."""
-    schema = ", ".join([*[f"{b} {df.schema[b].dataType.simpleString()}" for b in by], "n double", "at int", "v double"])
+def pooled_moments(df: DataFrame, by: list[str], n_channels: int, sample: str = "sample", finite: bool = False) -> DataFrame:
+    """(by, n, ``moments``): sums and products of the channels over all samples of all windows of a group; ``finite``: only over times without a gap."""
 
-    def run(batches):
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            if not table.num_rows:
-                continue
-            keys = table.select(by).to_pandas()
-            for key, at in keys.groupby(by, dropna=False).indices.items():
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.concatenate([np.asarray(v, float).reshape(n_channels, -1) for v in table.column(sample).take(pa.array(at)).to_pylist()], 1)
-                flat = np.concatenate([x.sum(1), (x @ x.T).ravel()])
-                out = pd.DataFrame({"n": float(x.shape[1]), "at": np.arange(len(flat), dtype=np.int32), "v": flat})
-                for name, value in zip(by, key, strict=True):
-                    out[name] = value
-                yield pa.RecordBatch.from_pandas(out[[*by, "n", "at", "v"]], preserve_index=False).cast(target)
-
-    target = pa.schema([(f.name, f.type) for f in _arrow_fields(df, by)] + [("n", pa.float64()), ("at", pa.int32()), ("v", pa.float64())])
-    partial = df.select(*by, sample).mapInArrow(run, schema)
-    return partial.groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("moments"))
-
-
-def _arrow_fields(df: DataFrame, names: list[str]):
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def add(samples: pa.Array) -> np.ndarray:
+        x = _times(samples, n_channels, finite)
+        return np.concatenate([[x.shape[1]], x.sum(1), (x @ x.T).ravel()])
 
-    return list(to_arrow_schema(df.select(*names).schema))
+    sums = group_sums(df, by, [sample], add)
+    return sums.select(*by, F.col("sums")[0].alias("n"), F.slice("sums", 2, F.size("sums")).alias("moments"))
+
+
+def _pooled(n: np.ndarray, m: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of pooled moments."""
+    mean = m[:, :p] / n[:, :1]
+    return mean, m[:, p:].reshape(len(m), p, p) / n[:, :1, None] - mean[:, :, None] * mean[:, None, :]
+
+
+def _times(samples: pa.Array, n_channels: int, finite: bool = False) -> np.ndarray:
+    """Windows of any lengths side by side, channels x times."""
+    x = np.concatenate([np.asarray(v, float).reshape(n_channels, -1) for v in samples.to_pylist() if v is not None] or [np.zeros((n_channels, 0))], 1)
+    return x[:, np.isfinite(x).all(0)] if finite else x
 
 
 def pooled_covariance(df: DataFrame, by: list[str], n_channels: int, sample: str = "sample") -> DataFrame:
     """(by, n, ``cov``, ``whitening``): OAS covariance of all samples of a group and its inverse root."""
 
     def finish(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        count, mean = n[:, :1], m[:, :n_channels] / n[:, :1]
-        c = m[:, n_channels:].reshape(len(m), n_channels, n_channels) / count[..., None] - mean[:, :, None] * mean[:, None, :]
-        return linalg.shrink_oas(c, n[:, 0])
+        return linalg.shrink_oas(_pooled(n, m, n_channels)[1], n[:, 0])
 
     pooled = pooled_moments(df, by, n_channels, sample).withColumn("cov", shaped(finish, F.array("n"), "moments"))
     return pooled.withColumn("whitening", matrix_function("cov", "invsqrtm")).drop("moments")
 
 
 def apply_whitening(df: DataFrame, whitening: DataFrame, key: str = "subject_id", sample: str = "sample") -> DataFrame:
-    """W X per subject; subjects without a matrix are dropped."""
-    w = whitening.select(F.col(key).alias("__key"), F.col("whitening").alias("__w"))
-    return df.join(w, F.col(key) == F.col("__key")).withColumn(sample, apply_matrix("__w", sample)).drop("__key", "__w")
+    """W X per subject; a subject without a matrix fails the job."""
+    w = whitening.select(key, F.col("whitening").alias("__w"), F.col("n").alias("__n"))
+    return lookup_subject_matrix(df, w, key, count="__n", kept="__w").withColumn(sample, apply_matrix("__w", sample)).drop("__w", "__n")
 
 
 def csp_fit(df: DataFrame, by: list[str], filters: int, cov: str = "cov", label: str = "label") -> DataFrame:
@@ -252,19 +270,101 @@ def csp_fit(df: DataFrame, by: list[str], filters: int, cov: str = "cov", label:
     return both.withColumns({"filters": fit(0), "patterns": fit(1)}).drop("c0", "c1")
 
 
-def mds_embed(distances: DataFrame, by: str = "subject_id", dims: int = 2, d: str = "d") -> DataFrame:
-    """Points (by, i, x, y) per group from a table of pairs i < j; a group's whole matrix is one task's, as the method needs it."""
+def mds_embed(distances: DataFrame, by: str = "subject_id", d: str = "d", largest: int = 2000, rounds: int = 300, tolerance: float = 1e-6) -> DataFrame:
+    """Points (by, i, x, y) whose distances fit those of a table of all pairs i < j: a classical start, then stress majorisation.
+
+    A group of at most ``largest`` points, a matrix of bounded size, is one task's; larger ones are worked out in Spark rounds (see
+    ``mds_rounds``). Points are centred, turned to their principal axes and made positive at the farthest point of each axis.
+    """
+    from sigloom.sources.staging import stage
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(rows[["i", "j"]].to_numpy())
         m = np.zeros((len(ids), len(ids)))
         a, b = np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)
         m[a, b] = m[b, a] = rows.d
-        points = linalg.metric_mds(m, dims)
-        return pd.DataFrame({by: rows[by].iloc[0], "i": ids, "x": points[:, 0], "y": points[:, 1]})
+        points = linalg.metric_mds(m)
+        return pd.DataFrame({"g": rows.g.iloc[0], "i": ids, "x": points[:, 0], "y": points[:, 1]})
 
     kind = distances.schema[by].dataType.simpleString()
-    return distances.select(by, "i", "j", F.col(d).alias("d")).groupBy(by).applyInPandas(run, f"{by} {kind}, i long, x double, y double")
+    pairs = stage(distances.select(F.col(by).alias("g"), "i", "j", F.col(d).alias("d")), "mds-pairs")
+    sizes = stage(pairs.groupBy(F.col("g").alias("__g")).agg(((F.sqrt(8 * F.count("*") + 1) + 1) / 2).cast("long").alias("n")), "mds-sizes")
+    sized = pairs.join(sizes, F.col("g") == F.col("__g")).drop("__g")
+    points = sized.filter(F.col("n") <= largest).drop("n").groupBy("g").applyInPandas(run, f"g {kind}, i long, x double, y double")
+    if not sizes.filter(F.col("n") > largest).isEmpty():
+        points = points.unionByName(mds_rounds(sized.filter(F.col("n") > largest), rounds, tolerance))
+    return _to_axes(stage(points, "mds-points")).withColumnRenamed("g", by)
+
+
+def landmark_start(pairs: DataFrame, landmarks: int = 200) -> DataFrame:
+    """(g, i, x, y): classical scaling of about ``landmarks`` points of each group, chosen by hash, and the others by their distances to those.
+
+    ``pairs``: (g, i, j, d, n), both ways round, with each point's own distance of zero.
+    """
+    kind = pairs.schema["g"].dataType.simpleString()
+    chosen = lambda c: F.pmod(F.xxhash64("g", c), F.lit(1 << 30)) / float(1 << 30) < F.greatest(F.lit(8.0), F.lit(float(landmarks))) / F.col("n")
+    near = pairs.filter(chosen("j"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        square_ = rows.pivot(index="i", columns="j", values="d").sort_index().sort_index(axis=1).to_numpy() ** 2
+        centre = np.eye(len(square_)) - 1 / len(square_)
+        values, vectors = np.linalg.eigh(-centre @ square_ @ centre / 2)
+        top = np.maximum(values[::-1][:2], 1e-12)
+        axes = linalg.fix_signs(vectors[:, ::-1][:, :2].T) / np.sqrt(top)[:, None]
+        return pd.DataFrame({"g": [rows.g.iloc[0]], "axes": [axes.ravel()], "middle": [square_.mean(0)]})
+
+    model = near.filter(chosen("i")).select("g", "i", "j", "d").groupBy("g").applyInPandas(fit, f"g {kind}, axes array<double>, middle array<double>").withColumnRenamed("g", "__g")
+    seen = near.groupBy("g", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "d"))), lambda s: s["d"] * s["d"]).alias("squares"))
+    at = shaped(lambda axes, middle, squares: -0.5 * np.einsum("nkm,nm->nk", axes.reshape(len(axes), 2, -1), squares - middle), "axes", "middle", "squares")
+    return seen.join(model, F.col("g") == F.col("__g")).select("g", "i", at.alias("p")).select("g", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def mds_rounds(sized: DataFrame, rounds: int = 300, tolerance: float = 1e-6, landmarks: int = 200) -> DataFrame:
+    """(g, i, x, y) of groups of any size, from (g, i, j, d, n): stress majorisation with unit weights from a ``landmark_start``.
+
+    In a round every pair meets its two points and pulls each along their difference; a point's new place is the mean of its pulls, so a
+    round is two joins and an aggregate, and no task holds a group. A group ends where its stress falls by less than ``tolerance`` of
+    itself; the driver only sees whether any goes on. It warns if one still does after ``rounds``.
+    """
+    from sigloom.sources.staging import stage
+
+    turned = sized.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "d", "n")
+    ends = stage(sized.unionByName(turned), "mds-ends")
+    own = ends.select("g", "i", "n").distinct().select("g", "i", F.col("i").alias("j"), F.lit(0.0).alias("d"), "n")
+    start = landmark_start(ends.unionByName(own), landmarks)
+    points = stage(start.withColumns({"stress": F.lit(float("inf")), "open": F.lit(True)}), "points")
+    for _ in range(rounds):
+        of = points.filter("open").select(F.col("g").alias("pg"), F.col("i").alias("pi"), "x", "y")
+        other = points.filter("open").select(F.col("g").alias("og"), F.col("i").alias("oi"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+        met = ends.join(of, (F.col("g") == F.col("pg")) & (F.col("i") == F.col("pi"))).join(other, (F.col("g") == F.col("og")) & (F.col("j") == F.col("oi")))
+        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+        now = F.sqrt(dx * dx + dy * dy)
+        pull = F.when(now > 0, F.col("d") / now).otherwise(0.0)
+        # A pair's misfit comes at both of its ends.
+        moved = met.groupBy(F.col("g").alias("__g"), F.col("i").alias("__i")).agg(F.sum(pull * dx).alias("mx"), F.sum(pull * dy).alias("my"), F.max("n").alias("n"), (F.sum((now - F.col("d")) * (now - F.col("d"))) / 4).alias("s"))
+        moved = stage(moved, "mds-moves")
+        totals = moved.groupBy(F.col("__g").alias("__h")).agg(F.sum("s").alias("__now"))
+        joined = points.join(moved, (F.col("g") == F.col("__g")) & (F.col("i") == F.col("__i")), "left").join(totals, F.col("g") == F.col("__h"), "left")
+        falls = F.coalesce(F.col("open") & (F.col("stress") - F.col("__now") > tolerance * F.col("__now")), F.lit(False))
+        take = lambda new, old: F.when(falls, new / F.col("n")).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+        points = stage(joined.select("g", "i", take(F.col("mx"), "x"), take(F.col("my"), "y"), F.coalesce("__now", "stress").alias("stress"), falls.alias("open")), "points")
+        if points.filter("open").isEmpty():
+            break
+    else:
+        warnings.warn(f"the stress of some groups still falls after {rounds} rounds", stacklevel=2)
+    return points.select("g", "i", "x", "y")
+
+
+def _to_axes(points: DataFrame) -> DataFrame:
+    """Points of each group about their centre, turned so that x has most of the spread, with the farthest point of each axis positive."""
+    centres = points.groupBy("g").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("a"), F.var_pop("y").alias("b"), F.covar_pop("x", "y").alias("c")).withColumnRenamed("g", "__g")
+    angle = F.atan2(2 * F.col("c"), F.col("a") - F.col("b")) / 2
+    x, y = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    turned = points.join(centres, F.col("g") == F.col("__g")).select("g", "i", (x * F.cos(angle) + y * F.sin(angle)).alias("x"), (y * F.cos(angle) - x * F.sin(angle)).alias("y"))
+    far = lambda c: F.signum(F.max_by(c, F.struct(F.abs(F.round(c, 9)), -F.col("i"))))
+    signs = turned.groupBy(F.col("g").alias("__g")).agg(far("x").alias("sx"), far("y").alias("sy"))
+    flip = lambda c, s: (F.col(c) * F.when(F.col(s) < 0, -1.0).otherwise(1.0)).alias(c)
+    return turned.join(signs, F.col("g") == F.col("__g")).select("g", "i", flip("x", "sx"), flip("y", "sy"))
 
 
 def mds_two_stage(distances: DataFrame, by: str = "subject_id", alpha: float = 0.5) -> DataFrame:
@@ -272,42 +372,101 @@ def mds_two_stage(distances: DataFrame, by: str = "subject_id", alpha: float = 0
     from sigloom.operators.windows import temporal_distance_fused, time_fraction
 
     fused = temporal_distance_fused(distances, alpha, by)
-    return time_fraction(mds_embed(fused, by, d="fused"), by)
+    return time_fraction(mds_embed(fused, by, "fused"), by)
 
 
-def eye_removal_fit(df: DataFrame, n_channels: int, veog: tuple[int, int], heog: tuple[int, int], by: str = "subject_id", sample: str = "sample", most: int = 20_000) -> DataFrame:
-    """(by, ``cleaning``): one matrix per group that takes out the components most correlated with the eyes.
+def eye_removal_fit(df: DataFrame, n_channels: int, veog: tuple[int, int], heog: tuple[int, int], by: str = "subject_id", sample: str = "sample", largest: int = 200_000, seed: int = 42, most: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """(by, n, ``cleaning``): one matrix per group that takes out the independent components most correlated with the eyes.
 
-    Warm-up rows of a group are joined to at most ``most`` times (the fit is iterative); ``veog`` averages two channels,
-    ``heog`` is the difference of two.
+    All times of a group's warm-up rows without a gap count. Symmetric fixed-point iteration with tanh (FastICA): the whitening comes from the pooled
+    moments. A group of at most ``largest`` times, which is of bounded size, iterates in one task; of larger ones each step is a Spark round for
+    all of them, in which batches add up their times' terms (see ``group_sums``), so no task holds such a group. Both take the same steps.
+    The correlations of components with the eyes follow from the moments. ``veog`` averages two channels, ``heog`` is
+    the difference of two. It warns if an unmixing by rounds still turns after ``most`` of them.
     """
+    from sigloom.sources.staging import stage
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.asarray(v, float).reshape(n_channels, -1) for v in rows["__s"]], 1)[:, :most]
-        x = x[:, np.isfinite(x).all(0)]
-        unmix = linalg.independent_components(x)
-        sources = unmix @ (x - x.mean(1, keepdims=True))
-        eyes = [(x[veog[0]] + x[veog[1]]) / 2, x[heog[0]] - x[heog[1]]]
-        drop = {int(np.abs(score_components(sources, e)).argmax()) for e in eyes}
-        keep = np.diag([0.0 if k in drop else 1.0 for k in range(len(unmix))])
-        return pd.DataFrame({by: [rows[by].iloc[0]], "cleaning": [(np.linalg.inv(unmix) @ keep @ unmix).ravel()]})
+    p = n_channels
+    rows = df.select(F.col(by).alias("__g"), F.col(sample).alias("__x"))
+    start = np.linalg.qr(np.random.RandomState(seed).normal(size=(p, p)))[0].ravel()
+
+    def centre_and_white(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        mean, c = _pooled(n, m, p)
+        return np.concatenate([mean, linalg.invsqrtm(c).reshape(len(n), -1), c.reshape(len(n), -1)], 1)
+
+    moments = pooled_moments(rows, ["__g"], p, "__x", finite=True).filter("n > 0")
+    fixed = stage(moments.select("__g", "n", shaped(centre_and_white, F.array("n"), "moments").alias("__f")), "ica-moments")
+    first = F.slice("__f", 1, p)
+    white = F.slice("__f", p + 1, p * p)
+    model = fixed.select("__g", "n", first.alias("__m"), white.alias("__v"), F.array(*[F.lit(float(x)) for x in start]).alias("__w"), F.lit(1.0).alias("__turn"))
+
+    def terms(samples: pa.Array, m: pa.Array, v: pa.Array, w: pa.Array) -> np.ndarray:
+        mean, whiten, unmix = batch(m.slice(0, 1))[0], square(batch(v.slice(0, 1)))[0], square(batch(w.slice(0, 1)))[0]
+        z = whiten @ (_times(samples, p, finite=True) - mean[:, None])
+        g = np.tanh(unmix @ z)
+        return np.concatenate([(g @ z.T).ravel(), (1 - g**2).sum(1)])
+
+    def turned(w: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        old = square(w)
+        new = s[:, : p * p].reshape(-1, p, p) / n[:, :, None] - (s[:, p * p :] / n)[:, :, None] * old
+        u, _, v = np.linalg.svd(new)
+        new = u @ v
+        turn = np.abs(np.abs(np.einsum("nij,nij->ni", new, old)) - 1).max(1, keepdims=True)
+        return np.concatenate([new.reshape(len(w), -1), turn], 1)
+
+    def alone(frame: pd.DataFrame) -> pd.DataFrame:
+        n, held = float(frame["n"].iloc[0]), [pa.array([list(frame[c].iloc[0])], pa.list_(pa.float64())) for c in ("__m", "__v")]
+        times = _times(pa.array(frame["__x"].map(list).tolist(), pa.list_(pa.float64())), p, finite=True)
+        w, one = start[None], [pa.array([times.ravel().tolist()], pa.list_(pa.float64())), *held]
+        for _ in range(most):
+            out = turned(w, terms(*one, pa.array([w[0].tolist()], pa.list_(pa.float64())))[None], np.array([[n]]))
+            w = out[:, :-1]
+            if out[0, -1] < tolerance:
+                break
+        return pd.DataFrame({"__g": [frame["__g"].iloc[0]], "n": [n], "__m": [frame["__m"].iloc[0]], "__v": [frame["__v"].iloc[0]], "__w": [w[0]], "__turn": [0.0]})
 
     kind = df.schema[by].dataType.simpleString()
-    w = Window.partitionBy(by).orderBy(F.xxhash64("__s"))
-    bounded = df.select(by, F.col(sample).alias("__s")).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
-    return bounded.drop("__r").groupBy(by).applyInPandas(run, f"{by} {kind}, cleaning array<double>")
+    small = rows.join(model.filter(F.col("n") <= largest).select(F.col("__g").alias("__h"), "n", "__m", "__v"), F.col("__g") == F.col("__h")).drop("__h")
+    ended = small.groupBy("__g").applyInPandas(alone, f"__g {kind}, n double, __m array<double>, __v array<double>, __w array<double>, __turn double")
+    model = stage(model.filter(F.col("n") > largest), "ica")
+    for _ in range(0 if model.isEmpty() else most):
+        open_ = model.filter(F.col("__turn") >= tolerance).select(F.col("__g").alias("__h"), "__m", "__v", "__w")
+        sums = group_sums(rows.join(open_, F.col("__g") == F.col("__h")), ["__g"], ["__x", "__m", "__v", "__w"], terms, "__s").withColumnRenamed("__g", "__h")
+        joined = model.join(sums, F.col("__g") == F.col("__h"), "left").withColumn("__new", F.when(F.col("__s").isNotNull(), shaped(turned, "__w", "__s", F.array("n"))))
+        model = stage(joined.select("__g", "n", "__m", "__v", F.coalesce(F.slice("__new", 1, p * p), "__w").alias("__w"), F.coalesce(F.element_at("__new", -1), "__turn").alias("__turn")), "ica")
+        if model.filter(F.col("__turn") >= tolerance).isEmpty():
+            break
+    if not model.filter(F.col("__turn") >= tolerance).isEmpty():
+        warnings.warn(f"components of some groups still turn after {most} rounds", stacklevel=2)
+    model = stage(ended, "ica").unionByName(model)
+
+    def cleaning(w: np.ndarray, v: np.ndarray, f: np.ndarray) -> np.ndarray:
+        eyes = np.zeros((2, p))
+        eyes[0, list(veog)] = 0.5
+        eyes[1, heog[0]], eyes[1, heog[1]] = 1.0, -1.0
+        out = []
+        for unmix, c in zip(square(w) @ square(v), f[:, p + p * p :].reshape(-1, p, p), strict=True):
+            unmix = linalg.fix_signs(unmix)
+            drop = {int(np.abs(r).argmax()) for r in score_components(unmix, eyes, c)}
+            keep = np.diag([0.0 if k in drop else 1.0 for k in range(p)])
+            out.append(np.linalg.inv(unmix) @ keep @ unmix)
+        return np.stack(out)
+
+    both = model.join(fixed.select(F.col("__g").alias("__h"), "__f"), F.col("__g") == F.col("__h"))
+    return both.select(F.col("__g").alias(by), "n", shaped(cleaning, "__w", "__v", "__f").alias("cleaning"))
 
 
-def score_components(sources: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Correlation of every component with a target signal; 0 for a constant one."""
-    a, b = sources - sources.mean(1, keepdims=True), target - target.mean()
-    size = np.sqrt(np.square(a).sum(1) * (b @ b))
-    return np.divide(a @ b, size, out=np.zeros(len(a)), where=size > 0)
+def score_components(unmix: np.ndarray, targets: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Correlation (targets x components) of components and targets, both given by their weights on channels of covariance ``c``; 0 for a constant one."""
+    power = lambda w: np.sqrt(np.maximum(np.einsum("ki,ij,kj->k", w, c, w), 0))
+    size = power(targets)[:, None] * power(unmix)[None]
+    return np.divide(targets @ c @ unmix.T, size, out=np.zeros(size.shape), where=size > 0)
 
 
 def eye_removal_apply(df: DataFrame, model: DataFrame, by: str = "subject_id", sample: str = "sample") -> DataFrame:
-    m = model.select(F.col(by).alias("__key"), F.col("cleaning").alias("__m"))
-    return df.join(m, F.col(by) == F.col("__key")).withColumn(sample, apply_matrix("__m", sample)).drop("__key", "__m")
+    """Samples without the eyes; a subject without a fitted matrix fails the job."""
+    m = model.select(by, F.col("cleaning").alias("__m"), F.col("n").alias("__n"))
+    return lookup_subject_matrix(df, m, by, count="__n", kept="__m").withColumn(sample, apply_matrix("__m", sample)).drop("__m", "__n")
 
 
 def register_sql(spark: SparkSession) -> None:

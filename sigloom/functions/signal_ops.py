@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import filters
+from sigloom.functions.matrix import batch, lists
 from sigloom.sources.staging import stage
 
 
@@ -29,24 +30,38 @@ def from_chunks(chunks: DataFrame, size: int, key: str = "session_id") -> DataFr
 
 
 def bandpass(chunks: DataFrame, low: float, high: float, rate: float, order: int = 4, start: str = "zero", key: str = "session_id") -> DataFrame:
-    """Causal Butterworth band-pass along each session, all chunks at once.
+    """Causal Butterworth band-pass along each session, all chunks at once (see ``run_filters``)."""
+    return run_filters(chunks, [filters.butter_bandpass(low, high, rate, order)], start, key)
+
+
+def _shapes(sizes: np.ndarray):
+    """(row of sizes, places of the rows with it): chunks of one shape are worked out as one array."""
+    for size in np.unique(sizes, axis=0):
+        yield size, np.flatnonzero((sizes == size).all(1))
+
+
+def run_filters(chunks: DataFrame, designs: list[np.ndarray], start: str = "zero", key: str = "session_id") -> DataFrame:
+    """Each channel through each filter (sections), the channels of the first filter first; equal to one pass over the whole session.
 
     A linear filter's output is that of the chunk from rest plus what the state before it still gives. Chunks are filtered from
-    rest in parallel; their end states, one small row a chunk, are carried along the session; and the responses to those states
-    are added. ``start``: ``zero`` or ``unit_step`` for the first state. Equal to one pass over the whole session.
+    rest in parallel, all of a batch that have one shape as one array; their end states, one small row a chunk, are carried along
+    the session; and the responses to those states, products with a table, are added. ``start``: ``zero`` or ``unit_step`` for the first state.
     """
-    sections = filters.butter_bandpass(low, high, rate, order)
     names = [key, "chunk", "n_channels", "n_times"]
-    width = 2 * len(sections)
+    widths = [2 * len(d) for d in designs]
 
     def rest(batches):
         for b in batches:
-            out, ends = [], []
-            for c, x in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                y, state = filters.sosfilt(sections, np.asarray(x, float).reshape(c, -1))
-                out.append(y.ravel())
-                ends.append(state.reshape(width, c).ravel())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.float64())), pa.array(ends, pa.list_(pa.float64()))], [*names, "signal", "state"])
+            sizes = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
+            for (c, n), at in _shapes(sizes):
+                rows = pa.array(at)
+                x = batch(b.column(4).take(rows)).reshape(len(at) * c, n)
+                out, ends = [], []
+                for d, width in zip(designs, widths, strict=True):
+                    y, state = filters.sosfilt(d, x)
+                    out.append(y.reshape(len(at), c * n))
+                    ends.append(state.reshape(width, len(at), c).transpose(1, 0, 2).reshape(len(at), width * c))
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], lists(np.concatenate(out, 1)), lists(np.concatenate(ends, 1))], [*names, "signal", "state"])
 
     kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in names)
     rested = stage(chunks.select(*names, "signal").mapInArrow(rest, f"{kinds}, signal array<double>, state array<double>"), "rested")
@@ -54,62 +69,79 @@ def bandpass(chunks: DataFrame, low: float, high: float, rate: float, order: int
     def carry(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
         c = int(rows.n_channels.iloc[0])
-        state = np.zeros((width, c)) if start == "zero" else np.repeat(filters.unit_step_state(sections).reshape(width, 1), c, 1)
+        state = [np.zeros((w, c)) if start == "zero" else np.repeat(filters.unit_step_state(d).reshape(w, 1), c, 1) for d, w in zip(designs, widths, strict=True)]
+        cuts = np.cumsum([w * c for w in widths])[:-1]
         before, powers = [], {}
         for n, end in zip(rows.n_times, rows.state, strict=True):
-            before.append(state.ravel())
+            before.append(np.concatenate([s.ravel() for s in state]))
             if n not in powers:
-                powers[n] = filters.transition(sections, int(n))
-            state = powers[n] @ state + np.asarray(end, float).reshape(width, c)
+                powers[n] = [filters.transition(d, int(n)) for d in designs]
+            state = [p @ s + e.reshape(-1, c) for p, s, e in zip(powers[n], state, np.split(np.asarray(end, float), cuts), strict=True)]
         return pd.DataFrame({key: rows[key], "chunk": rows.chunk, "before": before})
 
     kind = chunks.schema[key].dataType.simpleString()
     states = rested.select(*names, "state").groupBy(key).applyInPandas(carry, f"{key} {kind}, chunk long, before array<double>")
 
     def respond(batches):
+        tables: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            out = []
-            for c, n, x, state in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                free = filters.sosfilt(sections, np.zeros((c, n)), np.asarray(state, float).reshape(len(sections), 2, c))[0]
-                out.append(np.asarray(x, float) + free.ravel())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.float64()))], [*names, "signal"])
+            sizes = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
+            for (c, n), at in _shapes(sizes):
+                rows = pa.array(at)
+                if n not in tables:
+                    tables[n] = [filters.free_responses(d, int(n)) for d in designs]
+                y, state = batch(b.column(4).take(rows)).reshape(len(at), len(designs), c, n), batch(b.column(5).take(rows))
+                for k, (table, part) in enumerate(zip(tables[n], np.split(state, np.cumsum([w * c for w in widths])[:-1], 1), strict=True)):
+                    y[:, k] += part.reshape(len(at), -1, c).transpose(0, 2, 1) @ table
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], lists(y.reshape(len(at), -1))], [*names, "signal"])
 
-    return rested.drop("state").join(states, [key, "chunk"]).select(*names, "signal", "before").mapInArrow(respond, f"{kinds}, signal array<double>")
+    out = rested.drop("state").join(states, [key, "chunk"]).select(*names, "signal", "before").mapInArrow(respond, f"{kinds}, signal array<double>")
+    return out.withColumn("n_channels", (F.col("n_channels") * len(designs)).cast("int"))
 
 
 def resample(chunks: DataFrame, q: int, size: int, key: str = "session_id") -> DataFrame:
-    """Zero-phase decimation by ``q``: a centred FIR, every q-th sample kept. Chunks (of ``size``, a multiple of q and at least 10 q) bring their neighbours' edges."""
+    """Zero-phase decimation by ``q``: a centred FIR, every q-th sample kept.
+
+    Chunks (of ``size``, a multiple of q and at least 10 q) meet their neighbours' edges, the only part of them that moves.
+    """
     if size % q:
         raise ValueError(f"{q} does not divide {size}")
     if size < 10 * q:
         raise ValueError("chunks are shorter than half of the filter")
     taps, half = filters.decimation_taps(q), 10 * q
-    w = Window.partitionBy(key).orderBy("chunk")
-    edges = chunks.withColumns({"__before": F.lag("signal").over(w), "__after": F.lead("signal").over(w)})
+    each = F.transform(F.sequence(F.lit(0), F.col("n_channels") - 1), lambda c: F.slice("signal", (c * F.col("n_times") + 1).cast("int"), F.col("n_times").cast("int")))
+    edge = lambda f: F.flatten(F.transform(each, f))
+    least = F.least(F.col("n_times"), F.lit(half)).cast("int")
+    before = chunks.select(F.col(key).alias("__k"), (F.col("chunk") + 1).alias("__c"), edge(lambda x: F.slice(x, (F.col("n_times") - least + 1).cast("int"), least)).alias("__before"))
+    after = chunks.select(F.col(key).alias("__l"), (F.col("chunk") - 1).alias("__d"), edge(lambda x: F.slice(x, 1, least)).alias("__after"))
+    edges = chunks.join(before, (F.col(key) == F.col("__k")) & (F.col("chunk") == F.col("__c")), "left").join(after, (F.col(key) == F.col("__l")) & (F.col("chunk") == F.col("__d")), "left")
+
+    def wide(rows: np.ndarray | None, inner: np.ndarray, first: bool) -> np.ndarray:
+        """``half`` samples before (``first``) or after a chunk; what is missing repeats the outermost sample."""
+        own = inner[:, :, :0] if rows is None else rows.reshape(*inner.shape[:2], -1)
+        missing = half - own.shape[2]
+        side = (own if own.shape[2] else inner)[:, :, :1] if first else (own if own.shape[2] else inner)[:, :, -1:]
+        parts = (np.repeat(side, missing, 2), own)
+        return np.concatenate(parts if first else parts[::-1], 2)
 
     def run(batches):
         for b in batches:
-            out, sizes = [], []
-            for c, x, before, after in zip(*(b.column(i).to_pylist() for i in (2, 4, 5, 6)), strict=True):
-                x = np.asarray(x, float).reshape(c, -1)
-                left = np.asarray(before, float).reshape(c, -1)[:, -half:] if before is not None else np.repeat(x[:, :1], half, 1)
-                right = np.asarray(after, float).reshape(c, -1)[:, :half] if after is not None else np.repeat(x[:, -1:], half, 1)
-                right = np.pad(right, ((0, 0), (0, half - right.shape[1])), mode="edge")
-                wide = np.concatenate([left, x, right], 1)
-                y = np.lib.stride_tricks.sliding_window_view(wide, len(taps), axis=1)[:, ::q] @ taps
-                out.append(y.ravel())
-                sizes.append(y.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.float64()))], [key, "chunk", "n_channels", "n_times", "signal"])
+            lengths = [b.column(i).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for i in (5, 6)]
+            sizes = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy(), *lengths], 1)
+            for (c, n, first, last), at in _shapes(sizes):
+                rows = pa.array(at)
+                x = batch(b.column(4).take(rows)).reshape(len(at), c, n)
+                sides = [batch(b.column(i).take(rows)) if m else None for i, m in ((5, first), (6, last))]
+                all_ = np.concatenate([wide(sides[0], x, True), x, wide(sides[1], x, False)], 2)
+                y = np.lib.stride_tricks.sliding_window_view(all_, len(taps), axis=2)[:, :, ::q] @ taps
+                counts = pa.array(np.full(len(at), y.shape[2], np.int32))
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(3)], counts, lists(y.reshape(len(at), -1))], [key, "chunk", "n_channels", "n_times", "signal"])
 
     kind = chunks.schema[key].dataType.simpleString()
     return edges.select(key, "chunk", "n_channels", "n_times", "signal", "__before", "__after").mapInArrow(run, f"{key} {kind}, chunk long, n_channels int, n_times int, signal array<double>")
 
 
 def multi_band(chunks: DataFrame, channels: list[str], bands: dict[str, tuple[float, float]], rate: float, key: str = "session_id") -> tuple[DataFrame, list[str]]:
-    """Each channel once per band, named ``<channel>_<band>``; the originals go. Chunks and the new names."""
-    out, names = None, []
-    for band, (low, high) in bands.items():
-        part = bandpass(chunks, low, high, rate, key=key).withColumnRenamed("signal", band)
-        out = part if out is None else out.join(part.select(key, "chunk", band), [key, "chunk"])
-        names += [f"{c}_{band}" for c in channels]
-    return out.select(key, "chunk", (F.col("n_channels") * len(bands)).cast("int").alias("n_channels"), "n_times", F.concat(*bands).alias("signal")), names
+    """Each channel once per band, named ``<channel>_<band>``; the originals go. Chunks and the new names; all bands in one pass."""
+    out = run_filters(chunks, [filters.butter_bandpass(low, high, rate) for low, high in bands.values()], key=key)
+    return out, [f"{c}_{band}" for band in bands for c in channels]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sigloom.operators.aggregates import correlation
 
 
-def asof_state(samples: DataFrame, states: DataFrame, value: str = "state", key: str = "session_id", ts: str = "ts", bucket: float = 3600.0) -> DataFrame:
-    """Each sample takes the last state set strictly before its time (null before the first).
+def asof_state(samples: DataFrame, states: DataFrame, value: str = "state", key: str = "session_id", ts: str = "ts", bucket: float = 3600.0, at_once: bool = False) -> DataFrame:
+    """Each sample takes the last state set strictly before its time, or ``at_once`` then too (null before the first).
 
     Sessions are cut into stretches of ``bucket`` seconds, so that a long one is sorted by many tasks; what
     a stretch starts with comes from the states alone, which are few.
@@ -21,10 +21,10 @@ def asof_state(samples: DataFrame, states: DataFrame, value: str = "state", key:
     order = Window.partitionBy(key).orderBy("__slot", "__tag")
     ends = last.select(key, (F.col("__slot") + 1).alias("__slot"), F.lit(0).alias("__tag"), "__end").unionByName(stretches.select(key, "__slot", F.lit(1).alias("__tag"), F.lit(None).cast(last.schema["__end"].dataType).alias("__end")))
     opening = ends.withColumn("__open", F.last("__end", ignorenulls=True).over(order)).filter("__tag = 1").select(key, "__slot", F.col(f"__open.{value}").alias("__first"))
-    tagged = samples.withColumns({"__slot": slot(ts), "__tag": F.lit(0), "__set": F.lit(None).cast(states.schema[value].dataType)})
+    tagged = samples.withColumns({"__slot": slot(ts), "__tag": F.lit(2 if at_once else 0), "__set": F.lit(None).cast(states.schema[value].dataType)})
     marked = marks.withColumn("__tag", F.lit(1)).withColumnRenamed(value, "__set")
     within = Window.partitionBy(key, "__slot").orderBy(ts, "__tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = tagged.unionByName(marked, allowMissingColumns=True).withColumn("__now", F.last("__set", ignorenulls=True).over(within)).filter("__tag = 0")
+    merged = tagged.unionByName(marked, allowMissingColumns=True).withColumn("__now", F.last("__set", ignorenulls=True).over(within)).filter("__tag <> 1")
     return merged.join(opening, [key, "__slot"]).withColumn(value, F.coalesce("__now", "__first")).select(*samples.columns, value)
 
 
@@ -54,13 +54,14 @@ def attach_metric(df: DataFrame, metrics: DataFrame, metric: str = "f1", key: st
     return df.join(metrics.select(key, metric), key, "left").withColumn("missing", F.col(metric).isNull())
 
 
-def lookup_subject_matrix(df: DataFrame, matrices: DataFrame, key: str = "subject_id", least: int = 1, count: str = "n") -> DataFrame:
-    """Join each row's matrix; a subject without one, or fitted on fewer than ``least`` rows, fails the job."""
+def lookup_subject_matrix(df: DataFrame, matrices: DataFrame, key: str = "subject_id", least: int = 1, count: str = "n", kept: str | None = None) -> DataFrame:
+    """Join each row's matrix; a subject without one, or fitted on fewer than ``least`` rows, fails the job. ``kept``: a column of
+    ``matrices`` that later work reads (else ``count``): the check is part of it, or it would be pruned away."""
     found = df.join(matrices, key, "left")
-    n = F.coalesce(F.col(count), F.lit(0.0))
-    # What assert_true gives is part of a kept column, or the check would be pruned away.
-    checked = F.when(F.assert_true(n >= least, F.concat(F.lit("no fitted matrix for "), F.col(key).cast("string"))).isNull(), F.col(count))
-    return found.withColumn(count, checked)
+    n = F.coalesce(F.col(count).cast("double"), F.lit(0.0))
+    checked = F.assert_true(n >= least, F.concat(F.lit("no fitted matrix for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    name = kept or count
+    return found.withColumn(name, F.when(checked.isNull(), F.col(name)))
 
 
 def pairs_within(df: DataFrame, value: str, key: str = "subject_id", index: str = "i") -> DataFrame:
@@ -120,10 +121,17 @@ def compare_preprocessing(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("
     return joined.groupBy(*keys[:-1]).agg(F.count("*").alias("n"), correlation(value, "__b").alias("correlation"), *moments)
 
 
-def warmup_rows(samples: DataFrame, annotations: DataFrame, warmup: list[str], rate: float, key: str = "subject_id", seconds: float = 30.0) -> DataFrame:
-    """Samples from a warm-up event to the next event; for keys without such an event the first ``seconds``."""
+def warmup_rows(samples: DataFrame, annotations: DataFrame, warmup: list[str], rate: float, key: str = "subject_id", seconds: float = 30.0, bucket: int | None = None) -> DataFrame:
+    """Samples from a warm-up event to the next event; for keys without such an event the first ``seconds``.
+
+    Spans and samples meet by (key, stretch of ``bucket`` of the order, the samples of ``seconds`` unless given), so a key with many rows is many join keys. A last
+    span ends where its key's samples do. Spans of a key do not overlap, so no sample comes twice.
+    """
     w = Window.partitionBy(key).orderBy("idx")
-    spans = annotations.withColumn("__end", F.coalesce(F.lead("idx").over(w), F.lit(2**62))).filter(F.col("description").isin(warmup)).select(key, F.col("idx").alias("__start"), "__end")
-    marked = samples.join(spans, (samples[key] == spans[key]) & (F.col("idx") >= F.col("__start")) & (F.col("idx") < F.col("__end")), "left_semi")
-    first = samples.join(spans.select(key).distinct(), key, "left_anti").filter(F.col("idx") < int(seconds * rate))
+    last = samples.groupBy(key).agg((F.max("idx") + 1).alias("__last"))
+    spans = annotations.select(key, "idx", "description", F.lead("idx").over(w).alias("__next")).filter(F.col("description").isin(warmup))
+    spans = spans.join(last, key).select(key, F.col("idx").alias("__start"), F.coalesce("__next", "__last").alias("__end"))
+    marked = interval_join(samples, spans, key, "idx", "__start", "__end", bucket or max(1, int(seconds * rate))).select(*samples.columns)
+    warm = annotations.filter(F.col("description").isin(warmup)).select(key).distinct()
+    first = samples.join(warm, key, "left_anti").filter(F.col("idx") < int(seconds * rate))
     return marked.unionByName(first)

@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from sigloom.operators.aggregates import ratio
 from sigloom.operators.joins import interval_join, next_different
+from sigloom.operators.stretches import previous, row_numbers, running_sum
 
 
 def segments(df: DataFrame, group: str = "grp", key: str = "session_id", order: str = "idx") -> DataFrame:
-    """Rows with a group, and ``segment`` (from 1): a new one whenever the row before has another group or none."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = F.col(group).isNotNull() & ~F.col(group).eqNullSafe(F.lag(group).over(w))
-    return df.withColumn("__new", new.cast("int")).withColumn("segment", F.sum("__new").over(w).cast("long")).filter(F.col(group).isNotNull()).drop("__new")
+    """Rows with a group, and ``segment`` (from 1): a new one whenever the row before has another group or none.
+
+    A session is cut into stretches of ``order`` (numeric), so a long one is many tasks.
+    """
+    told = previous(df, [key], order, F.col(group), "__before")
+    new = F.col(group).isNotNull() & ~F.col(group).eqNullSafe(F.col("__before.v"))
+    return running_sum(told.withColumn("__new", new.cast("int")), [key], order, F.col("__new"), "segment").filter(F.col(group).isNotNull()).drop("__new", "__before")
 
 
 def sliding_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = ("session_id", "segment"), order: str = "idx", ts: str = "ts", collect: dict[str, str] | None = None) -> DataFrame:
     """Complete windows of ``size`` rows, every ``step`` rows from the start of each segment.
 
     One row per window: keys, ``window`` (from 0), ``start_timestamp``, ``end_timestamp`` and, per entry of
-    ``collect``, an array of that column in order. A window is its own group, so segments of any length
-    are spread; each row is copied size / step times.
+    ``collect``, an array of that column in order. Segments are numbered in stretches of ``order`` (numeric), and a window is its own
+    group, so segments of any length are spread; each row is copied size / step times.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    numbered = df.withColumn("__at", F.row_number().over(w) - 1)
+    numbered = row_numbers(df, list(by), order, "__at")
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("__at") - size + 1) / step))
     last = F.floor(F.col("__at") / step)
     spread = numbered.filter(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
@@ -78,11 +81,10 @@ def missing_flag(x: str = "x") -> Column:
 
 
 def runs(df: DataFrame, flag: Column, key: str = "session_id", order: str = "idx") -> DataFrame:
-    """Maximal runs of equal ``flag``: key, ``run``, ``flag``, ``start``, ``end`` (inclusive), ``rows``."""
-    w = Window.partitionBy(key).orderBy(order)
-    flagged = df.select(key, order, flag.alias("flag"))
-    new = flagged.withColumn("__new", F.coalesce((F.col("flag") != F.lag("flag").over(w)).cast("int"), F.lit(1)))
-    return new.withColumn("run", F.sum("__new").over(w)).groupBy(key, "run", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"))
+    """Maximal runs of equal ``flag``: key, ``run``, ``flag``, ``start``, ``end`` (inclusive), ``rows``; a key is cut into stretches of ``order``."""
+    flagged = previous(df.select(key, order, flag.alias("flag")), [key], order, F.col("flag"), "__before")
+    new = F.coalesce((F.col("flag") != F.col("__before.v")).cast("int"), F.lit(1))
+    return running_sum(flagged, [key], order, new, "run").groupBy(key, "run", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"))
 
 
 def valid_runs(df: DataFrame, **names) -> DataFrame:

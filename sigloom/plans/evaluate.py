@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 from itertools import permutations
@@ -98,17 +99,6 @@ def rbf_features(features: str, n: int, size: int = 64, gamma: float = RBF_GAMMA
     return matrix.shaped(lambda x: np.sqrt(2 / size) * np.cos(x @ w + b), features)
 
 
-def rbf_classify(train: DataFrame, test: DataFrame, features: str, n: int) -> DataFrame:
-    """Add ``predicted_label`` and ``predicted_proba`` (of label 1) of a kernel logistic regression by random features."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    lift = lambda df: _vectors(df.withColumn("__f", rbf_features(features, n)), "__f")
-    model = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1e-3, maxIter=50).fit(lift(train))
-    scored = model.transform(lift(test))
-    return scored.select(*test.columns, F.col("prediction").cast("int").alias("predicted_label"), vector_to_array("probability")[1].alias("predicted_proba"))
-
-
 def keys_of(df: DataFrame, key: str = "subject_id") -> list:
     """The folds: distinct keys, one model each, so there are few."""
     return [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
@@ -125,38 +115,39 @@ def rf_classify_loso(rows: DataFrame, reference: DataFrame, trees: int = 100) ->
     return by_fold(kept, lambda train, test: rf_classify(train, test, "tangent", trees))
 
 
-def logistic_fit(df: DataFrame, by: str, features: str, label: str, size: int, ridge: float = 1e-3, steps: int = 8) -> DataFrame:
+def logistic_fit(df: DataFrame, by: str, features: str, label: str, size: int, ridge: float = 1e-3, steps: int = 25, tolerance: float = 1e-8) -> DataFrame:
     """(by, ``beta``): logistic regressions of all groups together, by Newton's method; the last entry is the intercept.
 
     A step is one job: every batch adds up its rows' gradients and curvatures by group, Spark adds the batches, and the groups'
-    small systems are solved where they meet. Rows of a group are never gathered.
+    small systems are solved where they meet. Rows of a group are never gathered. It ends when no entry moves by ``tolerance`` of the
+    largest, and warns if one still does after ``steps`` steps.
     """
-    width, kind = size + 1, df.schema[by].dataType.simpleString()
+    width = size + 1
     rows = df.select(F.col(by).alias("__g"), F.col(label).cast("double").alias("__y"), F.col(features).alias("__x"))
-    models = stage(rows.select("__g").distinct().withColumn("beta", F.array_repeat(F.lit(0.0), width)), "beta")
-
-    def sums(batches):
-        for b in batches:
-            group, y = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            x = np.concatenate([matrix.batch(b.column(2)), np.ones((len(y), 1))], 1)
-            beta = matrix.batch(b.column(3))
-            for g in np.unique(group):
-                own = group == g
-                p = 1 / (1 + np.exp(-np.clip(x[own] @ beta[own][0], -30, 30)))
-                curve = x[own].T * (p * (1 - p)) @ x[own]
-                flat = np.concatenate([[own.sum()], x[own].T @ (y[own] - p), curve.ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(flat), b.schema.field(0).type), pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["__g", "at", "v"])
+    models = stage(rows.select("__g").distinct().withColumns({"beta": F.array_repeat(F.lit(0.0), width), "moved": F.lit(1.0)}), "beta")
+
+    def sums(y: pa.Array, x: pa.Array, beta: pa.Array) -> np.ndarray:
+        y, x, beta = y.to_numpy(zero_copy_only=False), matrix.batch(x), matrix.batch(beta.slice(0, 1))[0]
+        x = np.concatenate([x, np.ones((len(y), 1))], 1)
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        return np.concatenate([[len(y)], x.T @ (y - p), (x.T * (p * (1 - p)) @ x).ravel()])
 
     def move(beta: np.ndarray, s: np.ndarray) -> np.ndarray:
         n, gradient, curve = s[:, :1], s[:, 1 : 1 + width], s[:, 1 + width :].reshape(len(s), width, width)
         return beta + np.linalg.solve(curve + (ridge * n)[..., None] * np.eye(width), (gradient - ridge * n * beta)[..., None])[..., 0]
 
     for _ in range(steps):
-        joined = rows.join(F.broadcast(models.withColumnRenamed("__g", "__h")), F.col("__g") == F.col("__h")).select("__g", "__y", "__x", "beta")
-        totals = joined.mapInArrow(sums, f"__g {kind}, at int, v double").groupBy("__g", "at").agg(F.sum("v").alias("v"))
-        flat = totals.groupBy(F.col("__g").alias("__h")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("s"))
-        models = stage(models.join(flat, F.col("__g") == F.col("__h")).select("__g", matrix.shaped(move, "beta", "s").alias("beta")), "beta")
-    return models.withColumnRenamed("__g", by)
+        joined = rows.join(models.select(F.col("__g").alias("__h"), "beta"), F.col("__g") == F.col("__h"))
+        totals = matrix.group_sums(joined, ["__g"], ["__y", "__x", "beta"], sums, "s").withColumnRenamed("__g", "__h")
+        after = models.join(totals, F.col("__g") == F.col("__h")).select("__g", "beta", matrix.shaped(move, "beta", "s").alias("new"))
+        far = F.array_max(F.zip_with("new", "beta", lambda a, b: F.abs(a - b))) / F.greatest(F.lit(1.0), F.array_max(F.transform("new", F.abs)))
+        models = stage(after.select("__g", F.col("new").alias("beta"), far.alias("moved")), "beta")
+        largest = models.agg(F.max("moved")).first()[0] or 0.0
+        if largest < tolerance:
+            break
+    else:
+        warnings.warn(f"coefficients moved by {largest:.1e} in the last of {steps} steps", stacklevel=2)
+    return models.select(F.col("__g").alias(by), "beta")
 
 
 def csp_losocv(rows: DataFrame, filters: int = 4, transport: bool = True) -> DataFrame:
@@ -168,13 +159,14 @@ def csp_losocv(rows: DataFrame, filters: int = 4, transport: bool = True) -> Dat
     means = stage(matrix.subject_means(rows), "subject-means")
     moved = matrix.parallel_transport(rows, means, matrix.general_mean(means)) if transport else rows
     moved = stage(moved.select("subject_id", "i", "event_id", F.col("label").cast("double").alias("label"), "sample_weight", "cov"), "moved")
+    # A class mean in the curved metric has no sum from which a subject could be taken, so every fold goes over the rows of the others.
     folds = moved.select(F.col("subject_id").alias("fold")).distinct()
     train = folds.join(moved, F.col("fold") != F.col("subject_id"))
     models = stage(matrix.csp_fit(train.withColumn("label", F.col("label").cast("int")), ["fold"], filters).select("fold", F.col("filters").alias("__w")), "csp")
-    featured = moved.join(F.broadcast(models), F.lit(True)).withColumn("features", matrix.filtered("__w", "cov")).withColumn("__f", rbf_features("features", filters))
+    featured = moved.crossJoin(models).withColumn("features", matrix.filtered("__w", "cov")).withColumn("__f", rbf_features("features", filters))
     featured = stage(featured.drop("__w", "cov"), "features")
     fitted = logistic_fit(featured.filter("fold <> subject_id"), "fold", "__f", "label", 64)
-    test = featured.filter("fold = subject_id").join(F.broadcast(fitted), "fold")
+    test = featured.filter("fold = subject_id").join(fitted, "fold")
     score = F.aggregate(F.zip_with("__f", F.slice("beta", 1, 64), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at("beta", 65)
     judged = test.withColumn("predicted_proba", 1 / (1 + F.exp(-score))).withColumn("predicted_label", (F.col("predicted_proba") >= 0.5).cast("int"))
     return judged.drop("__f", "beta", "fold")
@@ -235,7 +227,7 @@ def calibrated_vote_eval(predictions: DataFrame, metrics: DataFrame, n: int = 10
     """Top subjects, a threshold from each one's calibration rows, votes per event on the others, metrics per subject."""
     rows = W.calibration_split(J.top_subject_filter(predictions, metrics, n=n))
     thresholds = W.calibrate_threshold(rows.filter("calibration"), ["subject_id"], target, score=score).select("subject_id", "threshold")
-    rest = rows.filter("NOT calibration").join(F.broadcast(thresholds), "subject_id", "left")
+    rest = rows.filter("NOT calibration").join(thresholds, "subject_id", "left")
     judged = rest.withColumn("predicted_label", (F.col(score) >= F.coalesce("threshold", F.lit(0.5))).cast("int"))
     raw = judged.groupBy("subject_id").agg(F.count("*").alias("num_raw_samples"))
     cells = A.rates(A.confusion(A.event_vote(judged, ["subject_id", "event_id"]), ["subject_id"]))
@@ -355,7 +347,7 @@ def preprocessing_comparison(a: DataFrame, b: DataFrame, value: str = "f1", smal
 
 def transport_dataset(epochs: DataFrame, n_channels: int) -> tuple[DataFrame, DataFrame]:
     """Transported covariances and their tangent vectors at the general mean."""
-    rows = with_covariance(epochs, n_channels)
+    rows = stage(with_covariance(epochs, n_channels), "covariances")
     means = stage(matrix.subject_means(rows), "subject-means")
     general = stage(matrix.general_mean(means), "general")
     moved = matrix.parallel_transport(rows, means, general)

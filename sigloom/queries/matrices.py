@@ -14,6 +14,7 @@ from sigloom.operators import projections as P
 from sigloom.operators import windows as W
 from sigloom.plans import evaluate as E
 from sigloom.plans.pipeline import Step, run_pipeline
+from sigloom.queries import relational as R
 from sigloom.queries import standins as S
 from sigloom.sources.staging import stage
 
@@ -38,7 +39,7 @@ COV2 = f"""WITH {S.EPOCHS_SQL},
     plain AS (SELECT vec_id, subject_id, event_id, label, list_sum(list_transform(a, lambda v: v * v)) / 32 AS c00, list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])) / 32 AS c01, list_sum(list_transform(b, lambda v: v * v)) / 32 AS c11 FROM centred),
     shrunk AS (SELECT *, (c00 + c11) / 2 AS mu, (c00 * c00 + 2 * c01 * c01 + c11 * c11) / 4 AS alpha FROM plain),
     rho AS (SELECT *, CASE WHEN 33 * (alpha - mu * mu / 2) = 0 THEN 1 ELSE least(1, (alpha + mu * mu) / (33 * (alpha - mu * mu / 2))) END AS r FROM shrunk),
-    cov AS (SELECT vec_id, subject_id, event_id, label, (1 - r) * c00 + r * mu AS s00, (1 - r) * c01 AS s01, (1 - r) * c11 + r * mu AS s11,
+    cov AS (SELECT vec_id, subject_id, event_id, label, (1 - r) * c00 + r * mu AS s00, (1 - r) * c01 + 0.0 AS s01, (1 - r) * c11 + r * mu AS s11,
                    row_number() OVER (PARTITION BY subject_id ORDER BY event_id, vec_id) - 1 AS i FROM rho)"""
 
 
@@ -231,15 +232,37 @@ def permutation_by_user(spark, sf_dir):
     return E.permutation_test(rows, "user_id", "x", "y")
 
 
-@register()
+_RANK = "rank() OVER (PARTITION BY subject_id ORDER BY {c}) + (count(*) OVER (PARTITION BY subject_id, {c}) - 1) / 2"
+
+
+@register(
+    f"""{R.METRICS}, r AS (SELECT subject_id, true_label, {_RANK.format(c='proba')} AS r FROM pred),
+    s AS (SELECT subject_id, count(*) FILTER (true_label = 1) AS p, count(*) FILTER (true_label = 0) AS q, sum(r) FILTER (true_label = 1) AS s FROM r GROUP BY subject_id),
+    one AS (SELECT subject_id, {_RANK.format(c='proba')} AS a, {_RANK.format(c='sample_weight')} AS b FROM pred WHERE true_label = 1),
+    c AS (SELECT subject_id, count(*) AS n, CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS rho FROM one GROUP BY subject_id)
+    SELECT metrics.*, CASE WHEN s.p > 0 AND q > 0 THEN round((s - s.p * (s.p + 1) / 2) / (s.p * q), 6) END AS auc, round(rho, 6) AS rho, round({R.p_sql('rho', 'n')}, 6) AS p
+    FROM metrics JOIN s USING (subject_id) LEFT JOIN c USING (subject_id)"""
+)
 def proba_vs_score(spark, sf_dir):
-    return E.proba_vs_score(S.predictions(spark, sf_dir), "sample_weight")
+    return R.rounded(E.proba_vs_score(S.predictions(spark, sf_dir), "sample_weight"), *R.RATE_NAMES, "auc", "rho", "p")
 
 
-@register()
+@register(
+    f"""{R.PRED}, cells0 AS (SELECT subject_id, {R.CELLS} FROM pred GROUP BY subject_id),
+    top AS (SELECT subject_id FROM cells0 ORDER BY coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) DESC, subject_id LIMIT 10),
+    split AS (SELECT *, row_number() OVER w <= greatest(1, floor(count(*) OVER (PARTITION BY subject_id, true_label) * 0.1::DOUBLE)) AS calibration
+              FROM pred JOIN top USING (subject_id) WINDOW w AS (PARTITION BY subject_id, true_label ORDER BY sample_index)),
+    t AS (SELECT subject_id, proba, count(*) FILTER (true_label = 0) AS n FROM split WHERE calibration GROUP BY ALL),
+    v AS (SELECT subject_id, proba, coalesce(coalesce(sum(n) OVER w, 0) / nullif(sum(n) OVER (PARTITION BY subject_id), 0), 0) AS spec FROM t WINDOW w AS (PARTITION BY subject_id ORDER BY proba ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    th AS (SELECT subject_id, proba AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY abs(spec - 0.9::DOUBLE), proba) AS r FROM v) WHERE r = 1),
+    rest AS (SELECT split.subject_id, event_id, true_label, CAST(proba >= coalesce(threshold, 0.5) AS INTEGER) AS predicted_label FROM split LEFT JOIN th USING (subject_id) WHERE NOT calibration),
+    vote AS (SELECT subject_id, event_id, CAST(avg(true_label) >= 0.5 AS INTEGER) AS true_label, CAST(avg(predicted_label) >= 0.5 AS INTEGER) AS predicted_label FROM rest GROUP BY subject_id, event_id),
+    cells AS (SELECT subject_id, {R.CELLS} FROM vote GROUP BY subject_id)
+    SELECT cells.*, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS specificity, {R.RATES}, (SELECT count(*) FROM rest WHERE rest.subject_id = cells.subject_id) AS num_raw_samples, threshold FROM cells LEFT JOIN th USING (subject_id)"""
+)
 def calibrated_vote_eval(spark, sf_dir):
     p = S.predictions(spark, sf_dir)
-    return E.calibrated_vote_eval(p, A.binary_metrics(p, ["subject_id"]))
+    return R.rounded(E.calibrated_vote_eval(p, A.binary_metrics(p, ["subject_id"])), *R.RATE_NAMES, "specificity")
 
 
 @register()

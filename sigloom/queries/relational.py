@@ -35,6 +35,13 @@ def narrow(c: Column) -> Column:
     return c.cast("int")
 
 
+def p_sql(r: str, n: str) -> str:
+    """Two-sided p of a correlation: for whole degrees of freedom Student's distribution is a finite sum."""
+    even = f"list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * pow(1 - {r} * {r}, k)))"
+    odd = f"coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(1 - {r} * {r}, k + 0.5))), 0)"
+    return f"CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0 WHEN {n} % 2 = 0 THEN 1 - abs({r}) * {even} ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * {odd}) END"
+
+
 PRED = f"WITH {S.PREDICTIONS_SQL}"
 CELLS = "count(*) FILTER (true_label = 0 AND predicted_label = 0) AS tn, count(*) FILTER (true_label = 0 AND predicted_label = 1) AS fp, count(*) FILTER (true_label = 1 AND predicted_label = 0) AS fn, count(*) FILTER (true_label = 1 AND predicted_label = 1) AS tp"
 RATES = """round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision",
@@ -105,9 +112,13 @@ def pearson_by_user(spark, sf_dir):
     return rounded(A.pearson_by(_scores(spark, sf_dir), ["user_id"], "x", "y"), "r").drop("p")
 
 
-@register()
+@register(
+    f"""{EVENTS}, c AS (SELECT user_id, count(*) AS n, corr(x, y) AS r FROM ev GROUP BY user_id HAVING count(*) > 5), p AS (SELECT user_id, n, round(r, 6) AS r, round({p_sql('r', 'n')}, 6) AS p FROM c)
+    SELECT *, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p"""
+)
 def correlation_p_values(spark, sf_dir):
-    return A.pearson_by(_scores(spark, sf_dir), ["user_id"], "x", "y").withColumn("stars", P.significance_stars(F.col("p")))
+    found = rounded(A.pearson_by(_scores(spark, sf_dir), ["user_id"], "x", "y"), "r", "p")
+    return found.withColumn("stars", P.significance_stars(F.col("p")))
 
 
 @register(f"{EVENTS} SELECT user_id, count(*) AS n, round(avg(abs(x - y)), 6) AS mae, CASE WHEN var_pop(x) > 0 THEN round(1 - sum((x - y) ** 2) / (var_pop(x) * count(*)), 5) END AS r2 FROM ev GROUP BY user_id")

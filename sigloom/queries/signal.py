@@ -216,14 +216,14 @@ HOURLY = ANNOTATED + """, hourly AS (SELECT subject_id, idx * 1000 + event_id %
     ended AS (SELECT runs.*, s.start AS "end" FROM runs LEFT JOIN (SELECT subject_id, run, min(idx) AS start FROM runs GROUP BY subject_id, run) s ON s.subject_id = runs.subject_id AND s.run = runs.run + 1)"""
 
 
-def _hourly(spark, sf_dir):
+def hourly(spark, sf_dir):
     a = S.annotations(spark, sf_dir)
     return a.select("subject_id", (F.col("idx") * 1000 + F.col("event_id") % 1000).alias("idx"), F.split_part("description", F.lit("@@"), F.lit(1)).alias("label"), "event_id")
 
 
 @register(f'{HOURLY} SELECT subject_id, idx, label, event_id, "end" FROM ended')
 def next_different(spark, sf_dir):
-    return J.next_different(_hourly(spark, sf_dir), "label")
+    return J.next_different(hourly(spark, sf_dir), "label")
 
 
 _SPAN = 20_000_000
@@ -234,7 +234,7 @@ _SPAN = 20_000_000
     SELECT subject_id, event_id, label, start, start + {_SPAN} AS "end" FROM w"""
 )
 def event_windows(spark, sf_dir):
-    out = W.event_windows(_hourly(spark, sf_dir), "label", 1, _SPAN // 2, _SPAN, _SPAN)
+    out = W.event_windows(hourly(spark, sf_dir), "label", 1, _SPAN // 2, _SPAN, _SPAN)
     return out.select("subject_id", "event_id", "label", "start", "end")
 
 
@@ -244,7 +244,7 @@ def event_windows(spark, sf_dir):
     SELECT subject_id, event_id, start, start + {_SPAN} AS "end" FROM w"""
 )
 def event_subwindows(spark, sf_dir):
-    out = W.event_subwindows(_hourly(spark, sf_dir), 1, _SPAN // 2, _SPAN, _SPAN // 4)
+    out = W.event_subwindows(hourly(spark, sf_dir), 1, _SPAN // 2, _SPAN, _SPAN // 4)
     return out.select("subject_id", "event_id", "start", "end")
 
 
@@ -253,7 +253,7 @@ def event_subwindows(spark, sf_dir):
     SELECT h.subject_id, of_event, start, h.event_id FROM hourly h JOIN w ON h.subject_id = w.subject_id AND h.idx >= start AND h.idx < start + {5 * _SPAN}"""
 )
 def interval_join(spark, sf_dir):
-    h = _hourly(spark, sf_dir)
+    h = hourly(spark, sf_dir)
     spans = W.event_windows(h, "label", 1, 0, 5 * _SPAN, 5 * _SPAN).select("subject_id", F.col("event_id").alias("of_event"), "start", "end")
     joined = J.interval_join(h.select("subject_id", "idx", "event_id"), spans, "subject_id", "idx", "start", "end", bucket=_SPAN)
     return joined.select("subject_id", "of_event", "start", "event_id")
@@ -264,7 +264,7 @@ def interval_join(spark, sf_dir):
     SELECT subject_id, event_id, label FROM r WHERE label <> 'Background' OR ("end" IS NOT NULL AND r = 1)"""
 )
 def first_background(spark, sf_dir):
-    return W.first_background_only(_hourly(spark, sf_dir), "label", F.col("label") == "Background").select("subject_id", "event_id", "label")
+    return W.first_background_only(hourly(spark, sf_dir), "label", F.col("label") == "Background").select("subject_id", "event_id", "label")
 
 
 @register(
@@ -273,7 +273,7 @@ def first_background(spark, sf_dir):
         OR (subject_id NOT IN (SELECT subject_id FROM spans) AND idx < {3 * _SPAN})"""
 )
 def warmup_rows(spark, sf_dir):
-    h = _hourly(spark, sf_dir)
+    h = hourly(spark, sf_dir)
     events = h.filter(F.col("idx") < 20 * _SPAN).select("subject_id", "idx", F.col("label").alias("description"))
     return J.warmup_rows(h.select("subject_id", "idx", "event_id"), events, ["Background"], _SPAN / 10).select("subject_id", "event_id")
 

@@ -119,7 +119,7 @@ def replay(samples: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def parse_state_machine(config: dict) -> tuple[Machine, list[Action], list[dict]]:
-    """Machine, actions and windowing of a configuration; unknown actions, actions without a group and unknown states are errors."""
+    """Machine, actions and windowing of a configuration; unknown actions, actions without a group of their own or their state's, and unknown states are errors."""
     states = config["states"]
     transitions, labels, groups, actions = {}, {}, {}, []
     for name, state in states.items():
@@ -131,9 +131,9 @@ def parse_state_machine(config: dict) -> tuple[Machine, list[Action], list[dict]
         if "group" in state:
             groups[name] = state["group"]
         for when in ("entry", "exit"):
-            actions += [_action(f"{when}:{name}", a) for a in state.get(f"{when}_actions") or []]
+            actions += [_action(f"{when}:{name}", a, state.get("group")) for a in state.get(f"{when}_actions") or []]
         for to, more in (state.get("transition_actions") or {}).items():
-            actions += [_action(f"transition:{name}:{to}", a) for a in more]
+            actions += [_action(f"transition:{name}:{to}", a, state.get("group")) for a in more]
     windowing = config.get("windowing") or []
     for w in windowing:
         if w["action"] not in KNOWN_ACTIONS:
@@ -141,12 +141,13 @@ def parse_state_machine(config: dict) -> tuple[Machine, list[Action], list[dict]
     return Machine(config["initial_state"], transitions, labels, groups), actions, windowing
 
 
-def _action(trigger: str, raw: dict) -> Action:
+def _action(trigger: str, raw: dict, group: str | None) -> Action:
+    """An action for its own group, else for that of the state whose rules name it."""
     if raw.get("action") not in KNOWN_ACTIONS:
         raise ValueError(f"unknown action {raw.get('action')}")
-    if not raw.get("group"):
+    if not (raw.get("group") or group):
         raise ValueError(f"{trigger}: {raw['action']} has no group")
-    return Action(trigger, raw["action"], raw["group"], float(raw.get("delay_seconds", 0)))
+    return Action(trigger, raw["action"], raw.get("group") or group, float(raw.get("delay_seconds", 0)))
 
 
 def load_state_machine(path: str) -> tuple[Machine, list[Action], list[dict]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sigloom.functions import filters, linalg, matrix
-from sigloom.streaming.states import Action, Machine, walk
+from sigloom.functions import filters, linalg, matrix, signal_ops
+from sigloom.operators.joins import asof_state
+from sigloom.operators.stretches import row_numbers
+from sigloom.operators.windows import segments, sliding_windows
+from sigloom.sources.staging import stage
+from sigloom.streaming.states import Action, Machine, action_intervals, action_toggles, covered, next_covered, state_marks, state_visits, walk
 
 EVENTS = "session_id {key}, ts timestamp, tag int, code int, x array<double>"
 WINDOWS = (
@@ -126,7 +130,7 @@ def live_windows(events: DataFrame, settings: Settings, idle: str = "1 hour") ->
         if not state.hasTimedOut:
             for rows in batches:
                 for ts, tag, code, x in zip(rows.ts, rows.tag, rows.code, rows.x, strict=True):
-                    seconds = ts.value / 1e9
+                    seconds = ts.value // 1000 / 1e6
                     if seconds < mark:
                         session.late += 1
                     else:
@@ -149,17 +153,49 @@ def live_windows(events: DataFrame, settings: Settings, idle: str = "1 hour") ->
     return events.groupBy("session_id").applyInPandasWithState(run, WINDOWS.format(key=key), "session binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def replay_windows(events: DataFrame, settings: Settings) -> DataFrame:
-    """The same operator on recorded sessions, one group each."""
-    key = events.schema["session_id"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        taken = [(t.value / 1e9, int(tag), None if pd.isna(code) else int(code), x) for t, tag, code, x in zip(rows.ts, rows.tag, rows.code, rows.x, strict=True)]
-        out = advance(Session(settings.machine.start), taken, settings)
-        columns = [c.strip().split(" ")[0] for c in WINDOWS.format(key=key).split(",")]
-        return pd.DataFrame([(rows.session_id.iloc[0], *o) for o in out], columns=columns)
+def replay_windows(samples: DataFrame, markers: DataFrame, settings: Settings, chunk: int = 4096, stretch: float = 3600.0) -> DataFrame:
+    """What ``live_windows`` gives, for recorded sessions: the same windows and problem reports from the library's batch parts.
 
-    return events.groupBy("session_id").applyInPandas(run, WINDOWS.format(key=key))
+    Samples are numbered, filtered in chunks, given the state before them and cut into segments and windows; a window is emitted at its last sample,
+    or at the first later one of its segment that its action covers. Only markers, chunks' end states and rows a stretch are ever in one
+    order for a session; its samples are worked out in stretches of ``stretch`` seconds and chunks of ``chunk`` samples.
+    """
+    machine, key = settings.machine, "session_id"
+    visits = stage(state_visits(markers, machine), "visits")
+    rows = stage(row_numbers(samples.select(key, "ts", "x"), [key], "ts", "idx", stretch, ("x",)), "numbered")
+    if settings.sections is not None:
+        filtered = signal_ops.from_chunks(signal_ops.run_filters(signal_ops.to_chunks(rows, chunk), [settings.sections]), chunk)
+        rows = stage(rows.drop("x").join(filtered, [key, "idx"]), "filtered")
+    accepted = visits.filter("problem IS NULL")
+    marks = state_marks(accepted, machine).select(key, "ts", F.struct("visit", "label", "grp").alias("at"))
+    marks = marks.groupBy(key, "ts").agg(F.max_by("at", "at.visit").alias("at"))
+    told = asof_state(rows, marks, "at").select(*rows.columns, F.coalesce("at.visit", F.lit(0)).alias("visit"), "at.label", "at.grp")
+    start = machine.groups.get(machine.start), machine.labels.get(machine.start)
+    told = told.withColumn("grp", F.when(F.col("visit") == 0, F.lit(start[0]).cast("string")).otherwise(F.col("grp"))).withColumn("label", F.when(F.col("visit") == 0, F.lit(start[1]).cast("int")).otherwise(F.col("label")))
+    held = stage(segments(told), "segments")
+    windows = sliding_windows(held, settings.size, settings.step, (key, "segment", "grp"), collect={"__x": "x", "__at": "idx"})
+    windows = stage(windows.withColumn("__last", F.element_at("__at", -1)).drop("__at"), "windows")
+    # A sample comes before a marker of its time, so what a marker toggles at once holds from just after it (times are microseconds).
+    toggles = action_toggles(accepted, [replace(a, delay=a.delay or 5e-7) for a in settings.actions])
+    intervals = action_intervals(toggles).select(key, "grp", "action", "start", "end")
+    pairs = intervals.select(key, F.struct("grp", "action").alias("action"), "start", "end")
+    spans = covered(held.select(key, "segment", "grp", "idx", "ts"), pairs, [key, "segment", "grp"], index="idx", bucket=int(stretch))
+    spans = stage(spans.filter("grp = action.grp").select(key, "segment", "action.action", "first", "last"), "spans")
+    kinds = spans.select(key, "segment", "action").distinct()
+    found = next_covered(windows.join(kinds, [key, "segment"]), spans, [key, "segment", "action"], "__last")
+    there = held.select(key, F.col("idx").alias("emitted"), F.col("ts").alias("__ts"), "visit", "label")
+    channels = F.size(F.col("__x")[0])
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), channels - 1), lambda c: F.transform("__x", lambda v: v[c])))
+    null = lambda kind: F.lit(None).cast(kind)
+    emitted = found.join(there, [key, "emitted"]).select(
+        key, F.lit("window").alias("kind"), "action", F.col("visit").alias("state_visit_id"), "label", "segment", "window", "start_timestamp", "end_timestamp",
+        F.col("__ts").alias("emitted"), channels.alias("n_channels"), F.size("__x").alias("n_times"), flat.alias("sample"), null("string").alias("message"),
+    )
+    problems = visits.filter("problem IS NOT NULL").select(
+        key, F.lit("problem").alias("kind"), null("string").alias("action"), F.col("visit").alias("state_visit_id"), null("int").alias("label"), null("long").alias("segment"), null("long").alias("window"),
+        *[F.col("ts").alias(c) for c in ("start_timestamp", "end_timestamp", "emitted")], null("int").alias("n_channels"), null("int").alias("n_times"), null("array<double>").alias("sample"), F.col("problem").alias("message"),
+    )
+    return emitted.unionByName(problems)
 
 
 def predict_stream(windows: DataFrame, n_channels: int, model: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators.joins import compare_sequences
+from sigloom.operators.joins import asof_state, compare_sequences
 
 IGNORED = -1
 
@@ -88,22 +88,47 @@ def action_intervals(toggles: DataFrame) -> DataFrame:
     return numbered.filter("n % 2 = 1").select("session_id", "action", "grp", F.col("ts").alias("start"), "end")
 
 
+def covered(rows: DataFrame, intervals: DataFrame, keys: list[str], ts: str = "ts", index: str | None = None, bucket: int = 3600) -> DataFrame:
+    """(``keys``, action, ``first``, ``last``): the times (or ``index``) of the first and last row inside each interval; intervals without rows go.
+
+    Rows and intervals meet by key and stretch of ``bucket`` seconds. ``keys``: those of the rows; an open interval ends after the last row.
+    """
+    named = [k for k in keys if k in intervals.columns]
+    last = rows.groupBy(*named).agg(F.max(ts).alias("__last"))
+    spans = intervals.join(last, named).select(*named, "action", "start", F.coalesce("end", F.col("__last") + 1).alias("end")).filter("end > start")
+    slot = lambda c: F.floor(c / bucket).cast("long")
+    spread = spans.withColumn("__b", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
+    met = rows.select(*keys, F.col(ts).alias("__t"), F.col(index or ts).alias("__i")).withColumn("__b", slot(F.col("__t"))).join(spread, [*named, "__b"])
+    inside = met.filter((F.col("__t") >= F.col("start")) & (F.col("__t") < F.col("end")))
+    return inside.groupBy(*keys, "action", "start").agg(F.min("__i").alias("first"), F.max("__i").alias("last")).drop("start")
+
+
+def next_covered(asked: DataFrame, spans: DataFrame, keys: list[str], at: str, low: str = "first", high: str = "last") -> DataFrame:
+    """Add ``emitted`` to each row of ``asked``: the first time from ``at`` on that a span of its keys covers; rows that none such follows go.
+
+    Spans of the same keys do not overlap, so the span is the next that ends at ``at`` or later: an as-of join on reversed time.
+    """
+    key = F.struct(*keys).alias("__key")
+    back = spans.select(key, (-F.col(high)).alias("__ts"), F.col(low).alias("__low"))
+    found = asof_state(asked.select("*", key, (-F.col(at)).alias("__ts")), back, "__low", "__key", "__ts", at_once=True)
+    return found.filter("__low IS NOT NULL").withColumn("emitted", F.greatest(at, "__low")).drop("__key", "__ts", "__low")
+
+
 def windowed_actions(windows: DataFrame, rows: DataFrame, intervals: DataFrame, key: str = "session_id") -> DataFrame:
     """When each window is emitted for each action of its group: the first sample with a group from the window's end on at
     which the action is on, before the group's next segment; windows that none such follows are not emitted.
 
-    ``windows``: key, segment, window, grp, end_timestamp; ``rows``: samples with segment, grp, ts.
+    ``windows``: key, segment, window, grp, end_timestamp; ``rows``: samples with segment, grp, ts. Intervals shrink to the samples that they cover
+    (see ``covered``); as a window ends at a sample, it is emitted there or where the next such interval begins.
     """
     firsts = rows.groupBy(key, "grp", "segment").agg(F.min("ts").alias("__f"))
     until = firsts.select(key, "segment", F.lead("__f").over(Window.partitionBy(key, "grp").orderBy("segment")).alias("__next"))
-    asked = windows.join(until, [key, "segment"]).join(intervals, [key, "grp"])
-    start = F.greatest("end_timestamp", "start")
-    limit = F.least(F.coalesce("end", F.lit(float("inf"))), F.coalesce("__next", F.lit(float("inf"))))
-    asked = asked.select(key, "segment", "window", "grp", "action", start.alias("ts"), limit.alias("__limit"), F.lit(0).alias("__tag"))
-    merged = asked.unionByName(rows.select(key, "ts", F.lit(1).alias("__tag"), F.col("ts").alias("__at")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("ts", "__tag").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = merged.withColumn("emitted", F.first("__at", ignorenulls=True).over(w)).filter((F.col("__tag") == 0) & (F.col("emitted") < F.col("__limit")))
-    return found.groupBy(key, "segment", "window", "grp", "action").agg(F.min("emitted").alias("emitted"))
+    kinds = intervals.select(key, "grp", "action").distinct()
+    asked = windows.select(key, "segment", "window", "grp", "end_timestamp").join(until, [key, "segment"]).join(kinds, [key, "grp"])
+    names = intervals.select(key, F.struct("grp", "action").alias("action"), "start", "end")
+    spans = covered(rows.select(key, "ts"), names, [key]).select(key, "action.grp", "action.action", "first", "last")
+    found = next_covered(asked, spans, [key, "grp", "action"], "end_timestamp").filter(F.col("__next").isNull() | (F.col("emitted") < F.col("__next")))
+    return found.select(key, "segment", "window", "grp", "action", "emitted")
 
 
 def check_states(visits: DataFrame, expected: DataFrame, key: str = "session_id") -> DataFrame:

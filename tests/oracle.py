@@ -14,7 +14,8 @@ def connect(sf_dir):
 
 def value(v):
     if isinstance(v, float):
-        return "nan" if v != v else repr(round(v, 6) + 0.0)
+        # The sign of a zero counts: -0.0 and 0.0 are different values.
+        return "nan" if v != v else repr(round(v, 9))
     if isinstance(v, (list, tuple)):
         return str([value(x) for x in v])
     return str(v)

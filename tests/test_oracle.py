@@ -1,9 +1,9 @@
 import pytest
 from oracle import compare, connect
 
-from sigloom.queries import live, matrices, relational, signal
+from sigloom.queries import live, matrices, relational, sessions, signal, two_channels
 
-MODULES = (relational, signal, matrices, live)
+MODULES = (relational, signal, matrices, two_channels, live, sessions)
 WITH_SQL = [(m, name) for m in MODULES for name in m.ORACLE_SQL]
 # Jobs that fit a model per fold are run in test_plans.py on fewer subjects.
 SLOW = {"csp_losocv", "losocv_summary", "adaptation_eval", "rf_classify_loso", "sequential_elimination", "tangent_knn_loso"}

@@ -110,6 +110,95 @@ def test_eyes_are_removed(spark):
     assert abs(np.corrcoef(clean[0], blink[0])[0, 1]) < 0.5 < abs(np.corrcoef(x[0], blink[0])[0, 1])
 
 
+def test_components_by_rounds_equal_those_of_one_task(spark):
+    random = np.random.RandomState(5)
+    rows = [(g, (np.array([[1, 0.5, 0.2], [0.3, 1, 0.4], [0.1, 0.2, 1]]) @ random.laplace(size=(3, 400))).ravel().tolist()) for g in (1, 1, 2)]
+    rows.append((2, [float("nan")] * 1200))
+    df = spark.createDataFrame(rows, "subject_id long, sample array<double>")
+    one = {r.subject_id: r for r in matrix.eye_removal_fit(df, 3, (0, 1), (1, 2)).collect()}
+    many = {r.subject_id: r for r in matrix.eye_removal_fit(df, 3, (0, 1), (1, 2), largest=0).collect()}
+    assert one[1].n == 800 and one[2].n == 400 and set(one) == set(many) == {1, 2}
+    assert all(np.allclose(one[g].cleaning, many[g].cleaning, atol=1e-6) for g in one)
+    x = np.concatenate([np.reshape(r[1], (3, -1)) for r in rows[:2]], 1)
+    unmix = linalg.independent_components(x)
+    found = np.reshape(one[1].cleaning, (3, 3))
+    keeps = [np.linalg.inv(unmix) @ np.diag([0.0 if k in drop else 1.0 for k in range(3)]) @ unmix for drop in ((0, 1), (0, 2), (1, 2), (0,), (1,), (2,))]
+    assert min(np.abs(found - k).max() for k in keeps) < 1e-4
+
+
+def test_points_by_rounds_fit_as_those_of_one_task(spark):
+    random = np.random.RandomState(6)
+    points = {g: random.normal(size=(40, 2)) * (2, 1) for g in (1, 2)}
+    noise = {g: np.abs(random.normal(size=(40, 40))) * 0.05 for g in points}
+    d = {g: np.linalg.norm(p[:, None] - p[None], axis=-1) + np.triu(noise[g], 1) for g, p in points.items()}
+    pairs = spark.createDataFrame([(g, i, j, float(d[g][i, j])) for g in points for i in range(40) for j in range(i + 1, 40)], "subject_id long, i long, j long, d double")
+
+    def stress(out):
+        total = {}
+        for g in points:
+            x = np.array([[r.x, r.y] for r in sorted((r for r in out if r.subject_id == g), key=lambda r: r.i)])
+            now = np.linalg.norm(x[:, None] - x[None], axis=-1)
+            total[g] = np.square(np.triu(now - d[g], 1)).sum()
+        return total
+
+    one, many = matrix.mds_embed(pairs).collect(), matrix.mds_embed(pairs, largest=0).collect()
+    assert len(one) == len(many) == 80
+    a, b = stress(one), stress(many)
+    assert all(b[g] < 1.02 * a[g] + 1e-6 for g in a) and max(a.values()) < 10
+    assert np.allclose([[r.x, r.y] for r in sorted(one)], [[r.x, r.y] for r in sorted(many)], atol=0.05)
+
+
+def test_subjects_without_a_matrix_are_errors(spark, epochs, rows):
+    some = rows.filter("subject_id <> 2")
+    means = stage(matrix.subject_means(some), "some")
+    with pytest.raises(Exception, match="no fitted matrix for 2"):
+        matrix.parallel_transport(rows, means, matrix.general_mean(means)).collect()
+    with pytest.raises(Exception, match="no fitted matrix for 2"):
+        matrix.apply_whitening(epochs, matrix.pooled_covariance(epochs.filter("subject_id <> 2"), ["subject_id"], 3)).collect()
+    with pytest.raises(Exception, match="no fitted matrix for 2"):
+        matrix.eye_removal_apply(epochs, matrix.eye_removal_fit(epochs.filter("subject_id <> 2"), 3, (0, 1), (1, 2))).collect()
+
+
+def test_unconverged_fits_warn(rows, spark):
+    with pytest.warns(UserWarning, match="means moved by"):
+        matrix.riemann_means(rows, ["subject_id"], most=1)
+    df = spark.createDataFrame([(1, [0.1], 0), (1, [0.4], 1), (1, [0.2], 1)], "g int, x array<double>, y int")
+    with pytest.warns(UserWarning, match="coefficients moved"):
+        E.logistic_fit(df, "g", "x", "y", 1, steps=1)
+
+
+def plain_losocv(held, filters):
+    """The same folds with NumPy alone: transport, spatial filters, random features, Newton's logistic regression."""
+    subjects = sorted({r.subject_id for r in held})
+    cov = {(r.subject_id, r.i): np.reshape(r.cov, (3, 3)) for r in held}
+    label = {(r.subject_id, r.i): int(r.label) for r in held}
+    means = {s: linalg.riemann_mean(np.stack([c for (g, _), c in cov.items() if g == s])) for s in subjects}
+    general = linalg.riemann_mean(np.stack([means[s] for s in subjects]), np.array([sum(g == s for g, _ in cov) for s in subjects], float))
+    moved = {k: (e := linalg.transport_matrix(means[k[0]], general)) @ c @ e.T for k, c in cov.items()}
+    random = np.random.RandomState(42)
+    w, b = random.normal(scale=np.sqrt(2 * E.RBF_GAMMA), size=(filters, 64)), random.uniform(0, 2 * np.pi, 64)
+    out = {}
+    for s in subjects:
+        train, test = [k for k in moved if k[0] != s], [k for k in moved if k[0] == s]
+        classes = [linalg.riemann_mean(np.stack([moved[k] for k in train if label[k] == y])) for y in (0, 1)]
+        lift = lambda keys: np.concatenate([np.sqrt(2 / 64) * np.cos(linalg.log_variance(np.stack([moved[k] for k in keys]), linalg.csp(*classes, filters)[0]) @ w + b), np.ones((len(keys), 1))], 1)  # noqa: B023, E731
+        x, y, beta = lift(train), np.array([label[k] for k in train]), np.zeros(65)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-(x @ beta)))
+            beta = beta + np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * len(y) * np.eye(65), x.T @ (y - p) - 1e-3 * len(y) * beta)
+        out |= dict(zip(test, 1 / (1 + np.exp(-(lift(test) @ beta))), strict=True))
+    return out
+
+
+def test_folds_equal_plain_ones(rows):
+    wanted = plain_losocv(rows.collect(), 2)
+    found = {(r.subject_id, r.i): r.predicted_proba for r in E.csp_losocv(rows, 2).collect()}
+    assert set(found) == set(wanted) and max(abs(found[k] - wanted[k]) for k in wanted) < 1e-4
+    metrics, summary = E.losocv(rows, 2)
+    f1 = {r.subject_id: r.f1 for r in metrics.collect()}
+    assert summary.first()["mean"] == pytest.approx(np.mean(list(f1.values())))
+
+
 def test_pipeline_of_steps(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "v double")
     centre = Step("centre", lambda d, t: d.crossJoin(t["mean"]).selectExpr("v - m AS v"), fit=lambda d: {"mean": d.agg(F.avg("v").alias("m"))}, update=lambda d, t: {"mean": d.agg((F.avg("v") + 1).alias("m"))})

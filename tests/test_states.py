@@ -45,7 +45,7 @@ def test_stream_equals_replay(spark, tmp_path):
     settings = live.Settings(machine, actions, 3, 1, filters.butter_bandpass(4, 40, 250))
     samples, markers = _stream_inputs(spark)
     shown = lambda rows: sorted(str((*r[:12], [round(v, 9) for v in r.sample or []], r.message)) for r in rows)
-    expected = shown(live.replay_windows(live.tagged(samples, markers), settings).collect())
+    expected = shown(live.replay_windows(samples, markers, settings, chunk=7, stretch=11.0).collect())
     late = spark.createDataFrame([("z", 1500.0, [0.0, 0.0])], samples.schema)
     for k, part in enumerate((samples.filter("ts % 2 = 1"), samples.filter("ts % 2 = 0"), late, late.selectExpr("session_id", "ts + 500 AS ts", "x"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "samples"))
@@ -61,6 +61,23 @@ def test_stream_equals_replay(spark, tmp_path):
     assert any("window" in r for r in expected) and any("does not take" in r for r in expected)
 
 
+def test_actions_take_their_states_group():
+    config = {"initial_state": "A", "states": {"A": {"group": "g", "entry_actions": [{"action": "PREDICT"}, {"action": "FIT", "group": "h"}]}}}
+    assert [a.group for a in tables.parse_state_machine(config)[1]] == ["g", "h"]
+
+
+def test_toggles_at_the_time_of_a_sample(spark):
+    """A marker comes after the sample of its time; a delayed toggle before it."""
+    machine = Machine("A", {"A": {1: "B"}, "B": {1: "B", 2: "A"}}, groups={"B": "g"}, labels={"B": 1})
+    for delay in (0.0, 2.0):
+        settings = live.Settings(machine, [Action("transition:B:B", "PREDICT", "g", delay)], 2, 2)
+        samples = spark.createDataFrame([("s", float(t), [float(t)]) for t in range(12)], "session_id string, ts double, x array<double>")
+        markers = spark.createDataFrame([("s", 1.0, 1), ("s", 4.0, 1), ("s", 7.0, 1), ("s", 9.0, 2)], "session_id string, ts double, code int")
+        got = sorted((r.window, r.start_timestamp, r.emitted, r.state_visit_id) for r in live.replay_windows(samples, markers, settings, 5, 3.0).collect())
+        rows = [(float(t), 0, None, [float(t)]) for t in range(12)] + [(t, 1, c, None) for _, t, c in markers.collect()]
+        assert got == sorted((o[5], o[6], o[8], o[2]) for o in live.advance(live.Session("A"), rows, settings))
+
+
 def test_chunked_filter_equals_one_pass(spark):
     x = np.random.RandomState(3).normal(size=(230, 2))
     df = spark.createDataFrame([("s", i, row.tolist()) for i, row in enumerate(x)], "session_id string, idx long, x array<double>")
