@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from sigloom.llm.staging import rank_within, small_batches, stage
 from sigloom.llm.tokens import encoder
 
+KEPT_WORDS = 200_000
 PIECE = "start long, length long, crc32 long"
 
 
@@ -27,15 +28,20 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, room: int, id_col: str = "
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", T._parse_datatype_string(f"array<struct<{PIECE.replace(' ', ':')}>>".replace(",:", ",")))])
 
     def run(batches):
-        encode, end = encoder(tokenizer_path).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(tokenizer_path, KEPT_WORDS).encode, end_id.to_bytes(4, "little")
         for batch in batches:
-            counts, pieces = [], []
+            counts, ends, starts, lengths, sums = [], [0], [], [], []
             for text in batch.column(1):
                 ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + end
                 view, n = memoryview(ids), len(ids) // 4
                 counts.append(n)
-                pieces.append([{"start": s, "length": k, "crc32": zlib.crc32(view[4 * s : 4 * (s + k)])} for s, k in cut_pieces(n, room)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(pieces, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])))], ["id", "doc_tokens", "pieces"])
+                for s, k in cut_pieces(n, room):
+                    starts.append(s)
+                    lengths.append(k)
+                    sums.append(zlib.crc32(view[4 * s : 4 * (s + k)]))
+                ends.append(len(starts))
+            pieces = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (starts, lengths, sums)], ["start", "length", "crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)], ["id", "doc_tokens", "pieces"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
