@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,29 +16,46 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sigloom.llm.staging import shared_dir, small_batches, stage
 from sigloom.llm.tokens import encoder
 
-ROUNDS = 6
+ROUNDS, WALKS = 6, 64
 END = b"\n"
 MOST_TASKS = 10_000
 KEPT_WORDS = 250_000
 
 
-def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
-    """A permutation of 0..size-1: a balanced Feistel network over the next even number of bits, walked until inside."""
-    half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    out = index.astype(np.uint64)
-    left = np.ones(len(out), bool)
-    while left.any():
-        x = out[left]
-        a, b = x >> shift, x & mask
-        for r in range(ROUNDS):
-            z = b + np.uint64((key + (r + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            a, b = b, a ^ ((z ^ (z >> np.uint64(31))) & mask)
-        out[left] = a << shift | b
-        left = out >= np.uint64(size)
-    return out.astype(np.int64)
+def feistel(df: DataFrame, number: str, size: int, key: int, name: str) -> DataFrame:
+    """Add ``name``: a keyed permutation of 0..size-1, by a Feistel network over pairs of digits to the base ``ceil(sqrt(size))``.
+
+    The pairs number at most ``2 * sqrt(size)`` more than ``size``, so few numbers land outside; those walk on along their cycle until they
+    are inside. A walk of over ``WALKS`` steps would need as many pairs from outside in a row; it stops the job.
+    """
+    base = math.isqrt(max(size - 1, 0)) + 1
+    pair = f"(s, k) -> named_struct('a', s.b, 'b', pmod(s.a + pmod(xxhash64(s.b, k, {key}L), {base}L), {base}L))"
+    step = lambda x: f"aggregate(sequence(1, {ROUNDS}), named_struct('a', {x} DIV {base}L, 'b', {x} % {base}L), {pair}, s -> s.a * {base}L + s.b)"
+    walk = f"aggregate(sequence(1, {WALKS}), __step, (x, i) -> CASE WHEN x < {size}L THEN x ELSE {step('x')} END)"
+    walked = df.withColumn("__step", F.expr(step(number))).withColumn("__step", F.expr(f"CASE WHEN __step < {size}L THEN __step ELSE {walk} END"))
+    return walked.withColumn(name, F.expr(f"CASE WHEN __step < {size}L THEN __step ELSE raise_error('a walk of the permutation is too long') END").cast("long")).drop("__step")
+
+
+class _Sequences:
+    """Finished sequences and their pieces, gathered as columns of an Arrow batch."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.piece = schema, schema.field(1).type.value_type
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.ends, self.columns = [], [0], tuple([] for _ in range(5))
+
+    def add(self, ids: bytes, pieces: list[tuple]) -> None:
+        self.ids.append(ids)
+        for column, values in zip(self.columns, zip(*pieces, strict=True), strict=True):
+            column.extend(values)
+        self.ends.append(len(self.columns[0]))
+
+    def batch(self) -> pa.RecordBatch:
+        fields = [pa.array(c, f.type) for c, f in zip(self.columns, self.piece, strict=True)]
+        held = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(self.piece)))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.binary()), held.cast(self.schema.field(1).type)], schema=self.schema)
 
 
 def encode_sequences(df: DataFrame, tokenizer_path: str, room: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -53,35 +69,27 @@ def encode_sequences(df: DataFrame, tokenizer_path: str, room: int, id_col: str,
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields])))])
 
     def run(batches):
-        own, end = encoder(tokenizer_path, KEPT_WORDS), end_id.to_bytes(2, "little")
-        if own.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of this vocabulary do not fit in two bytes")
-        target = to_arrow_schema(schema)
-        open_, pieces, rows = bytearray(), [], []
-
-        def batch():
-            ids, held = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(held, target.field(1).type)], schema=target)
-
+        encode, end, full = encoder(tokenizer_path, KEPT_WORDS, 2).encode, end_id.to_bytes(2, "little"), 2 * room
+        out, open_, pieces = _Sequences(to_arrow_schema(schema)), bytearray(), []
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(own.encode((text.as_py() or b"").decode("utf-8", "replace")), "<u4").astype("<u2").tobytes() + end
+                ids = encode((text.as_py() or b"").decode("utf-8", "replace")) + end
                 at = 0
                 while at < len(ids):
-                    part = ids[at : at + 2 * room - len(open_)]
-                    pieces.append({"id": doc, "start": at // 2, "length": len(part) // 2, "offset": len(open_) // 2, "crc32": zlib.crc32(part)})
+                    part = ids[at : at + full - len(open_)]
+                    pieces.append((doc, at // 2, len(part) // 2, len(open_) // 2, zlib.crc32(part)))
                     open_ += part
                     at += len(part)
-                    if len(open_) == 2 * room:
-                        rows.append((bytes(open_), pieces))
+                    if len(open_) == full:
+                        out.add(bytes(open_), pieces)
                         open_, pieces = bytearray(), []
-                        if len(rows) == 512:
-                            yield batch()
-                            rows.clear()
+                        if len(out.ids) == 512:
+                            yield out.batch()
+                            out.clear()
         if open_:
-            rows.append((bytes(open_), pieces))
-        if rows:
-            yield batch()
+            out.add(bytes(open_), pieces)
+        if out.ids:
+            yield out.batch()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -127,11 +135,7 @@ def materialise(
         tokens = stage(encode_sequences(df, tokenizer_path, room, id_col, text_col, end_id), "tokens")
     numbered, total = number_rows(tokens, "number")
 
-    @F.pandas_udf("long")
-    def slot(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(number.to_numpy(), total, key))
-
-    ordered = numbered.withColumn("slot", slot("number")).withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
+    ordered = feistel(numbered, "number", total, key, "slot").withColumn("shard", F.expr(f"slot DIV {per_shard}L"))
     shards = -(-total // per_shard)
     record = F.concat("ids", F.expr(f"repeat(X'00', {2 * room} - octet_length(ids))").cast("binary"))
     with shuffle_files_dropped(spark):
@@ -140,7 +144,9 @@ def materialise(
             if first == last:
                 continue
             own = ordered.filter((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", "slot", "ids")
-            dealt = own.repartitionByRange(min(last - first, MOST_TASKS), "shard").sortWithinPartitions("shard", "slot")
+            # Ranges of shards with known bounds: no sampling pass.
+            tasks = min(last - first, MOST_TASKS)
+            dealt = own.repartitionById(tasks, F.expr(f"CAST((shard - {first}) * {tasks} DIV {last - first} AS INT)")).sortWithinPartitions("shard", "slot")
             dealt.select("shard", record.cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", END.decode()).option("compression", "none").text(path)
     held = ordered.select("slot", "shard", F.explode("pieces").alias("p"))
     return held.select(F.col("p.id").alias(id_col), "p.start", "p.length", "slot", "shard", (F.col("slot") % per_shard).alias("record"), "p.offset", F.col("p.crc32").alias("ids_crc32"))
