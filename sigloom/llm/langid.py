@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,12 @@ FOLDS = 5
 
 @dataclass
 class Settings:
-    """Bounds of the fit. ``sample``: labelled rows in all; ``landmarks`` of them; ``languages``: the most frequent labels learned."""
+    """Bounds of the fit. ``sample``: labelled rows in all, or one a label where labels are more; ``landmarks`` of them."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     slot_bits: int = 15
     sample: int = 2000
     landmarks: int = 128
-    languages: int = 200
     ridge: float = 1e-3
     batch: int = 64
 
@@ -74,10 +74,10 @@ def fold(id_col) -> F.Column:
 
 
 def sample_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(``lang``, ``text``): per language the rows of smallest hash, ``settings.sample`` in all at most."""
+    """(``lang``, ``text``): of every language the rows of smallest id hash, as many of each, ``settings.sample`` in all or one a language."""
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col)) != 0))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return rows.select("lang", "text").limit(0)
     quota = max(1, settings.sample // len(counts))
@@ -85,7 +85,7 @@ def sample_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str, l
     bounds = [(r["lang"], min(2**63 - 1, 2 * (quota + 20) * 2**63 // r["n"])) for r in counts]
     limits = df.sparkSession.createDataFrame(bounds, "lang string, most long")
     near = rows.join(F.broadcast(limits), "lang").filter(F.abs(F.coalesce("h", F.lit(0))) <= F.col("most"))
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= quota).select("lang", "text")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).filter(F.col("k") <= quota).select("lang", "text")
 
 
 def fit(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -109,8 +109,10 @@ def fit(df: DataFrame, settings: Settings | None = None, id_col: str = "doc_id",
         return Model([], np.zeros((0, size), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), settings)
     packed = np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows])
     truth = np.array([labels.index(r["lang"]) for r in rows])
-    per = max(1, settings.landmarks // len(labels))
-    chosen = np.concatenate([np.flatnonzero(truth == k)[:: max(1, (truth == k).sum() // per)][:per] for k in range(len(labels))])[: settings.landmarks]
+    # Landmarks in turn from all languages: one row of each, then another of each; which ones, a hash decides.
+    h, turn = np.array([zlib.crc32(x.tobytes()) for x in packed]), np.empty(len(packed), int)
+    turn[np.lexsort((h, truth))] = np.concatenate([np.arange(n) for n in np.bincount(truth)])
+    chosen = np.lexsort((h, turn))[: settings.landmarks]
     unit = lambda some: (x := np.unpackbits(some, axis=1).astype(np.float32)) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
     landmarks = unit(packed[chosen])
     kernel = np.concatenate([unit(packed[k : k + 128]) @ landmarks.T for k in range(0, len(packed), 128)]).astype(np.float64)
