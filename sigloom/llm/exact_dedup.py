@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.staging import null_safe, stage
@@ -11,6 +13,14 @@ BLOCK_BITS = 512
 PROBES = 3
 
 
+def filter_room(spark: SparkSession, share: int = 16, most: int = 1 << 30) -> int:
+    """Bytes that a broadcast filter may take: a 16th of an executor's or the driver's heap, whichever is smaller, and 1 GB at most."""
+    heaps = [spark.conf.get(f"spark.{x}.memory", "1g") for x in ("executor", "driver")]
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    sizes = [int(n) << units[unit[0]] if unit else int(n) << 20 for n, unit in (re.fullmatch(r"(\d+)([kmgt]?)b?", h.lower()).groups() for h in heaps)]
+    return min(most, min(sizes) // share)
+
+
 def _blocks(rows: int, bits_per_row: int, max_filter_bytes: int) -> int:
     wanted, most = max(1, rows * bits_per_row // BLOCK_BITS), max(1, max_filter_bytes * 8 // BLOCK_BITS)
     return min(1 << (wanted - 1).bit_length(), most)
@@ -33,13 +43,13 @@ def repeated_filter(hashed: DataFrame) -> DataFrame:
     return words.select(F.col("__block").alias("__b"), F.array(*[f"__w{i}" for i in range(BLOCK_BITS // 64)]).alias("__words"))
 
 
-def mark_possible(df: DataFrame, text_col: str, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
+def mark_possible(df: DataFrame, text_col: str, bits_per_row: int = 16, max_filter_bytes: int | None = None) -> DataFrame:
     """Add ``__sha`` (of the text; null as empty) and ``__possible``: false if no other row can have the text.
 
-    Both passes scan the input and shuffle filter slots only. The filter has a fixed greatest
-    size, which bounds the broadcast; past its capacity more rows count as possibly repeated,
-    and results stay exact.
+    Both passes scan the input and shuffle filter slots only. The filter's greatest size follows the heaps (see ``filter_room``), which
+    bounds the broadcast; past its capacity more rows count as possibly repeated, and results stay exact.
     """
+    max_filter_bytes = max_filter_bytes or filter_room(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     blocks = _blocks(df.count(), bits_per_row, max_filter_bytes)
     words = stage(repeated_filter(df.select(text.alias("__text")).withColumns(_hashed(F.col("__text"), blocks))), "bloom")
@@ -55,18 +65,19 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id stays; null ids are smaller than any other, and if all are null ``keep_id`` is null and
     one row stays. Of rows with the same id and text one stays. Other columns of the
     input are not read, so their names cannot clash. An empty table gives no rows. Rows that the filter clears
-    never shuffle. A group of any size is counted by (text, id) before its rows meet, and Spark splits its join.
+    never shuffle. A group of any size is pre-aggregated to its size and last row, and Spark splits its rows' join with them.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    marked = stage(mark_possible(rows, "__t", **filter_options).select("__id", "__sha", "__possible"), "marked")
+    marked = stage(mark_possible(rows, "__t", **filter_options).select("__id", "__sha", "__possible", F.monotonically_increasing_id().alias("__row")), "marked")
     alone = marked.filter("NOT __possible").select(
         F.col("__id").alias(id_col), F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256")
     )
-    per_id = stage(marked.filter("__possible").groupBy("__sha", "__id").agg(F.count("*").alias("__n")), "copies")
-    groups = stage(per_id.groupBy(F.col("__sha").alias("__s")).agg(F.max("__id").alias("keep_id"), F.sum("__n").alias("group_size")), "groups")
-    joined = per_id.join(groups, F.col("__sha") == F.col("__s")).withColumn("__copy", F.explode(F.expr("sequence(1L, __n)")))
-    shared = joined.select(
-        F.col("__id").alias(id_col), "keep_id", "group_size", (F.col("__id").eqNullSafe(F.col("keep_id")) & (F.col("__copy") == 1)).alias("kept"), F.col("__sha").alias("text_sha256")
+    possible = marked.filter("__possible")
+    last = F.max(F.struct("__id", (-F.col("__row")).alias("__first"))).alias("__last")
+    groups = stage(possible.groupBy(F.col("__sha").alias("__s")).agg(last, F.count("*").alias("group_size")), "groups")
+    stays = F.col("__row") == -F.col("__last.__first")
+    shared = possible.join(groups, F.col("__sha") == F.col("__s")).select(
+        F.col("__id").alias(id_col), F.col("__last.__id").alias("keep_id"), "group_size", stays.alias("kept"), F.col("__sha").alias("text_sha256")
     )
     return alone.unionByName(shared)
 
