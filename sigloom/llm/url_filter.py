@@ -31,10 +31,10 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path_of(url), r"/$", ""), F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise(F.lit("")))
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every host suffix at a dot with every prefix of the path as long as some rule's path."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def rule_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """Every host suffix at a dot, of ``labels`` labels at most, with every prefix of the path as long as some rule's path."""
+    parts = F.split(host, r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda n: F.array_join(F.slice(parts, -n, n), "."))
     paths = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths], F.lit(None).cast("string")))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(F.lit("rule "), h, p))))
 
@@ -79,7 +79,7 @@ def probe(df: DataFrame, table: np.ndarray) -> Column:
 
 
 def judge_urls(
-    df: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16, max_filter_bytes: int = 16 << 20, broadcast_rows: int = 100_000
+    df: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16, max_filter_bytes: int = 16 << 20, broadcast_bytes: int = 8 << 20
 ) -> DataFrame:
     """One row per row of ``df``: id, ``host``, ``path``, ``rule``, ``verdict``.
 
@@ -87,28 +87,30 @@ def judge_urls(
     longest wins, of equal ones that with the longer host. Without a rule a URL is blocked if its canonical form is in
     ``listed`` (``url``, canonical; nulls and repeats are ignored), else allowed. Both kinds of entry are keys of one list behind one
     filter: URLs of which no key may be listed are allowed at once, and only the others are joined with the list. A list of
-    ``broadcast_rows`` at most is broadcast, a longer one shuffles, and Spark splits a key's rows there. Hits
-    are gathered by (id, url) with their number, so repeated pages come out as often as they came. A null URL or one without :// has an
-    empty host and path, fits no rule and is not listed. Null ids are kept. Other columns are not read. An empty table gives no rows.
+    ``broadcast_bytes`` at most is broadcast, a longer one shuffles, and Spark splits a key's rows there. Every row is a row of its own,
+    so repeated pages come out as often as they came. A null URL or one without :// has an empty host and path, fits no rule and is not
+    listed. Of a host only as many last labels are looked up as the longest rule's host has, so very long URLs cost what their length
+    does. Null ids are kept. Other columns are not read. An empty table gives no rows.
     """
     spark = df.sparkSession
     fixed = spark.createDataFrame([(f"rule {h}{p}", f"{h}{p}", v, len(h)) for v, h, p in rules], "key string, rule string, verdict string, host_chars int")
     urls = listed.filter("url IS NOT NULL").select(F.concat(F.lit("url "), "url").alias("key")).distinct()
     keys = stage(fixed.unionByName(urls.selectExpr("key", "CAST(NULL AS STRING) AS rule", "'block' AS verdict", "0 AS host_chars")), "listed")
-    lengths = sorted({len(p) for _, _, p in rules})
+    lengths, labels = sorted({len(p) for _, _, p in rules}), max((h.count(".") + 1 for _, h, _ in rules), default=1)
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    both = F.concat(rule_keys(F.col("host"), F.col("path"), lengths), F.array(F.concat(F.lit("url "), canonical(F.col("url")))))
+    both = F.concat(rule_keys(F.col("host"), F.col("path"), lengths, labels), F.array(F.concat(F.lit("url "), canonical(F.col("url")))))
     pages = pages.withColumn("keys", F.when(F.col("host") != "", both).otherwise(F.array().cast("array<string>")))
     pages = pages.withColumn("h", F.transform("keys", lambda k: F.xxhash64(k)))
     places = probe(df, build_filter(keys, bits_per_key, max_filter_bytes))
-    probed = stage(pages.withColumn("at", places("h", F.transform("h", lambda x: F.xxhash64(x)))).select("id", "url", "host", "path", F.expr("transform(at, i -> keys[i])").alias("keys")), "probed")
+    probed = pages.withColumn("at", places("h", F.transform("h", lambda x: F.xxhash64(x)))).select("id", "host", "path", F.expr("transform(at, i -> keys[i])").alias("keys"))
+    probed = stage(probed.withColumn("row", F.monotonically_increasing_id()), "probed")
     entries = keys.select(F.col("key").alias("__key"), "rule", "verdict", "host_chars")
-    if keys.count() <= broadcast_rows:
+    if (keys.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0) <= broadcast_bytes:
         entries = F.broadcast(entries)
-    hits = probed.filter(F.size("keys") > 0).groupBy("id", "url", "host", "path", "keys").agg(F.count("*").alias("__n"))
-    exact = hits.withColumn("key", F.explode("keys")).join(entries, F.col("key") == F.col("__key"), "left")
+    exact = probed.filter(F.size("keys") > 0).select("row", F.explode("keys").alias("key")).join(entries, F.col("key") == F.col("__key"))
     best = F.max(F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("chars"), F.coalesce("host_chars", F.lit(-1)).alias("host_chars"), "rule", "verdict"))
-    judged = exact.groupBy("id", "url", "host", "path").agg(best.alias("best"), F.max("__n").alias("__n")).withColumn("__copy", F.explode(F.expr("sequence(1L, __n)")))
-    found = judged.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    judged = exact.groupBy(F.col("row").alias("__row")).agg(best.alias("best"))
+    hits = probed.filter(F.size("keys") > 0).join(judged, F.col("row") == F.col("__row"), "left")
+    found = hits.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
     clear = probed.filter(F.size("keys") == 0).select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     return clear.unionByName(found)
