@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.staging import stage
 
 PER_BLOCK = 1024
 PER_TURN = 50_000
-BLOCK = "pivot int, lo double, hi double, norm double, n int, ids binary, vectors binary, width int"
+TURN_BYTES = 64 << 20
+PER_TASK = 100_000
+BLOCK = "pivot int, lo double, hi double, norm double, n int, keys binary, ids binary, vectors binary, width int"
+FOUND = "query_key long, vec_id long, score long"
 
 
 def as_integers(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """(``id``, ``v`` array<long>): floor(scale * x); rows with a null id or vector, or a null or non-finite component, go.
+    """(``key``, ``id``, ``v`` array<long>): floor(scale * x); rows with a null id or vector, or a null or non-finite component, go.
 
-    Of repeated ids the smallest vector is used, so that an id names one row.
+    ``key`` tells rows apart, whatever their ids; it is only stable once written.
     """
     x = F.col(vector_col).cast("array<double>")
     fine = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf")))
     rows = df.filter(F.col(id_col).isNotNull() & x.isNotNull()).filter(fine)
-    return rows.select(F.col(id_col).alias("id"), F.transform(x, lambda y: F.floor(scale * y)).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.transform(x, lambda y: F.floor(scale * y)).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -39,7 +44,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, width: int, pivots: int, sample: int) -> np.ndarray:
     """``pivots`` centres: a few rounds of k-means on the ``sample`` vectors with the smallest id hashes."""
-    table = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    table = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").toArrow()
     points = np.concatenate([_matrix(x, width) for x in table.column(0).chunks] or [np.zeros((0, width))]).astype(np.float64)
     centres = points[: max(1, min(pivots, len(points)))]
     for _ in range(8):
@@ -64,36 +69,37 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, width: int) -> DataFrame
     session = vectors.sparkSession
     shared = session.sparkContext.broadcast(pivots)
 
-    def key(batches):
+    def place(batches):
         for b in batches:
-            d = distances(_matrix(b.column(1), width).astype(np.float64), shared.value) if b.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else [], pa.float64())], ["id", "v", "pivot", "r"])
+            d = distances(_matrix(b.column(2), width).astype(np.float64), shared.value) if b.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else [], pa.float64())], ["key", "id", "v", "pivot", "r"])
 
-    keyed = stage(vectors.mapInArrow(key, "id long, v array<long>, pivot int, r double"), "keyed")
+    keyed = stage(vectors.mapInArrow(place, "key long, id long, v array<long>, pivot int, r double"), "keyed")
+    shared.destroy()
     reach = keyed.groupBy(F.col("pivot").alias("__p")).agg(F.max("r").alias("most"))
     # One row per pivot, and per pivot and annulus: both bounded by the settings.
     ringed = keyed.join(F.broadcast(reach), F.col("pivot") == F.col("__p")).withColumn("ring", F.when(F.col("most") > 0, F.floor(64 * F.col("r") / F.col("most"))).otherwise(0).cast("int"))
     rings = ringed.groupBy(F.col("pivot").alias("__q"), F.col("ring").alias("__r")).agg(F.ceil(F.count("*") / PER_BLOCK).alias("deals"))
     dealt = ringed.join(F.broadcast(rings), (F.col("pivot") == F.col("__q")) & (F.col("ring") == F.col("__r")))
-    dealt = dealt.select("id", "v", "pivot", "ring", "r", F.pmod(F.xxhash64("id"), F.col("deals")).alias("deal"))
-    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "id", "v", "pivot", "ring", "r", F.pmod(F.xxhash64("key"), F.col("deals")).alias("deal"))
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // PER_TASK))
 
     def pack(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches).combine_chunks()
-        ids, pivot, ring, deal, r = (table.column(c).to_numpy() for c in ("id", "pivot", "ring", "deal", "r"))
+        keys, ids, pivot, ring, deal, r = (table.column(c).to_numpy() for c in ("key", "id", "pivot", "ring", "deal", "r"))
         x = _matrix(table.column("v").chunk(0), width)
-        order = np.lexsort((ids, r, deal, ring, pivot))
-        ids, pivot, ring, deal, r, x = ids[order], pivot[order], ring[order], deal[order], r[order], x[order]
+        order = np.lexsort((keys, ids, r, deal, ring, pivot))
+        keys, ids, pivot, ring, deal, r, x = (c[order] for c in (keys, ids, pivot, ring, deal, r, x))
         new = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (ring[1:] != ring[:-1]) | (deal[1:] != deal[:-1])]))
         rows = []
         for lo, hi in zip(new, [*new[1:], len(ids)], strict=True):
             own = x[lo:hi]
             small = np.int16 if np.abs(own.astype(np.float64)).max(initial=0) < 2**15 else np.int64
             norm = np.sqrt(np.square(own.astype(np.float64)).sum(1).max(initial=0))
-            rows.append((int(pivot[lo]), r[lo:hi].min(), r[lo:hi].max(), norm, hi - lo, ids[lo:hi].astype("<i8").tobytes(), own.astype(small).tobytes(), np.dtype(small).itemsize))
+            rows.append((int(pivot[lo]), r[lo:hi].min(), r[lo:hi].max(), norm, hi - lo, keys[lo:hi].astype("<i8").tobytes(), ids[lo:hi].astype("<i8").tobytes(), own.astype(small).tobytes(), np.dtype(small).itemsize))
         yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCK.split(", ")]).astype({"pivot": "int32", "n": "int32", "width": "int32"}), preserve_index=False)
 
     return stage(dealt.repartition(parts, "pivot", "ring", "deal").mapInArrow(pack, BLOCK), "blocks")
@@ -117,12 +123,12 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.T.astype(np.int64)
 
 
-def _expand(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, least: np.ndarray | None):
+def _expand(keys: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, least: np.ndarray | None):
     """Search a partition's blocks. ``least``: for each query a score that k candidates are known to reach; None: only the blocks around the query."""
 
     def run(batches):
         blocks = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame()], ignore_index=True)
-        if blocks.empty:
+        if blocks.empty or not len(q):
             return
         away = distances(q, pivots)
         bounds = np.stack([upper_bounds(q, away[:, b.pivot], b.lo, b.hi, b.norm) for b in blocks.itertuples()])
@@ -139,12 +145,12 @@ def _expand(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, least: n
             asks = np.flatnonzero(((rank == at) & first).any(0) if least is None else bounds[at] >= floor)
             if not len(asks):
                 continue
-            names = np.frombuffer(b.ids, "<i8")
-            x = np.frombuffer(b.vectors, np.int16 if b.width == 2 else np.int64).reshape(len(names), -1)
+            own, names = np.frombuffer(b["keys"], "<i8"), np.frombuffer(b["ids"], "<i8")
+            x = np.frombuffer(b["vectors"], np.int16 if b["width"] == 2 else np.int64).reshape(len(names), -1)
             for s in range(0, len(asks), 1024):
                 some = asks[s : s + 1024]
                 score = _products(q[some], x)
-                legal = names[None, :] != ids[some][:, None]
+                legal = own[None, :] != keys[some][:, None]
                 all_s = np.concatenate([best_s[some], np.where(legal, score, np.iinfo(np.int64).min)], 1)
                 all_i = np.concatenate([best_i[some], np.where(legal, names[None, :], np.iinfo(np.int64).max)], 1)
                 top = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
@@ -153,20 +159,23 @@ def _expand(ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, least: n
                 full = filled[some] >= k
                 floor[some] = np.where(full, np.maximum(floor[some], best_s[some][:, -1]), floor[some])
         row, col = np.nonzero(np.arange(k)[None, :] < np.minimum(filled, k)[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_key", "vec_id", "score"])
 
     return run
 
 
-def top_k(df: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 64, sample: int = 4096, per_turn: int = PER_TURN) -> DataFrame:
+def top_k(
+    df: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 64, sample: int = 4096, per_turn: int = PER_TURN, turn_bytes: int = TURN_BYTES
+) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for every query its ``k`` largest integer inner products.
 
     Components become floor(1024 * x). ``query_ids``: a condition on ``id``. Candidates are all rows but the query's own; with
     fewer than ``k`` all are returned; ties go to the smaller id. Rows with a null id, a null vector, or null or non-finite
-    components take no part; of repeated ids the smallest vector counts; vectors of unequal length are compared as
-    if filled with zeros. Scores are exact while they fit in a long. Pivots are fitted on ``sample`` vectors; all are indexed. Queries go
-    to the blocks ``per_turn`` at a time, which bounds the broadcast: first to the annuli that promise most, then to every annulus
-    whose bound reaches the k-th score found, in sorted order and with rising scores to beat. An empty table gives no rows.
+    components take no part. Rows of the same id are rows of their own, as candidates and as queries, each with its own ranks. Vectors of unequal
+    length are compared as if filled with zeros. Scores are exact while they fit in a long. Pivots are fitted on ``sample`` vectors; all are
+    indexed. Queries go to the blocks ``per_turn`` at a time, or as many as take ``turn_bytes``, and a turn's broadcasts go when its results are
+    written: first to the annuli that promise most, then to every annulus whose bound reaches the k-th score found, in sorted order and
+    with rising scores to beat. An empty table gives no rows.
     """
     spark = df.sparkSession
     vectors = stage(as_integers(df, id_col, vector_col), "vectors")
@@ -174,27 +183,33 @@ def top_k(df: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vector_
     centres = choose_pivots(vectors, width, pivots, sample)
     index = build_index(vectors, centres, width)
     asked = vectors.filter(query_ids)
-    turns = max(1, -(-asked.count() // per_turn))
-    out = None
+    turns = max(1, -(-asked.count() // max(1, min(per_turn, turn_bytes // (8 * max(1, width))))))
+    parts = []
     for turn in range(turns):
-        table = asked.filter(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).orderBy("id").toArrow()
-        ids = table.column(0).to_numpy().astype(np.int64)
+        table = asked.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn).select("key", "v").orderBy("key").toArrow()
+        if not table.num_rows and (parts or turn + 1 < turns):
+            continue
+        keys = table.column(0).to_numpy().astype(np.int64)
         q = np.concatenate([_matrix(x, width) for x in table.column(1).chunks] or [np.zeros((0, width))]).astype(np.float64)
-        seen = index.mapInArrow(_search(spark, ids, q, centres, k, None), "query_id long, vec_id long, score long")
-        kth = _ranked(seen, k).filter(F.col("rank") == k).select("query_id", "score").toArrow()
-        least = np.full(len(ids), -np.inf)
-        least[np.searchsorted(ids, kth.column(0).to_numpy())] = kth.column(1).to_numpy()
-        found = index.mapInArrow(_search(spark, ids, q, centres, k, least), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    return _ranked(out, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        seen = _search(spark, index, (keys, q, centres, k, None))
+        kth = _ranked(seen, k).filter(F.col("rank") == k).select("query_key", "score").toArrow()
+        least = np.full(len(keys), -np.inf)
+        least[np.searchsorted(keys, kth.column(0).to_numpy())] = kth.column(1).to_numpy()
+        parts.append(_search(spark, index, (keys, q, centres, k, least)))
+    names = asked.select(F.col("key").alias("__key"), F.col("id").alias("query_id"))
+    best = _ranked(reduce(DataFrame.unionByName, parts), k).join(names, F.col("query_key") == F.col("__key"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(spark, ids, q, centres, k, least):
-    shared = spark.sparkContext.broadcast((ids, q, centres, k, least))
-    return lambda batches: _expand(*shared.value)(batches)
+def _search(spark: SparkSession, index: DataFrame, settings: tuple) -> DataFrame:
+    """The k best of each partition, staged: the queries' broadcast goes when they are written."""
+    shared = spark.sparkContext.broadcast(settings)
+    found = stage(_ranked(index.mapInArrow(lambda batches: _expand(*shared.value)(batches), FOUND), settings[3]).drop("rank"), "found")
+    shared.destroy()
+    return found
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The best k of what the partitions found: k rows a partition and query at most."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
