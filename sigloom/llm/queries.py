@@ -73,11 +73,7 @@ QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_warc_der
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
-_ENTITIES_SQL = "t3"
-for _name, _letter in warc.ENTITIES.items():
-    _ENTITIES_SQL = "replace({}, '{}', '{}')".format(_ENTITIES_SQL, _name, _letter.replace("'", "''"))
-
-_BLOCKS = "p|br|div|h[1-6]|li|ul|ol|tr|table|title|article|nav|footer|head|body|html"
+_NAMES_SQL = "MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in warc.ENTITIES.items()) + "}"
 
 
 def _urn_sql(kind: str, of: str) -> str:
@@ -111,25 +107,31 @@ ORACLE_SQL = {
             SELECT page_id, url, coalesce(html, '') AS body, coalesce(CAST(page_id AS VARCHAR), '') AS k, coalesce(url, '') AS u FROM pages),
         b AS (
             SELECT *, 'sha256:' || sha256(body) AS d, strlen(body) AS n, {_urn_sql('response', "k || '|' || u || '|' || 'sha256:' || sha256(body)")} AS rid,
-                   regexp_replace(body, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t1 FROM a),
-        c AS (SELECT *, regexp_replace(regexp_replace(t1, '(?i)</?({_BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t3 FROM b),
-        e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace({_ENTITIES_SQL}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt,
-                   {_urn_sql('conversion', 'rid')} AS cid, {_urn_sql('metadata', 'rid')} AS mid FROM c),
+                   regexp_replace(body, '{warc.HIDDEN}', ' ', 'g') AS t1 FROM a),
+        c AS (SELECT *, string_split(regexp_replace(regexp_replace(t1, '{warc.BLOCK_TAG}', chr(10), 'g'), '{warc.TAG}', '', 'g'), '&') AS pieces FROM b),
+        names AS MATERIALIZED (SELECT {_NAMES_SQL} AS m),
+        named AS (SELECT c.*, list_transform(pieces[2:], lambda p: {{'p': p, 'n': regexp_extract(p, '^({warc.REFERENCE});', 1)}}) AS refs FROM c),
+        coded AS (SELECT named.*, list_transform(refs, lambda r: {{'p': r.p, 'n': r.n, 'rest': substr(r.p, length(r.n) + 2), 'code': CASE
+                         WHEN regexp_matches(r.n, '^#[xX]') THEN TRY_CAST('0x' || substr(r.n, 3) AS INTEGER) WHEN starts_with(r.n, '#') THEN TRY_CAST(substr(r.n, 2) AS INTEGER) END}}) AS refs2 FROM named),
+        t AS (SELECT coded.*, pieces[1] || coalesce(array_to_string(list_transform(refs2, lambda r: coalesce(CASE WHEN r.n = '' THEN NULL
+                         WHEN r.code > 0 AND r.code < 1114112 AND NOT r.code BETWEEN 55296 AND 57343 THEN chr(r.code) || r.rest ELSE m[r.n] || r.rest END, '&' || r.p)), ''), '') AS t3 FROM coded, names),
+        e AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t3, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt,
+                   {_urn_sql('conversion', 'rid')} AS cid, {_urn_sql('metadata', 'rid')} AS mid FROM t),
         f AS (
             SELECT page_id, 'metadata' AS record_type, mid AS record_id, rid, url, d, n, 'application/warc-fields' AS content_type,
                    'conversion-id: <' || cid || '>' || chr(13) || chr(10) || 'source-payload-digest: ' || d || chr(13) || chr(10) || 'source-payload-length: ' || n || chr(13) || chr(10)
-                   || 'outlinks: ' || len(regexp_extract_all(body, '(?i)<a\s[^>]*href=')) || chr(13) || chr(10)
-                   || 'title: ' || trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>([^<]*)</title', 1), '\s+', ' ', 'g')) || chr(13) || chr(10) AS content FROM e
+                   || 'outlinks: ' || len(list_filter(regexp_extract_all(body, '{warc.LINK_TAG}'), lambda x: regexp_matches(x, '(?i)href='))) || chr(13) || chr(10)
+                   || 'title: ' || trim(regexp_replace(regexp_extract(body, '{warc.TITLE}', 1), '\s+', ' ', 'g')) || chr(13) || chr(10) AS content FROM e
             UNION ALL SELECT page_id, 'conversion', cid, rid, url, d, n, 'text/plain; charset=utf-8', txt FROM e)
         SELECT page_id, record_type, record_id, rid AS refers_to, url AS target_uri, '{WARC_DATE}' AS "date", d AS source_digest,
                'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || n || chr(13) || chr(10) AS source_headers,
                content_type, content, CAST(strlen(content) AS BIGINT) AS content_length, 'sha256:' || sha256(content) AS block_digest FROM f""",
     "op5_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        s AS (SELECT q.k AS k, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.k <> c.k),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import name2codepoint
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-# Named entities that are turned back to characters, &amp; last so that nothing is turned twice.
-ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+#: Elements before and after which a line ends.
+BLOCKS = "p|br|div|h[1-6]|li|ul|ol|tr|table|title|article|nav|footer|head|body|html"
+#: What is no text: unclosed constructs run to the end, so every pattern passes over a text once. A tag begins with < and a letter, / ! or ?.
+HIDDEN = r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|!--.*?(?:-->|\z))"
+BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^>]*(?:>|\z)"
+TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
+LINK_TAG = r"(?i)<a\s[^>]*"
+TITLE = r"(?i)<title\b[^>]*(?:>|\z)([^<]*)"
+#: A character reference between & and semicolon: decimal, hexadecimal or a name.
+REFERENCE = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31}"
+#: The letters of HTML 4's names and of &apos;; a no-break space is a space.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def urn(*parts: Column) -> Column:
@@ -18,16 +31,42 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
+def character(reference: str) -> str | None:
+    """What a reference (without & and ;) stands for; None for unknown names, zero, surrogates and numbers beyond Unicode."""
+    if reference[0] != "#":
+        return ENTITIES.get(reference)
+    code = int(reference[2:], 16) if reference[1] in "xX" else int(reference[1:])
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+
+
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace(r"\z", r"\Z"), re.ASCII)
+
+
+HIDDEN_AT, BLOCK_TAG_AT, TAG_AT, REFERENCE_AT = (_compiled(p) for p in (HIDDEN, BLOCK_TAG, TAG, f"&({REFERENCE});"))
+
+
+def visible(html: str) -> str:
+    """A page's text: no scripts, styles, comments or tags; a line per block; character references as characters; no blank at a line's ends."""
+    text = TAG_AT.sub("", BLOCK_TAG_AT.sub("\n", HIDDEN_AT.sub(" ", html)))
+    if "&" in text:
+        text = REFERENCE_AT.sub(lambda m: character(m[1]) or m[0], text)
+    for blank in "\t\r\f":
+        text = text.replace(blank, " ")
+    for double, single in (("  ", " "), (" \n", "\n"), ("\n ", "\n"), ("\n\n", "\n")):
+        while double in text:
+            text = text.replace(double, single)
+    return text.strip(" \n")
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: no scripts, styles, comments or tags; a line per block; entities of ENTITIES as characters."""
-    text = F.coalesce(html, F.lit(""))
-    text = F.regexp_replace(text, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)</?(p|br|div|h[1-6]|li|ul|ol|tr|table|title|article|nav|footer|head|body|html)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, letter in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    """The ``visible`` text of a column of pages, null as empty."""
+
+    @F.arrow_udf("string")
+    def texts(pages: pa.Array) -> pa.Array:
+        return pa.array([visible(p.as_py() or "") for p in pages], pa.string())
+
+    return texts(html)
 
 
 def digest(text: Column) -> Column:
@@ -54,14 +93,17 @@ def derive(source: DataFrame) -> DataFrame:
     Columns: ``key``, ``record_type`` (metadata or conversion), ``record_id``, ``refers_to`` (the response's id), ``target_uri``, ``date``,
     ``source_digest`` (of the payload), ``source_headers``, ``content_type``, ``content``, ``content_length`` (bytes), ``block_digest``. The metadata
     record's fields name its conversion record, and both name the response. One narrow pass, no shuffle: a row never
-    leaves its task. Null payloads count as empty; the derivatives of repeated responses are repeated.
+    leaves its task. Null payloads count as empty and null headers stay null; the derivatives of repeated responses are repeated, with the same ids.
+    Work grows with a page's length, however long it is and whatever is left unclosed in it. Other columns are not read, so
+    their names cannot clash. An empty table gives no rows.
     """
     payload = F.coalesce(F.col("payload"), F.lit(""))
     texts = source.withColumns({"__text": html_text(payload), "__digest": digest(payload), "__conversion": urn(F.lit("conversion"), F.col("record_id")), "__metadata": urn(F.lit("metadata"), F.col("record_id"))})
-    title = F.regexp_extract(payload, r"(?is)<title[^>]*>([^<]*)</title", 1)
+    title = F.regexp_extract(payload, TITLE, 1)
+    links = F.size(F.filter(F.regexp_extract_all(payload, F.lit(LINK_TAG), F.lit(0)), lambda tag: tag.rlike("(?i)href=")))
     fields = F.concat(
         *[F.lit("conversion-id: <"), F.col("__conversion"), F.lit(f">{CRLF}source-payload-digest: "), F.col("__digest"), F.lit(f"{CRLF}source-payload-length: "), F.octet_length(payload).cast("string")],
-        *[F.lit(f"{CRLF}outlinks: "), F.regexp_count(payload, F.lit(r"(?i)<a\s[^>]*href=")).cast("string"), F.lit(f"{CRLF}title: "), F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(CRLF)],
+        *[F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}title: "), F.trim(F.regexp_replace(title, r"\s+", " ")), F.lit(CRLF)],
     )
     record = lambda kind, record_id, type_, content: F.struct(F.lit(kind).alias("record_type"), F.col(record_id).alias("record_id"), F.lit(type_).alias("content_type"), content.alias("content"))
     both = F.array(record("metadata", "__metadata", "application/warc-fields", fields), record("conversion", "__conversion", "text/plain; charset=utf-8", F.col("__text")))
