@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.functions import linalg, matrix
+from sigloom.functions import linalg, matrix, stats
 from sigloom.operators import windows as W
 from sigloom.plans import evaluate as E
 from sigloom.plans.pipeline import Step, fit_next, partial_fit, run_pipeline, transform
@@ -100,6 +100,28 @@ def test_permutation_p(spark):
     assert {r.g: r.p for r in E.permutation_test(spark.createDataFrame(data, "g int, x double, y double"), "g", "x", "y", 499, block=100).collect()} == {g: r.p for g, r in out.items()}
 
 
+def test_exact_permutation_p_is_that_of_all_pairings(spark):
+    from itertools import permutations
+
+    random = np.random.RandomState(7)
+    data = [(g, float(a), float(b)) for g, n in ((1, 5), (2, 6), (3, 7)) for a, b in zip(random.randint(0, 6, n), random.randint(0, 6, n), strict=True)]
+    out = {r.g: r for r in E.permutation_test(spark.createDataFrame(data, "g int, x double, y double"), "g", "x", "y", block=300).collect()}
+    for g in (1, 2, 3):
+        x, y = (stats.mid_rank(np.array([r[c] for r in data if r[0] == g])) for c in (1, 2))
+        rho = np.corrcoef(x, y)[0, 1]
+        every = np.array([np.corrcoef(x, y[list(p)])[0, 1] for p in permutations(range(len(x)))])
+        wanted = min(1.0, 2 * min((every >= rho - 1e-12).mean(), (every <= rho + 1e-12).mean()))
+        assert out[g].rho == pytest.approx(rho) and out[g].p == pytest.approx(wanted)
+
+
+def test_scores_are_predicted_from_other_folds(spark):
+    random = np.random.RandomState(8)
+    data = [(i, x.tolist(), float(x[0] > 0.5) + 0.5 * float(x[1] > 0.5)) for i, x in enumerate(random.rand(200, 3))]
+    out = E.score_regression_cv(spark.createDataFrame(data, "i long, x array<double>, y double"), "x", "y", trees=20).collect()
+    y, p = np.array([r.y for r in out]), np.array([r.predicted_score for r in out])
+    assert len(out) == 200 and 1 - np.square(y - p).sum() / np.square(y - y.mean()).sum() > 0.8
+
+
 def test_eyes_are_removed(spark):
     random = np.random.RandomState(3)
     blink = np.repeat(random.rand(1, 40) < 0.2, 25, 1) * 8.0
