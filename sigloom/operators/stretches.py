@@ -25,14 +25,21 @@ def _joined(cut: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     return cut.join(renamed, same).drop(*[f"__of_{n}" for n in names])
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, stretch: float = STRETCH, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``name``: the sum (long) of ``value`` over the key's rows up to this one by ``order``; ``ties`` order rows of the same ``order``."""
-    cut = _cut(df, order, stretch).withColumn("__of_row", value.cast("long"))
-    sums = cut.groupBy(*keys, "__stretch").agg(F.sum("__of_row").alias("__sum"))
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], stretch: float = STRETCH, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add, by name, the sums (long) of ``values`` over the key's rows up to this one by ``order``; ``ties`` order rows of the same ``order``."""
+    of = {name: f"__of_row_{k}" for k, name in enumerate(values)}
+    cut = _cut(df, order, stretch).withColumns({of[n]: v.cast("long") for n, v in values.items()})
+    sums = cut.groupBy(*keys, "__stretch").agg(*[F.sum(c).alias(c) for c in of.values()])
     before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*keys, "__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carried_sum"))
+    carried = sums.select(*keys, "__stretch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in of.values()])
     within = Window.partitionBy(*keys, "__stretch").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _joined(cut, carried, keys).withColumn(name, F.col("__carried_sum") + F.coalesce(F.sum("__of_row").over(within), F.lit(0))).drop("__of_row", "__carried_sum", "__stretch")
+    summed = {n: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in of.items()}
+    return _joined(cut, carried, keys).withColumns(summed).drop("__stretch", *of.values(), *[f"{c}_before" for c in of.values()])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, stretch: float = STRETCH, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``name``: one of ``running_sums``."""
+    return running_sums(df, keys, order, {name: value}, stretch, ties)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: str, name: str, stretch: float = STRETCH, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigloom.operators.aggregates import ratio
 from sigloom.operators.joins import interval_join, next_different
-from sigloom.operators.stretches import previous, row_numbers, running_sum
+from sigloom.operators.stretches import previous, row_numbers, running_sum, running_sums
 
 
 def segments(df: DataFrame, group: str = "grp", key: str = "session_id", order: str = "idx") -> DataFrame:
@@ -160,15 +160,17 @@ def temporal_distance_fused(pairs: DataFrame, alpha: float = 0.5, key: str = "su
 def hybrid_sweep(df: DataFrame, index: str = "sample_index", a: str = "predicted_label", b: str = "predicted_b", true: str = "true_label") -> DataFrame:
     """For every N: model A for the first N rows of each subject, B for the rest; support-weighted f1 over all rows.
 
-    Rows are counted by index; prefix sums over the indexes give the cells of every N.
+    Rows are counted by index; prefix sums over the indexes, stretch by stretch, give the cells of every N.
     """
     t, one = F.col(true), F.lit(1)
     cell = lambda c, k, p: F.sum(((t == k) & (F.col(c) == p)).cast("long"))
     per = df.groupBy(index).agg(*[cell(c, k, p).alias(f"{n}{k}{p}") for n, c in (("a", a), ("b", b)) for k in (0, 1) for p in (0, 1)])
-    upto, every = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(F.lit(0))
-    start = per.select(F.lit(-1).cast("long").alias(index), *[F.lit(0).cast("long").alias(c) for c in per.columns if c != index]).limit(1)
+    names = [c for c in per.columns if c != index]
+    start = per.agg(F.lit(-1).cast("long").alias(index), *[F.lit(0).cast("long").alias(c) for c in names], F.count("*").alias("__n")).filter("__n > 0").drop("__n")
     rows = per.withColumn(index, F.col(index).cast("long")).unionByName(start)
-    mixed = rows.select((F.col(index) + one).alias("n"), *[(F.sum(f"a{k}{p}").over(upto) + F.sum(f"b{k}{p}").over(every) - F.sum(f"b{k}{p}").over(upto)).alias(f"c{k}{p}") for k in (0, 1) for p in (0, 1)])
+    upto = running_sums(rows, [], index, {f"__{c}": F.col(c) for c in names})
+    every = per.agg(*[F.sum(c).alias(f"__all_{c}") for c in names if c[0] == "b"])
+    mixed = upto.crossJoin(F.broadcast(every)).select((F.col(index) + one).alias("n"), *[(F.col(f"__a{k}{p}") + F.col(f"__all_b{k}{p}") - F.col(f"__b{k}{p}")).alias(f"c{k}{p}") for k in (0, 1) for p in (0, 1)])
     c = lambda k, p: F.col(f"c{k}{p}")
     f1 = lambda k: ratio(2 * c(k, k), 2 * c(k, k) + c(k, 1 - k) + c(1 - k, k))
     support = lambda k: c(k, 0) + c(k, 1)
