@@ -19,6 +19,8 @@ SEED = 42
 SPLIT_BITS = 6
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _FRONTIER = 1 << 15
+#: Laid-out fingerprints that a task walks, each 40 bytes or so in a few arrays.
+PER_TASK = 1_000_000
 _SMALL = 16
 
 
@@ -212,16 +214,17 @@ def linked_fingerprints(distinct: DataFrame, budget: int = 3) -> DataFrame:
 
     Of ``budget + 1`` equal stretches of a fingerprint one is equal in both of a pair, so the trie is laid
     out once per stretch, turned to the front, and its first levels, where no bit may differ, are Spark's
-    partitioning. A node that holds more than half of an even partition's rows is walked further in Spark: its
+    partitioning, of ``PER_TASK`` rows a task or less. A node that holds more than half of an even partition's rows is walked further in Spark: its
     fingerprints go to pairs of child nodes with the differing bits added up, until none is so large.
     """
     spark, stretch = distinct.sparkSession, 64 // (budget + 1)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid_rows = distinct.count() * (budget + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-laid_rows // PER_TASK))
     turns = [F.struct(F.lit(k).alias("k"), F.shiftleft("fp", stretch * k).bitwiseOR(F.shiftrightunsigned("fp", 64 - stretch * k) if k else F.lit(0)).alias("rot")) for k in range(budget + 1)]
     laid = distinct.select("fp", F.explode(F.array(*turns)).alias("t")).select("fp", "t.*")
     front = F.shiftrightunsigned("rot", 64 - min(stretch, 16))
     tasks = laid.select((F.col("k") * (1 << 16) + front).alias("task"), F.lit(2).alias("side"), F.lit(0).alias("spent"), "fp", "rot")
-    most = max(64, distinct.count() * (budget + 1) // (2 * parts))
+    most = max(64, laid_rows // (2 * parts))
     done = []
     for _ in range(64 // SPLIT_BITS + 1):
         sizes = tasks.groupBy("task").agg(F.count("*").alias("n"), F.min("side").alias("l"), F.max("side").alias("r"))
