@@ -12,6 +12,7 @@ from sigloom.operators import projections as P
 from sigloom.operators import windows as W
 from sigloom.queries import standins as S
 from sigloom.sources import tables
+from sigloom.sources.staging import stage
 from sigloom.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,8 +369,8 @@ def action_intervals(spark, sf_dir):
 )
 def windowed_actions(spark, sf_dir):
     """Windows of the group that the action covers, and when each is emitted."""
-    rows = _segments(spark, sf_dir)
-    windows = W.sliding_windows(rows, 3, 2, collect={"groups": "grp"}).withColumn("grp", F.col("groups")[0])
-    visits = states.state_visits(S.markers(spark, sf_dir), last_code_machine()).filter("problem IS NULL")
+    rows = stage(_segments(spark, sf_dir).select("session_id", "segment", "grp", "idx", "ts"), "segments")
+    windows = stage(W.sliding_windows(rows, 3, 2, ("session_id", "segment", "grp")), "windows")
+    visits = stage(states.state_visits(S.markers(spark, sf_dir), last_code_machine()).filter("problem IS NULL"), "visits")
     intervals = states.action_intervals(states.action_toggles(visits, [states.Action("entry:Imagery", "PREDICT", "i", 60.0)]))
     return states.windowed_actions(windows, rows, intervals).select("session_id", "segment", "window", "emitted")
