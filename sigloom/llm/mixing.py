@@ -56,8 +56,10 @@ def mix(
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     bits = F.bin(F.col("__size"))
     rows = df.withColumns({"__size": size.cast("long"), "__source": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "__md5": digest, "__id": F.col(id_col)}).select(*[F.col(c) for c in kept], "__size", "__source", "__md5", "__id")
-    rows = rows.withColumn("__band", (F.length(bits) * 8 + F.conv(F.substring(bits, 1, 3), 2, 10).cast("int")).cast("int"))
-    rows = rows.withColumn("__chunk", F.floor(F.conv(F.substring("__md5", 1, 8), 16, 10).cast("long") * chunks / F.lit(1 << 32)).cast("int"))
+    # Never null, which Spark must see: else it tests the keys before the join and works out the sizes again for that.
+    sure = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    rows = rows.withColumn("__band", sure(F.length(bits) * 8 + F.conv(F.substring(bits, 1, 3), 2, 10).cast("int")))
+    rows = rows.withColumn("__chunk", sure(F.floor(F.conv(F.substring("__md5", 1, 8), 16, 10).cast("long") * chunks / F.lit(1 << 32))))
     counts = stage(rows.groupBy("__source", "__band", "__chunk").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words")), "mix-counts")
     named = F.when(F.col("__source") != "", F.substring("__source", 2, 2**31 - 1))
     sizes = counts.groupBy(named.alias("source")).agg(F.sum("__words").alias("source_size"))
