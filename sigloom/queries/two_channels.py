@@ -284,13 +284,13 @@ def calibrated_top_subjects_2ch(spark, sf_dir):
 @register(
     f"""{LOO}, {loo_sql('dist', 'a', 5)}, {loo_sql('dist', 'b', 15)}, both_ AS (SELECT 'k5' AS pipeline, * FROM metrics_a UNION ALL SELECT 'k15', * FROM metrics_b),
     long AS (SELECT pipeline, measure, value FROM both_ UNPIVOT (value FOR measure IN (accuracy, "precision", recall, f1)))
-    SELECT pipeline, measure, count(value) AS "count", round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 5) AS q25,
-           round(quantile_cont(value, 0.5), 5) AS q50, round(quantile_cont(value, 0.75), 5) AS q75, max(value) AS max FROM long GROUP BY ALL"""
+    SELECT pipeline, measure, count(value) AS "count", round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 9) AS q25,
+           round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.75), 9) AS q75, max(value) AS max FROM long GROUP BY ALL"""
 )
 def compare_pipelines_2ch(spark, sf_dir):
     rows = staged2(spark, sf_dir)
     table = E.compare_pipelines({"k5": lambda: _metrics(rows, 5), "k15": lambda: _metrics(rows, 15)})[1]
-    return rounded(table, "mean", "std", "q25", "q50", "q75", digits=5)
+    return rounded(table, "mean", "std", "q25", "q50", "q75", digits=9)
 
 
 def _renamed(sql: str, suffix: str) -> str:
