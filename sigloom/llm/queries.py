@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm import exact_dedup, langid, mixing, packing, sharding, simhash, token_output, topk, url_filter, warc
+from sigloom.llm import exact_dedup, langid, mixing, packing, sharding, simhash, substrings, token_output, topk, url_filter, warc
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -69,7 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_warc_derivatives, op4_simhash, op5_topk, op6_packing, op7_token_output, op8_exact_dedup, op9_sharding, op10_mixing)}
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_warc_derivatives, op4_simhash, op5_topk, op6_packing, op7_token_output, op8_exact_dedup, op9_sharding, op10_mixing, op12_substring_dedup)}
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
@@ -150,4 +154,16 @@ ORACLE_SQL = {
                      CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS e
               FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, CAST(floor((i + 1) * e + 0.381966::DOUBLE) - floor(i * e + 0.381966::DOUBLE) AS BIGINT) * size AS taken FROM r""",
+    "op12_substring_dedup": rf"""
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, doc_id, coalesce(doc_id, -9223372036854775808) AS o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT k, o, w, unnest(range(1, len(w) - {substrings.WORDS - 2})) AS i FROM d WHERE len(w) >= {substrings.WORDS}),
+        win AS MATERIALIZED (SELECT k, o, i, array_to_string(w[i:i + {substrings.WORDS - 1}], ' ') AS s FROM p),
+        first AS (SELECT s, min(o) AS lo FROM win GROUP BY s),
+        gone AS (SELECT DISTINCT k, unnest(range(i, i + {substrings.WORDS})) AS i FROM win JOIN first USING (s) WHERE lo < o),
+        words AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+        kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (k, i) GROUP BY k),
+        n AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)""",
 }

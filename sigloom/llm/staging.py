@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.sources.staging import shared_dir, stage
+from sigloom.sources.staging import remove, shared_dir, stage
 
-__all__ = ["chunk_count", "null_safe", "rank_within", "running_total", "shared_dir", "small_batches", "stage"]
+__all__ = ["chunk_count", "null_safe", "rank_within", "running_total", "shared_dir", "shuffle_files_dropped", "small_batches", "stage", "unstage"]
 
 
 @contextmanager
@@ -25,6 +25,23 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffle_files_dropped(spark: SparkSession):
+    """Within, shuffle files go as soon as the job that made them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete what ``stage`` wrote for ``df``, which must not be read after that."""
+    remove(df.sparkSession, df.inputFiles()[0].rpartition("/")[0])
+
+
 def chunk_count(spark: SparkSession) -> int:
     """Chunks into which a key's rows are cut: more than there are shuffle partitions."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

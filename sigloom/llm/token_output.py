@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sigloom.llm.staging import shared_dir, small_batches, stage
+from sigloom.llm.staging import shared_dir, shuffle_files_dropped, small_batches, stage
 from sigloom.llm.tokens import encoder
 
 ROUNDS, WALKS = 6, 64
@@ -105,18 +104,6 @@ def number_rows(staged: DataFrame, name: str) -> tuple[DataFrame, int]:
     return at.join(F.broadcast(offsets), F.col("__file") == F.col("__f")).withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__f", "__before"), total
 
 
-@contextmanager
-def shuffle_files_dropped(spark: SparkSession):
-    """Within, shuffle files go as soon as the job that made them has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def materialise(
     df: DataFrame, path: str, tokenizer_path: str, key: int, room: int = 1024, per_shard: int = 8192, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
 ) -> DataFrame:
