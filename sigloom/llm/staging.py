@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sigloom.sources.staging import remove, shared_dir, stage
 
-__all__ = ["chunk_count", "null_safe", "rank_within", "running_total", "shared_dir", "shuffle_files_dropped", "small_batches", "stage", "unstage"]
+__all__ = ["chunk_count", "null_safe", "rank_within", "running_total", "shared_dir", "shuffle_files_dropped", "small_batches", "stage", "unstage", "wrapped"]
 
 
 @contextmanager
@@ -37,6 +37,11 @@ def shuffle_files_dropped(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct, ``row``: an operator's own columns beside it cannot clash with them. ``select("row.*")`` gives them back."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"))
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what ``stage`` wrote for ``df``, which must not be read after that."""
     remove(df.sparkSession, df.inputFiles()[0].rpartition("/")[0])

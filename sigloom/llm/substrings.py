@@ -24,7 +24,7 @@ _NULL_ID = -(2**63)
 
 
 @cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64."""
     up = np.full(n, base, np.uint64)
     down = np.full(n, pow(base, -1, 2**64), np.uint64)
@@ -58,7 +58,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while k < len(first):
         stop = max(k + 1, int(np.searchsorted(end, first[k] + _CHUNK, "right")))
         lo, hi = int(first[k]), int(end[stop - 1])
-        up, down = _powers(int(_BYTE_BASE), max(_CHUNK, 1 << (hi - lo).bit_length()))
+        up, down = powers(int(_BYTE_BASE), max(_CHUNK, 1 << (hi - lo).bit_length()))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo])])
         out[k:stop] = (sums[end[k:stop] - lo] - sums[first[k:stop] - lo]) * down[first[k:stop] - lo]
         k = stop
