@@ -118,7 +118,7 @@ _MORE = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
 
 def _step_sql(state: int, keeps: list[str], reroles: list[str]) -> str:
     ways = [_least_sql((f"w{state}", 2, "D"))]
-    ways += [f"CASE WHEN sound {k} END" for k in keeps] + [f"CASE WHEN sound THEN {_least_sql((r, _MORE, 'R'))} END" for r in reroles]
+    ways += [f"CASE WHEN sound {k} END" for k in keeps] + [f"CASE WHEN sound THEN {_least_sql((r, f'1 + {_MORE}', 'R'))} END" for r in reroles]
     return f"least({', '.join(ways)}) AS v{state}"
 
 
