@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.staging import null_safe, stage
+from sigloom.llm.staging import null_safe, stage, wrapped
 
 BLOCK_BITS = 512
 PROBES = 3
@@ -83,14 +83,16 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
-    """The rows of ``df``, all columns, that ``exact_groups`` keeps.
+    """The rows of ``df``, all columns as they are whatever their names, that ``exact_groups`` keeps.
 
-    Rows that the filter clears pass straight through. The others meet their group's largest
-    id by (text, id), a key that no group of copies can make hot. Of rows with the same id and text any one stays.
+    Texts are equal when identical; null counts as empty. Of equal texts the row with the largest id stays, null being smaller than any; of rows with the same id and text
+    any one stays. An empty table gives no rows. Rows that the filter clears pass straight through. The others meet their group's largest
+    id by (text, id), a key that no group of copies can make hot.
     """
-    marked = mark_possible(df, text_col, **filter_options)
+    rows = wrapped(df).withColumns({"__id": F.col("row")[id_col], "__t": F.col("row")[text_col]})
+    marked = mark_possible(rows, "__t", **filter_options)
     possible = marked.filter("__possible")
-    keepers = stage(possible.groupBy("__sha").agg(F.max(id_col).alias("__keep")), "keepers").withColumnRenamed("__sha", "__s")
+    keepers = stage(possible.groupBy("__sha").agg(F.max("__id").alias("__keep")), "keepers").withColumnRenamed("__sha", "__s")
     # An inner join (keepers are unique): Spark would push a semi join below the filter's join, and all rows would shuffle.
-    stays = possible.join(keepers, null_safe(possible, keepers, {"__sha": "__s", id_col: "__keep"})).select(*marked.columns)
-    return marked.filter("NOT __possible").unionByName(stays.dropDuplicates(["__sha", id_col])).select(*df.columns)
+    stays = possible.join(keepers, null_safe(possible, keepers, {"__sha": "__s", "__id": "__keep"})).select(*marked.columns)
+    return marked.filter("NOT __possible").unionByName(stays.dropDuplicates(["__sha", "__id"])).select("row.*")

@@ -199,7 +199,11 @@ def identify(df: DataFrame, settings: Settings | None = None, id_col: str = "doc
 
 
 def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "text", lift: float = -np.inf) -> DataFrame:
-    """The rows of ``df``, all columns, whose language ``judge`` names with a score of ``least`` and a lift of ``lift`` or more; ``und`` never stays."""
+    """The rows of ``df``, all columns, whose language ``judge`` names with a score of ``least`` and a lift of ``lift`` or more; ``und`` never stays.
+
+    Only the text says whether a row stays: null and empty texts and those without a letter go, repeated rows stay or go together, and other columns, of any
+    names, come back as they are. An empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.staging import chunk_count, stage
+from sigloom.llm.staging import chunk_count, stage, wrapped
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,6 +79,13 @@ def mix(
     return joined.select(*kept, F.col("__size").alias("size"), "source_size", "target", crossed.cast("long").alias("copies"))
 
 
+def mix_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``df``, all columns as they are whatever their names, each as often as ``mix`` takes it by its words."""
+    rows = wrapped(df)
+    own = rows.select("row", F.col("row")[id_col].alias("mix_id"), F.col("row")[source_col].alias("mix_source"), word_count(F.col("row")[text_col]).alias("words"))
+    return emit_copies(mix(own, F.col("words"), "mix_id", "mix_source", **options), ["row"]).select("row.*")
+
+
 def emit_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each document as often as it was taken."""
     return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*columns)

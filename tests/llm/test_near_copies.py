@@ -2,8 +2,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
-from sigloom.llm import near_copies
+from sigloom.llm import exact_dedup, mixing, near_copies
 
 
 def brute(texts):
@@ -36,8 +37,7 @@ def test_stage_drops_edited_copies_as_brute_force_does(spark, sf_dir):
     assert kept == {k for k in texts if least[k] == k}
 
 
-def test_large_group_is_compared_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "_BLOCK", 4)
+def test_large_group_around_one_text(spark):
     r = random.Random(4)
     hub = [f"w{k}" for k in range(200)]
     texts = {0: " ".join(hub)}
@@ -58,3 +58,59 @@ def test_words_across_blocks_and_short_texts():
     assert len(near_copies.shingle_set(b"")) == len(near_copies.shingle_set(b"one two")) == 1
     assert np.array_equal(near_copies.shingle_set(b"A b\nC"), near_copies.shingle_set(b" a B c "))
     assert len(near_copies.shingle_set(b"a b c d e f a b c d e")) == 6
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Repeated ids neither link unlike texts nor take them along."""
+    a, b = (" ".join(f"{x}{k}" for k in range(50)) for x in "ab")
+    df = spark.createDataFrame([(1, a, 1), (5, a, 2), (5, b, 3), (9, b, 4), (9, b, 4), (None, a, 5), (7, None, 6), (8, "", 7)], "doc_id long, text string, n int")
+    kept = sorted((r["doc_id"], r["n"]) for r in near_copies.drop_near_copies(df).filter("doc_id IS NOT NULL").collect())
+    assert kept == [(1, 1), (5, 3), (7, 6)]
+    found = {(r["id"], r["component_id"]) for r in near_copies.near_copies(df).collect()}
+    assert found == {(1, 1), (5, 1), (5, 5), (9, 5), (7, 7), (8, 7)}
+
+
+def test_pairs_that_no_bucket_links_first(spark):
+    """Chains of texts across buckets, of sizes from 3 to 4000 words, with all pairs compared."""
+    r = random.Random(9)
+    texts = {}
+    for k in range(40):
+        words = [f"{k % 8}w{j}" for j in range([3, 5, 9, 60, 61, 200, 900, 4000][k % 8])]
+        for _ in range(max(0, len(words) // r.choice([30, 60, 200]))):
+            words[r.randrange(len(words))] = f"x{r.randrange(3)}"
+        texts[k] = " ".join(words + [f"{k % 8}w{j}" for j in range(r.randrange(1 + len(words) // 6))])
+    least, pairs = brute(texts)
+    assert len(pairs) > 20
+    found = {x["id"]: x["component_id"] for x in near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: found.get(k, k) for k in texts} == least
+
+
+def test_prefix_pairs_leave_out_none(spark):
+    """Every similar pair of any sizes is among them; texts that share a template but are not similar mostly are not."""
+    r = random.Random(10)
+    sets = [sorted(r.sample(range(k, k + 60), r.randint(1, 50))) for k in range(0, 40) for _ in range(3)]
+    sets += [sorted({x for x in s if r.random() < 0.95}) or s for s in sets]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "node long, set array<long>")
+    alone = df.select("node", F.col("node").alias("comp"))
+    found = {(p["a"], p["b"]) for p in near_copies.prefix_pairs(df, alone, 0.8).collect()}
+    wanted = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}) - 1e-9}
+    assert wanted <= found and len(wanted) > 50
+    template = list(range(10**6, 10**6 + 110))
+    unlike = spark.createDataFrame([(k, template + list(range(1000 * k, 1000 * k + 90))) for k in range(300)], "node long, set array<long>")
+    assert near_copies.prefix_pairs(unlike, unlike.select("node", F.col("node").alias("comp")), 0.8).count() == 0
+
+
+def test_stages_keep_all_columns(spark, clashing, nothing):
+    """Names of results and inner columns as the input's: every value comes back, also of repeated rows, nulls, long and empty texts."""
+    names = "row sha words mix_id mix_source __sha __possible __block __md5 __band __size __t __id __words size keep_sha component_id node comp".split()
+    df = clashing.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    rows = {tuple(r) for r in df.collect()}
+    for stage in (near_copies.drop_near_copies, exact_dedup.drop_exact_duplicates, mixing.mix_documents):
+        out = stage(df)
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= rows
+        assert out.count() > 4
+        assert stage(nothing).columns == nothing.columns and stage(nothing).count() == 0
+    kept = [r["text"] for r in exact_dedup.drop_exact_duplicates(df).collect()]
+    assert sorted(t or "" for t in kept) == sorted({r["text"] or "" for r in df.collect()})
+    long = [r["doc_id"] for r in near_copies.drop_near_copies(df).filter("doc_id IN (6, 7)").collect()]
+    assert long == [6]
