@@ -72,6 +72,13 @@ def riemann_mean(c: np.ndarray, weights: np.ndarray | None = None, tolerance: fl
     return mean
 
 
+def geodesic(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """The point at share ``t`` of the way from a to b: the mean of both with weights 1 - t and t."""
+    root, inverse = sqrtm(a), invsqrtm(a)
+    out = root @ spectral(inverse @ b @ inverse, lambda v: np.maximum(v, 1e-300) ** t) @ root
+    return (out + out.T) / 2
+
+
 def transport_matrix(mean: np.ndarray, general: np.ndarray) -> np.ndarray:
     """E with E mean E' = general (Yair et al. 2019), through symmetric roots only."""
     root, inverse = sqrtm(mean), invsqrtm(mean)
@@ -117,6 +124,12 @@ def log_variance(c: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(np.einsum("fi,nij,fj->nf", w, c, w), 1e-300))
 
 
+def log_variance_each(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``log_variance`` with filters (flat) of its own for every matrix."""
+    f = w.reshape(len(w), -1, c.shape[-1])
+    return np.log(np.maximum(np.einsum("nfi,nij,nfj->nf", f, c, f), 1e-300))
+
+
 def weighted_reference_distance(x: np.ndarray, y: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.linalg.norm(upper(reference @ from_upper(x - y)), axis=-1)
 

@@ -261,15 +261,19 @@ def apply_whitening(df: DataFrame, whitening: DataFrame, key: str = "subject_id"
     return lookup_subject_matrix(df, w, key, count="__n", kept="__w").withColumn(sample, apply_matrix("__w", sample)).drop("__w", "__n")
 
 
-def csp_fit(df: DataFrame, by: list[str], filters: int, cov: str = "cov", label: str = "label") -> DataFrame:
-    """(by, ``filters``, ``patterns``): flat filters x channels of the two class means of every group; groups of one class go."""
-    means = riemann_means(df, [*by, label], cov)
+def csp_of_means(means: DataFrame, by: list[str], filters: int, label: str = "label") -> DataFrame:
+    """(by, ``filters``, ``patterns``): flat filters x channels of the means (``mean``) of classes 0 and 1 of every group; groups of one class go."""
     pick = lambda k: F.max(F.when(F.col(label) == k, F.struct("mean"))).getField("mean").alias(f"c{k}")
     both = means.groupBy(*by).agg(pick(0), pick(1)).filter("c0 IS NOT NULL AND c1 IS NOT NULL")
     fit = lambda at: shaped(lambda a, b: np.stack([linalg.csp(x, y, filters)[at] for x, y in zip(square(a), square(b), strict=True)]), "c0", "c1")
     return both.withColumns({"filters": fit(0), "patterns": fit(1)}).drop("c0", "c1")
 
 
+def csp_fit(df: DataFrame, by: list[str], filters: int, cov: str = "cov", label: str = "label") -> DataFrame:
+    """``csp_of_means`` with the means of the rows of every group and class."""
+    return csp_of_means(riemann_means(df, [*by, label], cov), by, filters, label)
+
+
 def mds_embed(distances: DataFrame, by: str = "subject_id", d: str = "d", largest: int = 2000, rounds: int = 300, tolerance: float = 1e-6) -> DataFrame:
     """Points (by, i, x, y) whose distances fit those of a table of all pairs i < j: a classical start, then stress majorisation.
 

@@ -92,11 +92,16 @@ def rf_classify(train: DataFrame, test: DataFrame, features: str, trees: int = 1
     return scored.select(*test.columns, F.col("prediction").cast("int").alias("predicted_label"), vector_to_array("probability")[1].alias("predicted_proba"))
 
 
-def rbf_features(features: str, n: int, size: int = 64, gamma: float = RBF_GAMMA, seed: int = 42):
-    """Random Fourier features whose inner products approximate a Gaussian kernel."""
+def rbf_lift(n: int, size: int = 64, gamma: float = RBF_GAMMA, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
+    """Random Fourier features of rows of ``n`` values, whose inner products approximate a Gaussian kernel."""
     random = np.random.RandomState(seed)
     w, b = random.normal(scale=np.sqrt(2 * gamma), size=(n, size)), random.uniform(0, 2 * np.pi, size)
-    return matrix.shaped(lambda x: np.sqrt(2 / size) * np.cos(x @ w + b), features)
+    return lambda x: np.sqrt(2 / size) * np.cos(x @ w + b)
+
+
+def rbf_features(features: str, n: int, **options):
+    """The column of ``rbf_lift``."""
+    return matrix.shaped(rbf_lift(n, **options), features)
 
 
 def keys_of(df: DataFrame, key: str = "subject_id") -> list:
@@ -150,32 +155,175 @@ def logistic_fit(df: DataFrame, by: str, features: str, label: str, size: int, r
     return models.select(F.col("__g").alias(by), "beta")
 
 
-def csp_losocv(rows: DataFrame, filters: int = 4, transport: bool = True) -> DataFrame:
-    """Leave-one-subject-out: transport to the general mean, spatial filters of the other subjects, kernel logistic regression.
+def fold_starts(means: DataFrame, key: str = "subject_id") -> DataFrame:
+    """(fold, ``general``, ``total``, ``cap``): for each subject what is known before its first row: the general mean of the others, how many rows that is of, and their mean count cut to whole rows.
 
-    Subjects' means are fitted once; then the filters, features and classifiers of all folds are fitted together, a row for each of
-    its folds. Adds ``predicted_label`` and ``predicted_proba`` (of label 1).
+    ``means``: a row per subject with ``mean`` and ``n``.
     """
-    means = stage(matrix.subject_means(rows), "subject-means")
-    moved = matrix.parallel_transport(rows, means, matrix.general_mean(means)) if transport else rows
-    moved = stage(moved.select("subject_id", "i", "event_id", F.col("label").cast("double").alias("label"), "sample_weight", "cov"), "moved")
-    # A class mean in the curved metric has no sum from which a subject could be taken, so every fold goes over the rows of the others.
-    folds = moved.select(F.col("subject_id").alias("fold")).distinct()
-    train = folds.join(moved, F.col("fold") != F.col("subject_id"))
-    models = stage(matrix.csp_fit(train.withColumn("label", F.col("label").cast("int")), ["fold"], filters).select("fold", F.col("filters").alias("__w")), "csp")
-    featured = moved.crossJoin(models).withColumn("features", matrix.filtered("__w", "cov")).withColumn("__f", rbf_features("features", filters))
-    featured = stage(featured.drop("__w", "cov"), "features")
-    fitted = logistic_fit(featured.filter("fold <> subject_id"), "fold", "__f", "label", 64)
-    test = featured.filter("fold = subject_id").join(fitted, "fold")
-    score = F.aggregate(F.zip_with("__f", F.slice("beta", 1, 64), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.element_at("beta", 65)
-    judged = test.withColumn("predicted_proba", 1 / (1 + F.exp(-score))).withColumn("predicted_label", (F.col("predicted_proba") >= 0.5).cast("int"))
-    return judged.drop("__f", "beta", "fold")
-
-
-def losocv(rows: DataFrame, filters: int = 4) -> tuple[DataFrame, DataFrame]:
-    """f1 of every held-out subject, and their summary."""
-    predictions = csp_losocv(rows, filters).withColumn("true_label", F.col("label").cast("int"))
-    metrics = A.binary_metrics(predictions, ["subject_id"])
+    sums = means.agg(F.sum("n").alias("__rows"), F.count("*").alias("__keys"))
+    general = matrix.general_mean_excluding(means, key).select(F.col("fold").alias("__fold"), F.col("mean").alias("general"))
+    own = means.select(F.col(key).alias("fold"), "n").crossJoin(F.broadcast(sums)).join(general, F.col("fold") == F.col("__fold"))
+    total = F.col("__rows") - F.col("n")
+    return own.select("fold", "general", total.alias("total"), F.floor(F.try_divide(total, F.col("__keys") - 1)).cast("double").alias("cap"))
+
+
+def fold_transports(means: DataFrame, starts: DataFrame, key: str = "subject_id") -> DataFrame:
+    """(fold, key, ``e``): what moves each other subject's mean to the fold's general mean; a row per pair of subjects."""
+    pairs = starts.select("fold", "general").join(means.select(key, "mean"), F.col("fold") != F.col(key))
+    return pairs.select("fold", key, matrix.transport_matrix("mean", "general").alias("e"))
+
+
+def fold_class_means(transports: DataFrame, classes: DataFrame, key: str = "subject_id", label: str = "label") -> DataFrame:
+    """(fold, label, ``mean``, ``n``): the moved class means of all other subjects, by their counts.
+
+    A congruence moves a mean as it moves each row, so a subject's class means (``classes``: key, label, ``mean``, ``n``) stand for its rows in all
+    folds, and no row is read again for a fold. The mean of subjects' means is near that of all rows, and equal to it if they commute.
+    """
+    met = transports.join(classes.select(F.col(key).alias("__key"), F.col(label).alias(label), F.col("mean").alias("__mean"), F.col("n").alias("__n")), F.col(key) == F.col("__key"))
+    return matrix.riemann_means(stage(met.select("fold", label, matrix.congruence("e", "__mean").alias("moved"), "__n"), "moved-classes"), ["fold", label], "moved", "__n")
+
+
+def adapt_trajectory(rows: DataFrame, starts: DataFrame, cov: str = "cov", key: str = "subject_id", order: str = "i", weight: float = 1.0) -> DataFrame:
+    """(key, order, ``mean``, ``n``, ``general``, ``total``): the state after each row, which later rows cannot change.
+
+    ``starts``: per key ``general``, ``total``, ``cap`` and, if a mean is known before, ``mean`` and ``n``. A row is taken in while that does not lift
+    ``n`` above ``cap``: it moves the key's mean towards it by its share of ``n`` (the first becomes the mean) and the general mean by its share of ``total``.
+    Before any row is taken in ``mean`` is null. Rows stream through in order with one state per key, so no task holds a key's rows.
+    """
+    spark = rows.sparkSession
+    given = starts.select(F.col(key).alias("__key"), "general", "total", "cap", *([c for c in ("mean", "n") if c in starts.columns]))
+    for c, kind in (("mean", "array<double>"), ("n", "double")):
+        given = given if c in given.columns else given.withColumn(c, F.lit(None).cast(kind))
+    met = rows.select(key, order, F.col(cov).alias("__c")).join(given, F.col(key) == F.col("__key")).select(key, order, "__c", "general", "total", "cap", "mean", "n")
+    # A key's first row is the only one whose start is read.
+    sorted_ = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (key, order))
+
+    def run(batches):
+        now, mean, n, general, total, cap = None, None, 0.0, None, 0.0, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, covs, means_, generals, ns, totals = b.column(0).to_pylist(), matrix.square(matrix.batch(b.column(2))), [], [], [], []
+            for k, c in enumerate(covs):
+                if (keys[k],) != now:
+                    now, shape = (keys[k],), c.shape
+                    first = {x: b.column(x)[k].as_py() for x in ("general", "total", "cap", "mean", "n")}
+                    mean = np.reshape(first["mean"], shape) if first["mean"] is not None else None
+                    general, n, total, cap = np.reshape(first["general"], shape), first["n"] or 0.0, first["total"], first["cap"]
+                if n + weight <= cap:
+                    mean = c if mean is None else linalg.geodesic(mean, c, weight / (n + weight))
+                    general = linalg.geodesic(general, c, weight / (total + weight))
+                    n, total = n + weight, total + weight
+                means_.append(None if mean is None else mean.ravel())
+                generals.append(general.ravel())
+                ns.append(n)
+                totals.append(total)
+            matrices = [pa.array(x, pa.list_(pa.float64())) for x in (means_, generals)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), matrices[0], pa.array(ns), matrices[1], pa.array(totals)], [key, order, "mean", "n", "general", "total"])
+
+    return sorted_.mapInArrow(run, f"{kinds}, mean array<double>, n double, general array<double>, total double")
+
+
+def fold_logistic(rows: DataFrame, filters: DataFrame, transports: DataFrame, lift: Callable[[np.ndarray], np.ndarray], size: int, ridge: float = 1e-3, steps: int = 25, tolerance: float = 1e-8, most: int = 1 << 26) -> DataFrame:
+    """(fold, ``beta``): the logistic regression of each fold over the rows of all other subjects, by Newton's method; the last entry is the intercept.
+
+    ``filters``: (fold, ``w``) of flat filters x channels; ``lift``: log variances to features. A row's features differ from fold to fold. They are made
+    where the row is read and summed there, for ``most`` bytes of filters at a time, so there is no table of folds times rows and no row is shuffled: a step is one
+    scan whose tasks each give a gradient and a curvature per fold.
+    """
+    spark = rows.sparkSession
+    width, kind = size + 1, filters.schema["fold"].dataType
+    shapes = filters.agg(F.max(F.size("w"))).first()[0] or 0
+    keys = keys_of(transports)
+    at_once = max(1, most // max(1, 8 * shapes * len(keys)))
+    folds, found = keys_of(filters, "fold"), []
+    read = rows.select("subject_id", F.col("label").cast("double").alias("label"), "cov")
+    for k in range(0, len(folds), at_once):
+        chunk = folds[k : k + at_once]
+        met = transports.join(filters.filter(F.col("fold").isin(chunk)).withColumnRenamed("fold", "__fold"), F.col("fold") == F.col("__fold"))
+        moved = matrix.shaped(lambda w, e: w.reshape(len(w), -1, matrix.square(e).shape[1]) @ matrix.square(e), "w", "e")
+        models: dict = {}
+        for r in met.select("subject_id", "fold", moved.alias("a")).collect():
+            models.setdefault(r["subject_id"], []).append((chunk.index(r["fold"]), np.array(r["a"])))
+        held = spark.sparkContext.broadcast({s: (np.array([f for f, _ in m]), np.stack([a for _, a in m])) for s, m in models.items()})
+        betas = np.zeros((len(chunk), width))
+        for _ in range(steps):
+            now = spark.sparkContext.broadcast(betas)
+
+            def run(batches, held=held, now=now, n=len(chunk)):
+                sums = np.zeros((n, 1 + width + width * width))
+                for b in batches:
+                    subjects, y, covs = b.column(0).to_pandas().to_numpy(), b.column(1).to_numpy(zero_copy_only=False), matrix.square(matrix.batch(b.column(2)))
+                    for s in set(subjects.tolist()) & set(held.value):
+                        own = subjects == s
+                        for f, a in zip(*held.value[s], strict=True):
+                            w = a.reshape(-1, covs.shape[1])
+                            x = np.concatenate([lift(linalg.log_variance(covs[own], w)), np.ones((own.sum(), 1))], 1)
+                            p = 1 / (1 + np.exp(-np.clip(x @ now.value[f], -30, 30)))
+                            sums[f] += np.concatenate([[len(x)], x.T @ (y[own] - p), ((x.T * (p * (1 - p))) @ x).ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), matrix.lists(sums)], ["f", "v"])
+
+            entries = read.mapInArrow(run, "f int, v array<double>").select("f", F.posexplode("v").alias("at", "v")).groupBy("f", "at").agg(F.sum("v").alias("v"))
+            totals = np.zeros((len(chunk), 1 + width + width * width))
+            for r in entries.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("v")).collect():
+                totals[r["f"]] = r["v"]
+            n, gradient, curve = totals[:, :1], totals[:, 1 : 1 + width], totals[:, 1 + width :].reshape(-1, width, width)
+            step = np.linalg.solve(curve + (ridge * np.maximum(n, 1))[..., None] * np.eye(width), (gradient - ridge * n * betas)[..., None])[..., 0]
+            betas = betas + step
+            now.destroy()
+            if np.abs(step).max() < tolerance * max(1.0, np.abs(betas).max()):
+                break
+        else:
+            warnings.warn(f"coefficients moved by {np.abs(step).max():.1e} in the last of {steps} steps", stacklevel=2)
+        held.destroy()
+        found += [(f, b.tolist()) for f, b in zip(chunk, betas, strict=True)]
+    from pyspark.sql import types as T
+
+    return spark.createDataFrame(found, T.StructType([T.StructField("fold", kind), T.StructField("beta", T.ArrayType(T.DoubleType()))]))
+
+
+def adapt_then_predict(rows: DataFrame, classifier: str = "kernel", filters: int = 4, weight: float = 1.0, judged: str | None = None, order: str = "i", means: DataFrame | None = None) -> DataFrame:
+    """Leave-one-subject-out as it would run live: each row of the held-out subject first moves its mean and the general mean, then is predicted from them.
+
+    ``rows``: ``subject_id``, ``order``, ``label`` (0 or 1), ``cov``. Models are fitted without the held-out subject, on the others' rows moved to their general
+    mean: ``nearest`` predicts the class whose mean is nearest, ``kernel`` by logistic regression on random Fourier features of log variances through spatial filters. With ``judged`` (a boolean column)
+    only such rows are learnt from and predicted; the others still move means. ``means``: subjects' means, if they are not those of ``rows``. Gives the judged rows'
+    ``subject_id``, ``order``, ``label``, ``predicted_label``, ``predicted_proba`` (of label 1). What a row's prediction reads of its own subject is that row and earlier ones.
+    """
+    means = stage(matrix.subject_means(rows), "subject-means") if means is None else means
+    learnt = rows.filter(judged) if judged else rows
+    starts = stage(fold_starts(means), "fold-starts")
+    transports = stage(fold_transports(means, starts), "transports")
+    own = stage(matrix.riemann_means(learnt, ["subject_id", "label"]), "class-means")
+    classes = stage(fold_class_means(transports, own), "fold-classes")
+    states = stage(adapt_trajectory(rows, starts.withColumnRenamed("fold", "subject_id"), order=order, weight=weight), "states")
+    states = states.filter("mean IS NOT NULL").select(F.col("subject_id").alias("__s"), F.col(order).alias("__i"), F.col("mean").alias("__mean"), F.col("general").alias("__general"))
+    met = learnt.join(states, (F.col("subject_id") == F.col("__s")) & (F.col(order) == F.col("__i")))
+    moved = met.select("subject_id", order, F.col("label").cast("int").alias("label"), matrix.congruence(matrix.transport_matrix("__mean", "__general"), "cov").alias("moved"))
+    if classifier == "nearest":
+        pick = lambda k: F.max(F.when(F.col("label") == k, F.struct("mean"))).getField("mean").alias(f"__c{k}")
+        models = classes.groupBy(F.col("fold").alias("__fold")).agg(pick(0), pick(1))
+        far = moved.join(models, F.col("subject_id") == F.col("__fold")).withColumns({f"__d{k}": matrix.riemann_distance("moved", f"__c{k}") for k in (0, 1)})
+        return far.select("subject_id", order, "label", (F.col("__d1") < F.col("__d0")).cast("int").alias("predicted_label"), (F.col("__d0") / (F.col("__d0") + F.col("__d1"))).alias("predicted_proba"))
+    w = stage(matrix.csp_of_means(classes.withColumn("label", F.col("label").cast("int")), ["fold"], filters).select("fold", F.col("filters").alias("w")), "fold-filters")
+    lift = rbf_lift(filters)
+    fitted = stage(fold_logistic(stage(learnt.select("subject_id", "label", "cov"), "learnt"), w, transports, lift, 64), "fold-models")
+    models = w.join(fitted.withColumnRenamed("fold", "__f"), F.col("fold") == F.col("__f")).select(F.col("fold").alias("__fold"), "w", "beta")
+    scored = matrix.shaped(lambda w, c, beta: (np.concatenate([lift(linalg.log_variance_each(matrix.square(c), w)), np.ones((len(w), 1))], 1) * beta).sum(1), "w", "moved", "beta")[0]
+    out = moved.join(models, F.col("subject_id") == F.col("__fold")).select("subject_id", order, "label", (1 / (1 + F.exp(-scored))).alias("predicted_proba"))
+    return out.withColumn("predicted_label", (F.col("predicted_proba") >= 0.5).cast("int"))
+
+
+def csp_losocv(rows: DataFrame, filters: int = 4) -> DataFrame:
+    """``adapt_then_predict`` with spatial filters and the kernel classifier."""
+    return adapt_then_predict(rows, "kernel", filters)
+
+
+def losocv(rows: DataFrame, filters: int = 4, classifier: str = "kernel") -> tuple[DataFrame, DataFrame]:
+    """Metrics of every held-out subject, each row adapted to and then predicted, and the summary of their f1."""
+    predictions = adapt_then_predict(rows, classifier, filters).withColumnRenamed("label", "true_label")
+    metrics = stage(A.binary_metrics(predictions, ["subject_id"]), "losocv")
     return metrics, A.score_summary(metrics, "f1")
 
 
@@ -203,18 +351,14 @@ def adapt_means_batch(rows: DataFrame, start: DataFrame, cov: str = "cov", key:
     return rows.select(key, order, cov).groupBy(key).cogroup(given.groupBy("__key")).applyInPandas(run, f"{key} {kind}, mean array<double>, n double")
 
 
-def adaptation_eval(epochs: DataFrame, n_channels: int, use_background: bool, parts: int = 3, filters: int = 4) -> DataFrame:
-    """Leave-one-subject-out metrics with test windows cut in ``parts``; a subject's mean takes in its parts (weight 1 / parts), optionally its background first."""
+def adaptation_eval(epochs: DataFrame, n_channels: int, use_background: bool, parts: int = 3, filters: int = 4, classifier: str = "kernel") -> DataFrame:
+    """Leave-one-subject-out metrics with windows cut in ``parts``, each part adapted to with weight 1 / parts and then predicted; with ``use_background`` the background parts are adapted to before all others, and never predicted."""
     cut = P.split_window(epochs, parts).withColumn("cov", matrix.covariance("sample", n_channels))
-    rows = W.sample_index(cut, ["event_id", "vec_id", "part"], name="i")
-    rows = stage(rows.drop("sample"), "parts")
-    general = stage(matrix.general_mean(matrix.subject_means(rows)), "general")
-    order = rows.withColumn("i", F.when(F.col("is_background"), F.col("i") - 10**9).otherwise(F.col("i"))) if use_background else rows.filter("NOT is_background")
-    start = rows.select("subject_id").distinct().crossJoin(F.broadcast(general.select("mean", F.lit(1.0).alias("n"), (F.col("cap") + 1).cast("double").alias("cap"))))
-    means = stage(adapt_means_batch(order, start, weight=1 / parts), "adapted")
-    moved = matrix.parallel_transport(rows.filter("NOT is_background"), means, general)
-    votes = csp_losocv(moved.withColumn("sample_weight", F.lit(1 / parts)), filters, transport=False)
-    return A.binary_metrics(votes.withColumn("true_label", F.col("label").cast("int")), ["subject_id"])
+    rows = stage(W.sample_index(cut, ["event_id", "vec_id", "part"], name="i").drop("sample"), "parts")
+    means = stage(matrix.subject_means(rows), "subject-means")
+    seen = rows.withColumn("at", F.struct((~F.col("is_background")).alias("late"), "i")) if use_background else rows.filter("NOT is_background").withColumn("at", F.struct(F.lit(True).alias("late"), "i"))
+    votes = adapt_then_predict(seen.withColumn("judged", ~F.col("is_background")), classifier, filters, 1 / parts, "judged", "at", means)
+    return A.binary_metrics(votes.withColumnRenamed("label", "true_label"), ["subject_id"])
 
 
 def compare_pipelines(variants: dict[str, Callable[[], DataFrame]], measures: tuple[str, ...] = ("accuracy", "precision", "recall", "f1")) -> tuple[DataFrame, DataFrame]:

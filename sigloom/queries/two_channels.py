@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import matrix
+from sigloom.operators import aggregates as A
 from sigloom.operators import joins as J
 from sigloom.operators import projections as P
 from sigloom.operators import windows as W
@@ -366,3 +367,82 @@ def adapt_means_2ch(spark, sf_dir):
     general = stage(matrix.general_mean(stage(matrix.subject_means(rows), "means")), "general")
     start = rows.select("subject_id").distinct().crossJoin(F.broadcast(general.select("mean", F.lit(1.0).alias("n"), F.col("cap").cast("double").alias("cap"))))
     return E.adapt_means_batch(rows, start).select("subject_id", cut("mean", 6).alias("mean"), "n")
+
+
+def geodesic_sql(source: str, way: str, t: str, old: tuple[str, str, str], p: str) -> str:
+    """A subquery of ``source`` with the point (``p``00, ``p``01, ``p``11) at share ``t`` of the way from the matrix ``old`` to (s00, s01, s11); other names begin with ``way``."""
+    r, w, k = f"{way}r", f"{way}w", f"{way}k"
+    seen = f"SELECT *, {congruent(w, (f'{r}ia', f'{r}ib', f'{r}ib', f'{r}id'), 's00', 's01', 's11')} FROM (SELECT *, {roots(r, *old)} FROM ({source}))"
+    powered = f"SELECT *, {spectral(k, lambda x: f'pow({x}, {t})', lambda x: f'{t} * pow({x}, {t} - 1)', f'{w}00', f'{w}01', f'{w}11')} FROM ({seen})"
+    return f"SELECT *, {congruent(p, (f'{r}ra', f'{r}rb', f'{r}rb', f'{r}rd'), f'{k}00', f'{k}01', f'{k}11')} FROM ({powered})"
+
+
+def transport_sql(source: str, old: tuple[str, str, str], to: tuple[str, str, str]) -> str:
+    """A subquery of ``source`` with e00, e01, e10, e11, which moves the matrix ``old`` to ``to``."""
+    seen = f"SELECT *, {congruent('k', ('mia', 'mib', 'mib', 'mid'), *to)} FROM (SELECT *, {roots('m', *old)} FROM ({source}))"
+    return f"""SELECT *, mra * hra + mrb * hrb AS t00, mra * hrb + mrb * hrd AS t01, mrb * hra + mrd * hrb AS t10, mrb * hrb + mrd * hrd AS t11,
+        t00 * mia + t01 * mib AS e00, t00 * mib + t01 * mid AS e01, t10 * mia + t11 * mib AS e10, t10 * mib + t11 * mid AS e11 FROM (SELECT *, {roots('h', 'k00', 'k01', 'k11')} FROM ({seen}))"""
+
+
+def _distance_sql(x: tuple[str, str, str], y: str) -> str:
+    t = f"(({x[2]} * {y}.a - 2 * {x[1]} * {y}.b + {x[0]} * {y}.d) / ({x[0]} * {x[2]} - {x[1]} * {x[1]}))"
+    d = f"(({y}.a * {y}.d - {y}.b * {y}.b) / ({x[0]} * {x[2]} - {x[1]} * {x[1]}))"
+    top = f"(({t} + sqrt(greatest(0, {t} * {t} - 4 * {d}))) / 2)"
+    return f"sqrt(ln({top}) ** 2 + ln({d} / {top}) ** 2)"
+
+
+def adapt_sql(cov: str, weight: str, seen: str, judged: str) -> str:
+    """CTEs that end in ``votes``: for each subject models of the others, the walk of its mean and the general mean along ``seen`` (subject_id, i from 0, entries), and the nearest class of each row that is ``judged``."""
+    return f"""{cov}, {means('cov', ['subject_id'], 'mean')}, {AS_ROWS},
+    others AS MATERIALIZED (SELECT f.subject_id AS fold, as_rows.subject_id AS subject_id, s00, s01, s11, held FROM as_rows JOIN (SELECT subject_id FROM as_rows) f ON f.subject_id <> as_rows.subject_id),
+    {means('others', ['fold'], 'apart', 'held')},
+    learnt AS MATERIALIZED (SELECT * FROM cov WHERE {judged}), {means('learnt', ['subject_id', 'label'], 'own')},
+    moves AS MATERIALIZED ({transport_sql('SELECT fold, subject_id, s00, s01, s11, apart.a AS ga, apart.b AS gb, apart.d AS gd FROM others JOIN apart USING (fold)', ('s00', 's01', 's11'), ('ga', 'gb', 'gd'))}),
+    given AS MATERIALIZED (SELECT fold, label, n AS held, c00 AS s00, c01 AS s01, c11 AS s11 FROM (SELECT fold, label, n, {congruent('c', ('e00', 'e01', 'e10', 'e11'), 'a', 'b', 'd')} FROM moves JOIN own USING (subject_id))),
+    {means('given', ['fold', 'label'], 'class', 'held')},
+    seen AS MATERIALIZED ({seen}), cap AS (SELECT f.subject_id AS subject_id, floor(avg(o.n)) AS cap FROM mean f JOIN mean o ON f.subject_id <> o.subject_id GROUP BY f.subject_id),
+    walk AS (SELECT fold AS subject_id, CAST(-1 AS BIGINT) AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS d, 0.0::DOUBLE AS n, apart.a AS ga, apart.b AS gb, apart.d AS gd, CAST(apart.n AS DOUBLE) AS gn, cap FROM apart JOIN cap ON cap.subject_id = fold
+        UNION ALL SELECT subject_id, place, CASE WHEN ok THEN z00 ELSE a END, CASE WHEN ok THEN z01 ELSE b END, CASE WHEN ok THEN z11 ELSE d END, CASE WHEN ok THEN n + w ELSE n END,
+            CASE WHEN ok THEN y00 ELSE ga END, CASE WHEN ok THEN y01 ELSE gb END, CASE WHEN ok THEN y11 ELSE gd END, CASE WHEN ok THEN gn + w ELSE gn END, cap FROM (
+            {geodesic_sql(geodesic_sql(f"SELECT walk.*, seen.i AS place, s00, s01, s11, {weight} AS w, n + {weight} <= cap AS ok FROM walk JOIN seen ON seen.subject_id = walk.subject_id AND seen.i = walk.i + 1", 'p', '(w / (n + w))', ('a', 'b', 'd'), 'z'), 'q', '(w / (gn + w))', ('ga', 'gb', 'gd'), 'y')})),
+    placed AS ({transport_sql(f'SELECT walk.subject_id, walk.i, label, s00, s01, s11, a, b, d, ga, gb, gd FROM walk JOIN seen ON seen.subject_id = walk.subject_id AND seen.i = walk.i WHERE walk.n > 0 AND {judged}', ('a', 'b', 'd'), ('ga', 'gb', 'gd'))}),
+    turned AS (SELECT subject_id, i, label, {congruent('c', ('e00', 'e01', 'e10', 'e11'), 's00', 's01', 's11')} FROM placed),
+    far AS (SELECT turned.subject_id, i, turned.label AS true_label, {_distance_sql(('c00', 'c01', 'c11'), 'x')} AS d0, {_distance_sql(('c00', 'c01', 'c11'), 'y')} AS d1
+        FROM turned JOIN class x ON x.fold = subject_id AND x.label = 0 JOIN class y ON y.fold = subject_id AND y.label = 1),
+    votes AS (SELECT subject_id, i, true_label, CAST(d1 < d0 AS INTEGER) AS predicted_label, d0 / (d0 + d1) AS p FROM far)"""
+
+
+LOSOCV = adapt_sql(COV, "1.0::DOUBLE", "SELECT * FROM cov", "true")
+
+
+@register(f"{LOSOCV} SELECT subject_id, i, CAST(true_label AS INTEGER) AS label, predicted_label, round(p, 4) + 0.0 AS predicted_proba FROM votes")
+def adapt_then_predict_2ch(spark, sf_dir):
+    """Every row moves the held-out subject's mean and the general mean, and is then predicted."""
+    return E.adapt_then_predict(staged2(spark, sf_dir), "nearest").withColumn("predicted_proba", F.round("predicted_proba", 4) + 0.0)
+
+
+@register(
+    f"""{LOSOCV}, cells AS (SELECT subject_id, {CELLS} FROM votes GROUP BY subject_id), metrics AS (SELECT subject_id, {RATES} FROM cells)
+    SELECT round(min(f1), 6) AS min, round(max(f1), 6) AS max, round(quantile_cont(f1, 0.25), 6) AS q1, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.75), 6) AS q3, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS std FROM metrics"""
+)
+def losocv_summary_2ch(spark, sf_dir):
+    metrics = rounded(E.losocv(staged2(spark, sf_dir), classifier="nearest")[0], *RATE_NAMES)
+    return rounded(A.score_summary(metrics, "f1"), "min", "max", "q1", "median", "q3", "mean", "std")
+
+
+_PART_COV = (
+    COV.replace("sample[1:32] AS a, sample[33:64] AS b FROM epochs", "part, is_background, sample[part * 10 + 1 : part * 10 + 10] AS a, sample[33 + part * 10 : 42 + part * 10] AS b FROM epochs CROSS JOIN (SELECT unnest([0, 1, 2]) AS part)")
+    .replace("SELECT vec_id, subject_id, event_id, label, list", "SELECT vec_id, part, is_background, subject_id, event_id, label, list")
+    .replace("SELECT vec_id, subject_id, event_id, label, (1", "SELECT vec_id, part, is_background, subject_id, event_id, label, (1")
+    .replace(" / 32", " / 10").replace("33 * (alpha", "11 * (alpha").replace("ORDER BY event_id, vec_id)", "ORDER BY event_id, vec_id, part)")
+)
+_BACKGROUND_FIRST = "SELECT * EXCLUDE (i), row_number() OVER (PARTITION BY subject_id ORDER BY NOT is_background, i) - 1 AS i FROM cov"
+
+
+@register(
+    f"""{adapt_sql(_PART_COV, "(1.0::DOUBLE / 3)", _BACKGROUND_FIRST, "NOT is_background")}, cells AS (SELECT subject_id, {CELLS} FROM votes GROUP BY subject_id)
+    SELECT subject_id, tp + tn + fp + fn AS num_samples, {RATES} FROM cells"""
+)
+def adaptation_eval_2ch(spark, sf_dir):
+    """Windows in three parts, background parts first: metrics of the subjects."""
+    return rounded(E.adaptation_eval(S.epochs(spark, sf_dir, 2), 2, True, classifier="nearest"), *RATE_NAMES)

@@ -189,36 +189,101 @@ def test_unconverged_fits_warn(rows, spark):
         E.logistic_fit(df, "g", "x", "y", 1, steps=1)
 
 
-def plain_losocv(held, filters):
-    """The same folds with NumPy alone: transport, spatial filters, random features, Newton's logistic regression."""
+def moved_to(c, mean, general):
+    e = linalg.transport_matrix(mean, general)
+    return e @ c @ e.T
+
+
+def plain_losocv(held, filters, classifier="kernel", weight=1.0, judged=lambda r: True, order=lambda r: r.i, pooled=True):
+    """Row by row with NumPy alone: models of the other subjects; each row of the held-out one moves both means and is then predicted.
+
+    Without ``pooled`` a fold's class means are those of all rows of the other subjects, not of subjects' class means.
+    """
+    mat = lambda r: np.reshape(r.cov, (3, 3))
     subjects = sorted({r.subject_id for r in held})
-    cov = {(r.subject_id, r.i): np.reshape(r.cov, (3, 3)) for r in held}
-    label = {(r.subject_id, r.i): int(r.label) for r in held}
-    means = {s: linalg.riemann_mean(np.stack([c for (g, _), c in cov.items() if g == s])) for s in subjects}
-    general = linalg.riemann_mean(np.stack([means[s] for s in subjects]), np.array([sum(g == s for g, _ in cov) for s in subjects], float))
-    moved = {k: (e := linalg.transport_matrix(means[k[0]], general)) @ c @ e.T for k, c in cov.items()}
+    rows = {s: sorted((r for r in held if r.subject_id == s), key=order) for s in subjects}
+    means = {s: linalg.riemann_mean(np.stack([mat(r) for r in rows[s]])) for s in subjects}
     random = np.random.RandomState(42)
     w, b = random.normal(scale=np.sqrt(2 * E.RBF_GAMMA), size=(filters, 64)), random.uniform(0, 2 * np.pi, 64)
     out = {}
     for s in subjects:
-        train, test = [k for k in moved if k[0] != s], [k for k in moved if k[0] == s]
-        classes = [linalg.riemann_mean(np.stack([moved[k] for k in train if label[k] == y])) for y in (0, 1)]
-        lift = lambda keys: np.concatenate([np.sqrt(2 / 64) * np.cos(linalg.log_variance(np.stack([moved[k] for k in keys]), linalg.csp(*classes, filters)[0]) @ w + b), np.ones((len(keys), 1))], 1)  # noqa: B023, E731
-        x, y, beta = lift(train), np.array([label[k] for k in train]), np.zeros(65)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-(x @ beta)))
-            beta = beta + np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * len(y) * np.eye(65), x.T @ (y - p) - 1e-3 * len(y) * beta)
-        out |= dict(zip(test, 1 / (1 + np.exp(-(lift(test) @ beta))), strict=True))
+        others = [o for o in subjects if o != s]
+        counts = np.array([len(rows[o]) for o in others], float)
+        general = linalg.riemann_mean(np.stack([means[o] for o in others]), counts)
+        train = [(moved_to(mat(r), means[o], general), r.label, o) for o in others for r in rows[o] if judged(r)]
+        classes = []
+        for y in (0, 1):
+            if pooled:
+                own = {o: np.stack([mat(r) for r in rows[o] if judged(r) and r.label == y]) for o in others if any(judged(r) and r.label == y for r in rows[o])}
+                classes.append(linalg.riemann_mean(np.stack([moved_to(linalg.riemann_mean(c), means[o], general) for o, c in own.items()]), np.array([len(c) for c in own.values()], float)))
+            else:
+                classes.append(linalg.riemann_mean(np.stack([c for c, label, _ in train if label == y])))
+        lift = lambda c: np.concatenate([np.sqrt(2 / 64) * np.cos(linalg.log_variance(c, linalg.csp(*classes, filters)[0]) @ w + b), np.ones((len(c), 1))], 1)  # noqa: B023, E731
+        beta = np.zeros(65)
+        if classifier == "kernel":
+            x, y = lift(np.stack([c for c, _, _ in train])), np.array([label for _, label, _ in train])
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-(x @ beta)))
+                beta = beta + np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * len(y) * np.eye(65), x.T @ (y - p) - 1e-3 * len(y) * beta)
+        mean, n, total, cap = None, 0.0, counts.sum(), np.floor(counts.mean())
+        for r in rows[s]:
+            if n + weight <= cap:
+                mean = mat(r) if mean is None else linalg.riemann_mean(np.stack([mean, mat(r)]), np.array([n, weight]))
+                general = linalg.riemann_mean(np.stack([general, mat(r)]), np.array([total, weight]))
+                n, total = n + weight, total + weight
+            if judged(r):
+                c = moved_to(mat(r), mean, general)
+                d = [linalg.riemann_distance(c, k) for k in classes]
+                out[s, order(r)] = 1 / (1 + np.exp(-(lift(c[None]) @ beta)[0])) if classifier == "kernel" else d[0] / (d[0] + d[1])
     return out
 
 
-def test_folds_equal_plain_ones(rows):
-    wanted = plain_losocv(rows.collect(), 2)
-    found = {(r.subject_id, r.i): r.predicted_proba for r in E.csp_losocv(rows, 2).collect()}
+@pytest.mark.parametrize("classifier", ["kernel", "nearest"])
+def test_folds_equal_plain_ones(rows, classifier):
+    wanted = plain_losocv(rows.collect(), 2, classifier)
+    found = {(r.subject_id, r.i): r.predicted_proba for r in E.adapt_then_predict(rows, classifier, 2).collect()}
     assert set(found) == set(wanted) and max(abs(found[k] - wanted[k]) for k in wanted) < 1e-4
-    metrics, summary = E.losocv(rows, 2)
-    f1 = {r.subject_id: r.f1 for r in metrics.collect()}
-    assert summary.first()["mean"] == pytest.approx(np.mean(list(f1.values())))
+    if classifier == "kernel":
+        metrics, summary = E.losocv(rows, 2)
+        f1 = {r.subject_id: r.f1 for r in metrics.collect()}
+        assert summary.first()["mean"] == pytest.approx(np.mean(list(f1.values())))
+
+
+def test_later_rows_change_no_earlier_prediction(spark, rows):
+    """The last row of a subject becomes another matrix: all that was predicted for it before stays to the last bit that its models give."""
+    held = [r.asDict() for r in rows.collect()]
+    last = max(r["i"] for r in held if r["subject_id"] == 0)
+    changed = [r | {"cov": [50.0, 3.0, 1.0, 3.0, 0.2, 0.1, 1.0, 0.1, 9.0]} if (r["subject_id"], r["i"]) == (0, last) else r for r in held]
+    for classifier in ("kernel", "nearest"):
+        one, two = ({r.i: r.predicted_proba for r in E.adapt_then_predict(spark.createDataFrame(x, rows.schema), classifier, 2).filter("subject_id = 0").collect()} for x in (held, changed))
+        assert max(abs(one[i] - two[i]) for i in one if i < last) < 1e-6 and abs(one[last] - two[last]) > 1e-3
+
+
+def test_subjects_class_means_stand_for_their_rows(rows):
+    """What pooling costs: predictions from subjects' class means against those from all rows of the fold."""
+    held = rows.collect()
+    pooled, whole = (plain_losocv(held, 2, "nearest", pooled=x) for x in (True, False))
+    assert np.mean([(pooled[k] > 0.5) == (whole[k] > 0.5) for k in pooled]) > 0.97 and max(abs(pooled[k] - whole[k]) for k in pooled) < 0.02
+
+
+def test_background_moves_means_and_is_not_predicted(spark, rows):
+    held = rows.withColumn("judged", F.col("i") % 4 != 3).withColumn("at", F.struct(F.col("judged").alias("late"), "i"))
+    found = {(r.subject_id, r["at"].late, r["at"].i): r.predicted_proba for r in E.adapt_then_predict(held, "nearest", 2, 1 / 3, "judged", "at").collect()}
+    wanted = plain_losocv(held.collect(), 2, "nearest", 1 / 3, lambda r: r.judged, lambda r: (r.judged, r.i))
+    assert {(s, *at) for s, at in wanted} == set(found) and max(abs(found[s, *at] - v) for (s, at), v in wanted.items()) < 1e-4
+
+
+def test_trajectory_keeps_its_cap_and_start(spark, rows):
+    start = spark.createDataFrame([(0, np.eye(3).ravel().tolist(), 10.0, 3.0, (2 * np.eye(3)).ravel().tolist(), 1.0), (1, np.eye(3).ravel().tolist(), 10.0, 0.0, None, None)], "subject_id long, general array<double>, total double, cap double, mean array<double>, n double")
+    out = {(r.subject_id, r.i): r for r in E.adapt_trajectory(rows, start).collect()}
+    assert {s for s, _ in out} == {0, 1} and all(r["mean"] is None and r["total"] == 10 for (s, _), r in out.items() if s == 1)
+    first = [np.reshape(r.cov, (3, 3)) for r in rows.filter("subject_id = 0").orderBy("i").collect()]
+    mean, general = 2 * np.eye(3), np.eye(3)
+    for k in range(2):
+        mean = linalg.riemann_mean(np.stack([mean, first[k]]), np.array([1.0 + k, 1.0]))
+        general = linalg.riemann_mean(np.stack([general, first[k]]), np.array([10.0 + k, 1.0]))
+    last = out[0, max(i for s, i in out if s == 0)]
+    assert last["n"] == 3 and last["total"] == 12 and np.allclose(np.reshape(last["mean"], (3, 3)), mean) and np.allclose(np.reshape(last["general"], (3, 3)), general)
 
 
 def test_pipeline_of_steps(spark):
