@@ -13,7 +13,7 @@ from sigloom.queries import standins as S
 from sigloom.queries.signal import SEGMENTS, last_code_machine
 from sigloom.sources import tables
 from sigloom.sources.staging import shared_dir
-from sigloom.streaming import live
+from sigloom.streaming import adapt, live
 from sigloom.streaming.states import IGNORED, Action
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,15 +152,58 @@ _CENTRED = ", ".join(f"list_transform(sample[{3 * c + 1}:{3 * c + 3}], lambda v:
 _DOT = lambda i, j: f"list_sum(list_transform(list_zip(c{i}, c{j}), lambda p: p[1] * p[2])) / 3"
 
 
-@register(
-    f"""WITH found AS ({RAW}), centred AS (SELECT session_id, segment, "window", emitted, {_CENTRED} FROM found),
+_FOUND = f"""WITH found AS ({RAW}), centred AS (SELECT session_id, segment, "window", emitted, {_CENTRED} FROM found),
     m AS (SELECT *, {', '.join(f'{_DOT(i, j)} AS m{i}{j}' for i in range(3) for j in range(i, 3))} FROM centred),
-    s AS (SELECT *, (m00 + m11 + m22) / 3 AS mu, (m00 ** 2 + m11 ** 2 + m22 ** 2 + 2 * (m01 ** 2 + m02 ** 2 + m12 ** 2)) / 9 AS alpha, 4 * (alpha - mu * mu / 3) AS below, CASE WHEN below = 0 THEN 1 ELSE least(1, (alpha + mu * mu) / below) END AS rho FROM m),
-    p AS (SELECT *, 1 / (1 + exp(-({' + '.join(f'{w} * ln(greatest((1 - rho) * m{c}{c} + rho * mu, 1e-300::DOUBLE))' for c, w in enumerate(WEIGHTS))} + {BIAS}))) AS proba FROM s)
-    SELECT session_id, segment, "window", emitted, CAST(proba >= 0.5 AS INTEGER) AS prediction, round(greatest(proba, 1 - proba), 6) AS probability FROM p""".replace("WITH found AS (WITH RECURSIVE", "WITH found AS (WITH RECURSIVE")
+    s AS (SELECT *, (m00 + m11 + m22) / 3 AS mu, (m00 ** 2 + m11 ** 2 + m22 ** 2 + 2 * (m01 ** 2 + m02 ** 2 + m12 ** 2)) / 9 AS alpha, 4 * (alpha - mu * mu / 3) AS below, CASE WHEN below = 0 THEN 1 ELSE least(1, (alpha + mu * mu) / below) END AS rho FROM m),"""
+
+
+def _linear_sql(weights: tuple[float, ...], bias: float) -> str:
+    return f"1 / (1 + exp(-({' + '.join(f'{w} * ln(greatest((1 - rho) * m{c}{c} + rho * mu, 1e-300::DOUBLE))' for c, w in enumerate(weights))} + {bias})))"
+
+
+@register(
+    f"""{_FOUND}
+    p AS (SELECT *, {_linear_sql(WEIGHTS, BIAS)} AS proba FROM s)
+    SELECT session_id, segment, "window", emitted, CAST(proba >= 0.5 AS INTEGER) AS prediction, round(greatest(proba, 1 - proba), 6) AS probability FROM p"""
 )
 def live_predictions(spark, sf_dir):
     """Windows of the stream, predicted as they come."""
     model = spark.createDataFrame([([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], list(WEIGHTS), BIAS)], "filters array<double>, weights array<double>, bias double")
     out = _drained(live.predict_stream(_stream(spark, sf_dir), 3, model))
     return out.select("session_id", "segment", "window", "emitted", "prediction", F.round("probability", 6).alias("probability"))
+
+
+LATER, LATER_BIAS = (-0.2, 0.5, 0.1), -0.15
+_VERSIONED = f"""{_FOUND.replace('WITH found', f'WITH {S.SAMPLES_SQL}, half AS MATERIALIZED (SELECT (min(ts) + max(ts)) / 2 AS half FROM samples), found')}
+    p AS (SELECT *, emitted >= half AS late, CASE WHEN emitted >= half THEN {_linear_sql(LATER, LATER_BIAS)} ELSE {_linear_sql(WEIGHTS, BIAS)} END AS proba FROM s CROSS JOIN half)
+    SELECT session_id, segment, "window", emitted, late, CAST(proba >= 0.5 AS INTEGER) AS prediction, round(greatest(proba, 1 - proba), 6) AS probability FROM p"""
+
+
+def _versions(spark, sf_dir) -> DataFrame:
+    """Two versions of each session's model: one from the beginning, one from the middle of the time of all samples."""
+    samples = S.samples(spark, sf_dir)
+    half = samples.agg(((F.min("ts") + F.max("ts")) / 2).alias("half"))
+    model = lambda at, weights, bias: F.struct(at.alias("valid_from"), F.lit(list(weights)).alias("weights"), F.lit(bias).alias("bias"))
+    each = samples.select("session_id").distinct().crossJoin(F.broadcast(half)).select("session_id", F.explode(F.array(model(F.lit(adapt.LONG_AGO), WEIGHTS, BIAS), model(F.col("half"), LATER, LATER_BIAS))).alias("m"))
+    return each.select("session_id", "m.*", F.lit([1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]).alias("filters"))
+
+
+def _versioned(found: DataFrame) -> DataFrame:
+    return found.select("session_id", "segment", "window", "emitted", (F.col("valid_from") > adapt.LONG_AGO).alias("late"), "prediction", F.round("probability", 6).alias("probability"))
+
+
+@register(_VERSIONED)
+def versioned_predictions(spark, sf_dir):
+    """Recorded windows, each predicted by the version in force at its time."""
+    windows = live.replay_windows(_clean(spark, sf_dir), S.markers(spark, sf_dir), settings(False))
+    return _versioned(adapt.predict_versions(windows, 3, _versions(spark, sf_dir)))
+
+
+@register(_VERSIONED)
+def live_versioned_predictions(spark, sf_dir):
+    """The same as a stream; its sink reads the versions with every batch."""
+    root = f"{shared_dir(spark)}/versioned-{uuid.uuid4().hex}"
+    _versions(spark, sf_dir).write.parquet(f"{root}/versions")
+    sink = adapt.prediction_sink(f"{root}/out", 3, lambda session: session.read.parquet(f"{root}/versions"))
+    _stream(spark, sf_dir).writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return _versioned(spark.read.parquet(f"{root}/out"))

@@ -19,7 +19,7 @@ from sigloom.queries import two_channels as T
 from sigloom.queries.signal import HOURLY, hourly
 from sigloom.sources import tables
 from sigloom.sources.staging import shared_dir, stage
-from sigloom.streaming import live
+from sigloom.streaming import adapt, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,16 +197,38 @@ def epochs_from_events(spark, sf_dir):
     return W.epochs_from_events(h.select("subject_id", "event_id", "idx").join(s, ["subject_id", "event_id"]).select("subject_id", "idx", "x"), windows)
 
 
+def _adapted(spark, sf_dir, general) -> tuple[DataFrame, str]:
+    """Accepted rows of a stream of covariances that come in three files, out of order; a last file moves the watermark past all."""
+    rows = T.staged2(spark, sf_dir).select(F.col("subject_id").alias("session_id"), (F.col("i") + 1).cast("double").alias("ts"), "cov")
+    path = _path(spark, "covariances")
+    for k in (2, 0, 1):
+        rows.filter(F.col("ts") % 3 == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    rows.limit(1).select(F.lit(-1).cast("long").alias("session_id"), F.lit(30 * 86400.0).alias("ts"), "cov").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("session_id long, ts double, cov array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return adapt.adapt_means_stream(stream, np.reshape(general["mean"], (2, 2)), 1.0, float(general["cap"]), delay="1 day", idle=365 * 86400.0).filter("session_id >= 0"), path
+
+
 @register(T.ORACLE_SQL["adapt_means_2ch"])
 def adapt_means_live_2ch(spark, sf_dir):
-    """The adaptation as a stream of covariances: what it holds of every session after the last batch."""
-    rows = T.staged2(spark, sf_dir)
-    general = matrix.general_mean(stage(matrix.subject_means(rows), "means")).first()
-    path = _path(spark, "covariances")
-    rows.select(F.col("subject_id").alias("session_id"), F.col("i").cast("double").alias("ts"), "cov").coalesce(1).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("session_id long, ts double, cov array<double>").parquet(f"{path}/in")
-    adapted = live.adapt_means_stream(stream, np.reshape(general["mean"], (2, 2)), 1.0, float(general["cap"]))
-    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
-    adapted.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/out").groupBy(F.col("session_id").alias("subject_id")).agg(F.max_by(F.struct("mean", "n"), "batch").alias("m"))
+    """The adaptation as a stream of covariances: the state of every session after its last accepted row."""
+    general = matrix.general_mean(stage(matrix.subject_means(T.staged2(spark, sf_dir)), "means")).first()
+    adapted, path = _adapted(spark, sf_dir, general)
+    adapted.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(adapted.schema).parquet(f"{path}/out").groupBy(F.col("session_id").alias("subject_id")).agg(F.max_by(F.struct("mean", "n"), "n").alias("m"))
     return out.select("subject_id", T.cut("m.mean", 6).alias("mean"), "m.n")
+
+
+# Rows that sessions accept, one after another by time and session, move the general mean, which begins as that of all rows.
+@register(
+    f"""{T.GENERAL}, cap AS (SELECT floor(avg(n)) AS cap FROM mean), seen AS MATERIALIZED (SELECT subject_id, i, s00, s01, s11, row_number() OVER (ORDER BY i, subject_id) - 1 AS place FROM cov CROSS JOIN cap WHERE i + 2 <= cap.cap),
+    walk AS (SELECT CAST(-1 AS BIGINT) AS subject_id, CAST(-1 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS place, a, b, d, CAST(n AS DOUBLE) AS n FROM general
+        UNION ALL SELECT subject_id_1, i_1, place_1, z00, z01, z11, n + 1 FROM ({T.geodesic_sql('SELECT walk.*, seen.subject_id AS subject_id_1, seen.i AS i_1, seen.place AS place_1, s00, s01, s11 FROM walk JOIN seen ON seen.place = walk.place + 1', 'p', '(1 / (n + 1))', ('a', 'b', 'd'), 'z')}))
+    SELECT subject_id, CAST(i + 1 AS DOUBLE) AS ts, {T.cut_sql('a', 'b', 'b', 'd', digits=5)} AS general, n AS total FROM walk WHERE place >= 0"""
+)
+def general_mean_live_2ch(spark, sf_dir):
+    """The general mean after each row that a session of the stream accepts."""
+    general = matrix.general_mean(stage(matrix.subject_means(T.staged2(spark, sf_dir)), "means")).first()
+    adapted, path = _adapted(spark, sf_dir, general)
+    sink = adapt.GeneralMean(f"{path}/general", np.reshape(general["mean"], (2, 2)), float(general["n"]))
+    adapted.writeStream.foreachBatch(sink.take).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.rows(spark).select(F.col("session_id").alias("subject_id"), "ts", T.cut("general", 5).alias("general"), "total")

@@ -172,8 +172,8 @@ def replay_windows(samples: DataFrame, markers: DataFrame, settings: Settings, c
     told = asof_state(rows, marks, "at").select(*rows.columns, F.coalesce("at.visit", F.lit(0)).alias("visit"), "at.label", "at.grp")
     start = machine.groups.get(machine.start), machine.labels.get(machine.start)
     told = told.withColumn("grp", F.when(F.col("visit") == 0, F.lit(start[0]).cast("string")).otherwise(F.col("grp"))).withColumn("label", F.when(F.col("visit") == 0, F.lit(start[1]).cast("int")).otherwise(F.col("label")))
-    held = stage(segments(told), "segments")
-    windows = sliding_windows(held, settings.size, settings.step, (key, "segment", "grp"), collect={"__x": "x", "__at": "idx"})
+    held = stage(segments(told, at="at"), "segments")
+    windows = sliding_windows(held, settings.size, settings.step, (key, "segment", "grp"), collect={"__x": "x", "__at": "idx"}, at="at")
     windows = stage(windows.withColumn("__last", F.element_at("__at", -1)).drop("__at"), "windows")
     # A sample comes before a marker of its time, so what a marker toggles at once holds from just after it (times are microseconds).
     toggles = action_toggles(accepted, [replace(a, delay=a.delay or 5e-7) for a in settings.actions])
@@ -208,21 +208,3 @@ def predict_stream(windows: DataFrame, n_channels: int, model: DataFrame) -> Dat
     score = F.aggregate(F.zip_with(features, "weights", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.col("bias")
     proba = 1 / (1 + F.exp(-score))
     return joined.withColumn("__p", proba).withColumns({"prediction": (F.col("__p") >= 0.5).cast("int"), "probability": F.greatest("__p", 1 - F.col("__p"))}).drop("__p", "filters", "weights", "bias")
-
-
-def adapt_means_stream(covariances: DataFrame, start: np.ndarray, n: float, cap: float, weight: float = 1.0) -> DataFrame:
-    """(session_id, mean, n) of every session after each batch of ``covariances`` (session_id, ts, cov): the mean moves by each row's share of the weight."""
-    key, p = covariances.schema["session_id"].dataType.simpleString(), len(start)
-
-    def run(names, batches, state: GroupState):
-        flat, have = state.get if state.exists else (start.ravel().tolist(), n)
-        mean = np.asarray(flat, float).reshape(p, p)
-        for rows in batches:
-            for c in rows.sort_values("ts")["cov"]:
-                if have + weight <= cap:
-                    mean = linalg.riemann_mean(np.stack([mean, np.asarray(c, float).reshape(p, p)]), np.array([have, weight]))
-                    have += weight
-        state.update((mean.ravel().tolist(), have))
-        yield pd.DataFrame({"session_id": [names[0]], "mean": [mean.ravel()], "n": [have]})
-
-    return covariances.groupBy("session_id").applyInPandasWithState(run, f"session_id {key}, mean array<double>, n double", "mean array<double>, n double", "update", GroupStateTimeout.NoTimeout)
