@@ -54,3 +54,38 @@ def previous(df: DataFrame, keys: list[str], order: str, value: Column, name: st
     carried = last.select(*keys, "__stretch", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__stretch")).alias("__carried_row"))
     within = Window.partitionBy(*keys, "__stretch").orderBy(order)
     return _joined(cut, carried, keys).withColumn(name, F.coalesce(F.lag("__of_row").over(within), "__carried_row")).drop("__of_row", "__carried_row", "__stretch")
+
+
+def runs_along(df: DataFrame, keys: list[str], order: str, value: Column, number: str, at: str, stretch: float = STRETCH) -> DataFrame:
+    """Add ``number`` (from 1, along the key) and ``at`` (from 0 within it) of each row's run of equal ``value``; null is no run, and ends one.
+
+    The input is read twice: once, narrow, for a row a stretch with what later ones need (how many runs begin in it, its first and last
+    value, how long its last run is), and once for the rows, which one window per stretch numbers.
+    """
+    cut = _cut(df, order, stretch).withColumn("__run_value", F.struct(value.alias("v")))
+    within = Window.partitionBy(*keys, "__stretch").orderBy(order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    has, rn, before = F.col("__run_value.v").isNotNull(), F.row_number().over(within), F.lag("__run_value").over(within)
+    # A stretch's first row begins a run or not by the stretch before.
+    begins = has & (F.col("__run_rn") > 1) & ~F.col("__run_value.v").eqNullSafe(F.col("__run_before.v"))
+    marked = lambda rows: rows.withColumns({"__run_rn": rn, "__run_before": before}).withColumn("__run_begins", begins)
+    narrow = marked(cut.select(*keys, "__stretch", order, "__run_value"))
+    sums = narrow.groupBy(*keys, "__stretch").agg(
+        F.count("*").alias("rows"), F.min_by("__run_value", "__run_rn").alias("first"), F.max_by("__run_value", "__run_rn").alias("last"), F.count_if("__run_begins").alias("begun"), F.max(F.when(F.col("__run_begins"), F.col("__run_rn"))).alias("last_at")
+    )
+    along = Window.partitionBy(*keys).orderBy("__stretch")
+    earlier, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = sums.withColumn("opens", F.col("first.v").isNotNull() & ~F.col("first.v").eqNullSafe(F.lag("last").over(along)["v"]))
+    told = told.withColumns({"upto": F.sum("rows").over(upto), "all": F.col("begun") + F.col("opens").cast("int")})
+    # How long the run at a stretch's end is: since the last run began, in this stretch or an earlier one.
+    open_at = F.when(F.col("begun") > 0, F.col("rows") - F.col("last_at") + 1).when(F.col("opens"), F.col("rows")) - F.col("upto")
+    told = told.withColumn("open", F.col("upto") + F.last(open_at, ignorenulls=True).over(upto))
+    carried = told.select(*keys, "__stretch", F.struct(F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("runs"), "opens", F.coalesce(F.lag("open").over(along), F.lit(0)).alias("open")).alias("__run_carried"))
+    rows = _joined(marked(cut), carried, keys)
+    latest = F.max(F.when(F.col("__run_begins"), F.col("__run_rn"))).over(so_far)
+    rows = rows.withColumns({"__run_local": F.sum(F.col("__run_begins").cast("int")).over(so_far), "__run_latest": latest})
+    c = F.col("__run_carried")
+    runs = c["runs"] + c["opens"].cast("long") + F.col("__run_local")
+    place = F.when(F.col("__run_latest").isNotNull(), F.col("__run_rn") - F.col("__run_latest")).when(c["opens"], F.col("__run_rn") - 1).otherwise(c["open"] + F.col("__run_rn") - 1)
+    out = rows.withColumns({number: F.when(has, runs), at: F.when(has, place.cast("long"))})
+    return out.drop("__stretch", *[f"__run_{c}" for c in ("value", "rn", "before", "begins", "carried", "local", "latest")])

@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from sigloom.operators.aggregates import ratio
 from sigloom.operators.joins import interval_join, next_different
-from sigloom.operators.stretches import previous, row_numbers, running_sum, running_sums
+from sigloom.operators.stretches import row_numbers, running_sums, runs_along
+from sigloom.sources.staging import stage
 
 
-def segments(df: DataFrame, group: str = "grp", key: str = "session_id", order: str = "idx") -> DataFrame:
-    """Rows with a group, and ``segment`` (from 1): a new one whenever the row before has another group or none.
+def segments(df: DataFrame, group: str = "grp", key: str = "session_id", order: str = "idx", at: str | None = None) -> DataFrame:
+    """Rows with a group, and ``segment`` (from 1): a new one whenever the row before has another group or none; ``at``: a name for the row's number (from 0) in its segment.
 
     A session is cut into stretches of ``order`` (numeric), so a long one is many tasks.
     """
-    told = previous(df, [key], order, F.col(group), "__before")
-    new = F.col(group).isNotNull() & ~F.col(group).eqNullSafe(F.col("__before.v"))
-    return running_sum(told.withColumn("__new", new.cast("int")), [key], order, F.col("__new"), "segment").filter(F.col(group).isNotNull()).drop("__new", "__before")
+    place = at or "__segment_at"
+    told = runs_along(df, [key], order, F.col(group), "segment", place).filter(F.col(group).isNotNull())
+    return told if at else told.drop(place)
 
 
-def sliding_windows(df: DataFrame, size: int, step: int, by: tuple[str, ...] = ("session_id", "segment"), order: str = "idx", ts: str = "ts", collect: dict[str, str] | None = None) -> DataFrame:
+def sliding_windows(
+    df: DataFrame, size: int, step: int, by: tuple[str, ...] = ("session_id", "segment"), order: str = "idx", ts: str = "ts", collect: dict[str, str] | None = None, at: str | None = None
+) -> DataFrame:
     """Complete windows of ``size`` rows, every ``step`` rows from the start of each segment.
 
     One row per window: keys, ``window`` (from 0), ``start_timestamp``, ``end_timestamp`` and, per entry of
-    ``collect``, an array of that column in order. Segments are numbered in stretches of ``order`` (numeric), and a window is its own
-    group, so segments of any length are spread; each row is copied size / step times.
+    ``collect``, an array of that column in order. ``at``: a column that has the row's number in its segment already (see ``segments``); without it
+    rows are numbered in stretches of ``order`` (numeric). A window is its own group, so segments of any length are spread; each row is copied size / step times.
     """
-    numbered = row_numbers(df, list(by), order, "__at")
+    numbered = df.withColumn("__at", F.col(at)) if at else row_numbers(df, list(by), order, "__at")
+    numbered = numbered.select(*dict.fromkeys([*by, ts, *(collect or {}).values()]), "__at")
     first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("__at") - size + 1) / step))
     last = F.floor(F.col("__at") / step)
     spread = numbered.filter(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
@@ -82,9 +86,8 @@ def missing_flag(x: str = "x") -> Column:
 
 def runs(df: DataFrame, flag: Column, key: str = "session_id", order: str = "idx") -> DataFrame:
     """Maximal runs of equal ``flag``: key, ``run``, ``flag``, ``start``, ``end`` (inclusive), ``rows``; a key is cut into stretches of ``order``."""
-    flagged = previous(df.select(key, order, flag.alias("flag")), [key], order, F.col("flag"), "__before")
-    new = F.coalesce((F.col("flag") != F.col("__before.v")).cast("int"), F.lit(1))
-    return running_sum(flagged, [key], order, new, "run").groupBy(key, "run", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"))
+    flagged = df.select(key, order, flag.alias("flag"))
+    return runs_along(flagged, [key], order, F.col("flag"), "run", "__run_at").groupBy(key, "run", "flag").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("rows"))
 
 
 def valid_runs(df: DataFrame, **names) -> DataFrame:
@@ -164,7 +167,8 @@ def hybrid_sweep(df: DataFrame, index: str = "sample_index", a: str = "predicted
     """
     t, one = F.col(true), F.lit(1)
     cell = lambda c, k, p: F.sum(((t == k) & (F.col(c) == p)).cast("long"))
-    per = df.groupBy(index).agg(*[cell(c, k, p).alias(f"{n}{k}{p}") for n, c in (("a", a), ("b", b)) for k in (0, 1) for p in (0, 1)])
+    # One row an index: what is read several times from here on is that table, not the input.
+    per = stage(df.groupBy(index).agg(*[cell(c, k, p).alias(f"{n}{k}{p}") for n, c in (("a", a), ("b", b)) for k in (0, 1) for p in (0, 1)]), "sweep")
     names = [c for c in per.columns if c != index]
     start = per.agg(F.lit(-1).cast("long").alias(index), *[F.lit(0).cast("long").alias(c) for c in names], F.count("*").alias("__n")).filter("__n > 0").drop("__n")
     rows = per.withColumn(index, F.col(index).cast("long")).unionByName(start)

@@ -172,7 +172,7 @@ SEGMENTS = f"""{ASOF}, grouped AS (SELECT *, CASE state WHEN 'Rest' THEN 'r' WHE
 def _segments(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     group = F.when(F.col("state") == "Rest", "r").when(F.col("state").isin("Imagery", "Point"), "i")
-    return W.segments(rows.withColumn("grp", group))
+    return W.segments(rows.withColumn("grp", group), at="at")
 
 
 @register(f"{SEGMENTS} SELECT session_id, idx, segment, grp FROM seg WHERE grp IS NOT NULL")
@@ -186,7 +186,7 @@ def segments(spark, sf_dir):
     SELECT session_id, segment, win AS "window", min(ts) AS start_timestamp, max(ts) AS end_timestamp, list(event_id ORDER BY p) AS events FROM w GROUP BY ALL HAVING count(*) = 3"""
 )
 def sliding_windows(spark, sf_dir):
-    return W.sliding_windows(_segments(spark, sf_dir), 3, 2, collect={"events": "event_id"})
+    return W.sliding_windows(_segments(spark, sf_dir), 3, 2, collect={"events": "event_id"}, at="at")
 
 
 _RUNS = """, flagged AS (SELECT session_id, idx, isnan(v) AS flag, CAST(isnan(v) IS DISTINCT FROM lag(isnan(v)) OVER (PARTITION BY session_id ORDER BY idx) AS INTEGER) AS fresh FROM samples),
@@ -369,8 +369,8 @@ def action_intervals(spark, sf_dir):
 )
 def windowed_actions(spark, sf_dir):
     """Windows of the group that the action covers, and when each is emitted."""
-    rows = stage(_segments(spark, sf_dir).select("session_id", "segment", "grp", "idx", "ts"), "segments")
-    windows = stage(W.sliding_windows(rows, 3, 2, ("session_id", "segment", "grp")), "windows")
+    rows = stage(_segments(spark, sf_dir).select("session_id", "segment", "grp", "idx", "ts", "at"), "segments")
+    windows = stage(W.sliding_windows(rows, 3, 2, ("session_id", "segment", "grp"), at="at"), "windows")
     visits = stage(states.state_visits(S.markers(spark, sf_dir), last_code_machine()).filter("problem IS NULL"), "visits")
     intervals = states.action_intervals(states.action_toggles(visits, [states.Action("entry:Imagery", "PREDICT", "i", 60.0)]))
     return states.windowed_actions(windows, rows, intervals).select("session_id", "segment", "window", "emitted")

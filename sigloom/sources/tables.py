@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +42,10 @@ def read_task_json(spark: SparkSession, path: str) -> DataFrame:
 def discover_sessions(spark: SparkSession, root: str, required: tuple[str, ...] = ("samples.parquet", "markers.parquet"), only: list[str] | None = None) -> DataFrame:
     """(session_id, ``complete``) of the folders below ``root``, sorted; a session without a required file is not complete."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    parts = files.select(F.split(F.regexp_replace("path", r"^.*" + PurePosixPath(root).name + "/", ""), "/").alias("p")).filter(F.size("p") > 1)
+    # What follows the root's full path, whatever its name is.
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    parts = files.select(F.split(F.substring("path", F.lit(len(full) + 2), F.length("path")), "/").alias("p")).filter(F.size("p") > 1)
     found = parts.groupBy(F.col("p")[0].alias("session_id")).agg(F.collect_set(F.col("p")[1]).alias("names"))
     if only is not None:
         found = found.filter(F.col("session_id").isin(only))

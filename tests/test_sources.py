@@ -28,6 +28,16 @@ def test_sessions_are_found_and_read(spark, sessions):
     assert [(r.session_id, r.pos, r.sample_type) for r in task][:2] == [("s1", 0, "Rest"), ("s1", 1, "Image")] and len(task) == 6
 
 
+@pytest.mark.parametrize("root", ["rec", "run+1", "a (b)", "100%"])
+def test_sessions_below_roots_of_any_name(spark, tmp_path, root):
+    """A session may be named as its root, and a root's name may hold signs of patterns."""
+    for session in ("rec", "x.y"):
+        for name in ("samples.parquet", "markers.parquet"):
+            (tmp_path / root / session / name).mkdir(parents=True)
+            (tmp_path / root / session / name / "part").write_text("x")
+    assert [tuple(r) for r in tables.discover_sessions(spark, str(tmp_path / root)).collect()] == [("rec", True), ("x.y", True)]
+
+
 def test_epochs_metrics_models_and_cache(spark, tmp_path):
     epochs = spark.createDataFrame([(1, 2, 0, 1.0, False, True, False, 2, 3, [0.0] * 6)], EPOCHS)
     tables.write_epochs(epochs, str(tmp_path / "e"))
