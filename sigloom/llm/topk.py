@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.staging import stage
+from sigloom.llm.staging import small_batches, stage
 
 PER_BLOCK = 1024
-PER_TURN = 50_000
-TURN_BYTES = 64 << 20
+PER_CHUNK = 256
 PER_TASK = 100_000
-BLOCK = "pivot int, lo double, hi double, norm double, n int, keys binary, ids binary, vectors binary, width int"
+#: How many blocks of a query's order each round ends at; the last visits all others that can hold a result.
+ROUNDS = (2, 8, 40, None)
+BLOCK = "block int, keys binary, ids binary, vectors binary, width int"
 FOUND = "query_key long, vec_id long, score long"
 
 
@@ -60,52 +59,57 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
-    """Blocks of at most about ``PER_BLOCK`` vectors of one pivot and annulus, with their distance range and greatest norm.
+def build_index(vectors: DataFrame, pivots: np.ndarray, width: int) -> tuple[DataFrame, pd.DataFrame]:
+    """Blocks of at most about ``PER_BLOCK`` vectors of one pivot and annulus, and a table of the annuli: pivot, distance range, greatest norm, first block, blocks, vectors.
 
-    Every vector is keyed by its nearest pivot and distance. An annulus spans a 64th of the pivot's greatest distance; one with
-    more vectors than a block is dealt to several by the id's hash, so equal vectors do not meet in one task.
+    Every vector is keyed by its nearest pivot and distance. An annulus spans a 64th of the pivot's greatest distance, so there are 65 a
+    pivot at most, whatever the number of vectors; one with more vectors than a block is dealt to several by the key's hash, so equal vectors do not meet in one task.
     """
     session = vectors.sparkSession
     shared = session.sparkContext.broadcast(pivots)
 
     def place(batches):
         for b in batches:
-            d = distances(_matrix(b.column(2), width).astype(np.float64), shared.value) if b.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else [], pa.float64())], ["key", "id", "v", "pivot", "r"])
+            x = _matrix(b.column(2), width).astype(np.float64)
+            d = distances(x, shared.value) if b.num_rows else np.zeros((0, 1))
+            norm = np.sqrt(np.square(x).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1) if len(d) else [], pa.float64()), pa.array(norm)], ["key", "id", "v", "pivot", "r", "norm"])
 
-    keyed = stage(vectors.mapInArrow(place, "key long, id long, v array<long>, pivot int, r double"), "keyed")
+    keyed = stage(vectors.mapInArrow(place, "key long, id long, v array<long>, pivot int, r double, norm double"), "keyed")
     shared.destroy()
     reach = keyed.groupBy(F.col("pivot").alias("__p")).agg(F.max("r").alias("most"))
     # One row per pivot, and per pivot and annulus: both bounded by the settings.
     ringed = keyed.join(F.broadcast(reach), F.col("pivot") == F.col("__p")).withColumn("ring", F.when(F.col("most") > 0, F.floor(64 * F.col("r") / F.col("most"))).otherwise(0).cast("int"))
-    rings = ringed.groupBy(F.col("pivot").alias("__q"), F.col("ring").alias("__r")).agg(F.ceil(F.count("*") / PER_BLOCK).alias("deals"))
-    dealt = ringed.join(F.broadcast(rings), (F.col("pivot") == F.col("__q")) & (F.col("ring") == F.col("__r")))
-    dealt = dealt.select("key", "id", "v", "pivot", "ring", "r", F.pmod(F.xxhash64("key"), F.col("deals")).alias("deal"))
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // PER_TASK))
+    sums = ringed.groupBy("pivot", "ring").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("norm").alias("norm"), F.count("*").alias("n"))
+    rings = sums.orderBy("pivot", "ring").toPandas()
+    rings["deals"] = -(-rings.n // PER_BLOCK)
+    rings["first"] = rings.deals.cumsum() - rings.deals
+    table = session.createDataFrame([tuple(map(int, r)) for r in rings[["pivot", "ring", "first", "deals"]].itertuples(index=False)], "__q int, __r int, first int, deals int")
+    dealt = ringed.join(F.broadcast(table), (F.col("pivot") == F.col("__q")) & (F.col("ring") == F.col("__r")))
+    dealt = dealt.select("key", "id", "v", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("deals"))).cast("int").alias("block"))
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-int(rings.n.sum()) // PER_TASK))
 
     def pack(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches).combine_chunks()
-        keys, ids, pivot, ring, deal, r = (table.column(c).to_numpy() for c in ("key", "id", "pivot", "ring", "deal", "r"))
+        keys, ids, block = (table.column(c).to_numpy() for c in ("key", "id", "block"))
         x = _matrix(table.column("v").chunk(0), width)
-        order = np.lexsort((keys, ids, r, deal, ring, pivot))
-        keys, ids, pivot, ring, deal, r, x = (c[order] for c in (keys, ids, pivot, ring, deal, r, x))
-        new = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (ring[1:] != ring[:-1]) | (deal[1:] != deal[:-1])]))
+        order = np.lexsort((keys, ids, block))
+        keys, ids, block, x = (c[order] for c in (keys, ids, block, x))
+        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         rows = []
         for lo, hi in zip(new, [*new[1:], len(ids)], strict=True):
             own = x[lo:hi]
             small = np.int16 if np.abs(own.astype(np.float64)).max(initial=0) < 2**15 else np.int64
-            norm = np.sqrt(np.square(own.astype(np.float64)).sum(1).max(initial=0))
-            rows.append((int(pivot[lo]), r[lo:hi].min(), r[lo:hi].max(), norm, hi - lo, keys[lo:hi].astype("<i8").tobytes(), ids[lo:hi].astype("<i8").tobytes(), own.astype(small).tobytes(), np.dtype(small).itemsize))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCK.split(", ")]).astype({"pivot": "int32", "n": "int32", "width": "int32"}), preserve_index=False)
+            rows.append((int(block[lo]), keys[lo:hi].astype("<i8").tobytes(), ids[lo:hi].astype("<i8").tobytes(), own.astype(small).tobytes(), np.dtype(small).itemsize))
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCK.split(", ")]).astype({"block": "int32", "width": "int32"}), preserve_index=False)
 
-    return stage(dealt.repartition(parts, "pivot", "ring", "deal").mapInArrow(pack, BLOCK), "blocks")
+    return stage(dealt.repartition(parts, "block").mapInArrow(pack, BLOCK), "blocks"), rings
 
 
-def upper_bounds(q: np.ndarray, to_pivot: np.ndarray, lo: float, hi: float, norm: float) -> np.ndarray:
+def upper_bounds(q: np.ndarray, to_pivot: np.ndarray, lo: np.ndarray | float, hi: np.ndarray | float, norm: np.ndarray | float) -> np.ndarray:
     """Greatest inner product that a vector of an annulus can have with each query.
 
     By the triangle inequality it is no nearer to the query than the gap between the query's distance to the pivot and
@@ -123,93 +127,106 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.T.astype(np.int64)
 
 
-def _expand(keys: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, least: np.ndarray | None):
-    """Search a partition's blocks. ``least``: for each query a score that k candidates are known to reach; None: only the blocks around the query."""
+def _asks(pivots: np.ndarray, rings: pd.DataFrame, width: int, since: int, until: int | None):
+    """Runs on (key, v, floor): the blocks from place ``since`` to ``until`` of each query's order, best bounds first, as far as they can reach its floor."""
+    lo, hi, norm, deals, first = (rings[c].to_numpy() for c in ("lo", "hi", "norm", "deals", "first"))
+    pivot = rings["pivot"].to_numpy()
 
     def run(batches):
-        blocks = pd.concat([b.to_pandas() for b in batches] or [pd.DataFrame()], ignore_index=True)
-        if blocks.empty or not len(q):
-            return
-        away = distances(q, pivots)
-        bounds = np.stack([upper_bounds(q, away[:, b.pivot], b.lo, b.hi, b.norm) for b in blocks.itertuples()])
-        if least is None:
-            # A first score to beat: the blocks of this partition that promise most, with more than k vectors in all.
-            rank = np.argsort(-bounds, axis=0, kind="stable")
-            sums = np.cumsum(blocks.n.to_numpy()[rank], axis=0)
-            first = np.concatenate([np.zeros((1, len(q)), int), sums[:-1]]) <= k
-        floor = np.full(len(q), -np.inf) if least is None else least.copy()
-        best_s, best_i = np.full((len(q), k), np.iinfo(np.int64).min), np.full((len(q), k), np.iinfo(np.int64).max)
-        filled = np.zeros(len(q), int)
-        for at in np.argsort(-bounds.max(1), kind="stable"):
-            b = blocks.iloc[at]
-            asks = np.flatnonzero(((rank == at) & first).any(0) if least is None else bounds[at] >= floor)
-            if not len(asks):
-                continue
-            own, names = np.frombuffer(b["keys"], "<i8"), np.frombuffer(b["ids"], "<i8")
-            x = np.frombuffer(b["vectors"], np.int16 if b["width"] == 2 else np.int64).reshape(len(names), -1)
-            for s in range(0, len(asks), 1024):
-                some = asks[s : s + 1024]
-                score = _products(q[some], x)
-                legal = own[None, :] != keys[some][:, None]
-                all_s = np.concatenate([best_s[some], np.where(legal, score, np.iinfo(np.int64).min)], 1)
-                all_i = np.concatenate([best_i[some], np.where(legal, names[None, :], np.iinfo(np.int64).max)], 1)
-                top = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
-                best_s[some], best_i[some] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
-                filled[some] += legal.sum(1)
-                full = filled[some] >= k
-                floor[some] = np.where(full, np.maximum(floor[some], best_s[some][:, -1]), floor[some])
-        row, col = np.nonzero(np.arange(k)[None, :] < np.minimum(filled, k)[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(best_i[row, col]), pa.array(best_s[row, col])], ["query_key", "vec_id", "score"])
+        for b in batches:
+            keys, blocks = [], []
+            q = _matrix(b.column(1), width).astype(np.float64)
+            away = distances(q, pivots) if len(q) else np.zeros((0, len(pivots)))
+            for k, (key, floor) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                bound = upper_bounds(q[k : k + 1], away[k, pivot], lo, hi, norm)
+                order = np.argsort(-bound, kind="stable")
+                ends = deals[order].cumsum()
+                begins = ends - deals[order]
+                met = (ends > since) & (begins < (until if until is not None else np.inf)) & ((bound[order] >= floor) if floor is not None else True)
+                for at, begin in zip(order[met].tolist(), begins[met].tolist(), strict=True):
+                    some = range(max(0, since - begin), int(deals[at]) if until is None else min(int(deals[at]), until - begin))
+                    blocks += [int(first[at]) + d for d in some]
+                    keys += [key] * len(some)
+                if len(keys) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int32())], ["key", "block"])
+                    keys, blocks = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int32())], ["key", "block"])
+
+    return run
+
+
+def _scores(k: int, width: int):
+    """Runs on (asked, keys, ids, vectors, width): of each block the ``k`` best candidates of each query that asks it, none below the query's floor."""
+
+    def run(batches):
+        for b in batches:
+            found: list[list[np.ndarray]] = [[], [], []]
+            for asked, own, names, vectors, size in zip(b.column(0), *(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+                rows = asked.values
+                keys = rows.field("key").to_numpy()
+                floors = rows.field("floor").fill_null(np.iinfo(np.int64).min).to_numpy()
+                q = _matrix(rows.field("v"), width).astype(np.float64)
+                own, names = np.frombuffer(own, "<i8"), np.frombuffer(names, "<i8")
+                x = np.frombuffer(vectors, np.int16 if size == 2 else np.int64).reshape(len(names), -1)
+                score = _products(q, x)
+                row, col = np.nonzero((own[None, :] != keys[:, None]) & (score >= floors[:, None]))
+                order = np.lexsort((names[col], ~score[row, col], row))
+                row, col = row[order], col[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                row, col = row[place < k], col[place < k]
+                for held, more in zip(found, (keys[row], names[col], score[row, col]), strict=True):
+                    held.append(more)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in found], ["query_key", "vec_id", "score"])
 
     return run
 
 
-def top_k(
-    df: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 64, sample: int = 4096, per_turn: int = PER_TURN, turn_bytes: int = TURN_BYTES
-) -> DataFrame:
+def top_k(df: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 64, sample: int = 4096, rounds: tuple[int | None, ...] = ROUNDS) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: for every query its ``k`` largest integer inner products.
 
     Components become floor(1024 * x). ``query_ids``: a condition on ``id``. Candidates are all rows but the query's own; with
     fewer than ``k`` all are returned; ties go to the smaller id. Rows with a null id, a null vector, or null or non-finite
     components take no part. Rows of the same id are rows of their own, as candidates and as queries, each with its own ranks. Vectors of unequal
     length are compared as if filled with zeros. Scores are exact while they fit in a long. Pivots are fitted on ``sample`` vectors; all are
-    indexed. Queries go to the blocks ``per_turn`` at a time, or as many as take ``turn_bytes``, and a turn's broadcasts go when its results are
-    written: first to the annuli that promise most, then to every annulus whose bound reaches the k-th score found, in sorted order and
-    with rising scores to beat. An empty table gives no rows.
+    indexed. Other columns are not read. An empty table gives no rows.
+
+    Annuli are a bounded table, from which each query has its own order of blocks, best bound first. It expands them in rounds: the first two, then as many as
+    ``rounds`` says, and at last all, each time only those whose bound reaches its k-th score so far. Queries meet blocks in a join, by up to ``PER_CHUNK`` a row,
+    and what is below a query's score never leaves the worker, so that the rows found are a few more than ``k`` a query, however many blocks there are.
     """
     spark = df.sparkSession
     vectors = stage(as_integers(df, id_col, vector_col), "vectors")
     width = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
     centres = choose_pivots(vectors, width, pivots, sample)
-    index = build_index(vectors, centres, width)
-    asked = vectors.filter(query_ids)
-    turns = max(1, -(-asked.count() // max(1, min(per_turn, turn_bytes // (8 * max(1, width))))))
-    parts = []
-    for turn in range(turns):
-        table = asked.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn).select("key", "v").orderBy("key").toArrow()
-        if not table.num_rows and (parts or turn + 1 < turns):
-            continue
-        keys = table.column(0).to_numpy().astype(np.int64)
-        q = np.concatenate([_matrix(x, width) for x in table.column(1).chunks] or [np.zeros((0, width))]).astype(np.float64)
-        seen = _search(spark, index, (keys, q, centres, k, None))
-        kth = _ranked(seen, k).filter(F.col("rank") == k).select("query_key", "score").toArrow()
-        least = np.full(len(keys), -np.inf)
-        least[np.searchsorted(keys, kth.column(0).to_numpy())] = kth.column(1).to_numpy()
-        parts.append(_search(spark, index, (keys, q, centres, k, least)))
+    index, rings = build_index(vectors, centres, width)
+    asked = vectors.filter(query_ids).select("key", "id", "v")
+    best = spark.createDataFrame([], FOUND)
+    since = 0
+    for until in rounds:
+        kth = _ranked(best, k).filter(F.col("rank") == k).select(F.col("query_key").alias("__k"), F.col("score").alias("floor"))
+        now = stage(asked.join(kth, F.col("key") == F.col("__k"), "left").select("key", "v", "floor"), "asking")
+        asks = stage(now.mapInArrow(_asks(centres, rings, width, since, until), "key long, block int"), "asks")
+        if asks.isEmpty():
+            break
+        found = _met(now, asks, index, k, width)
+        best = stage(_ranked(best.unionByName(found), k).drop("rank"), "best")
+        since = until
     names = asked.select(F.col("key").alias("__key"), F.col("id").alias("query_id"))
-    best = _ranked(reduce(DataFrame.unionByName, parts), k).join(names, F.col("query_key") == F.col("__key"))
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = _ranked(best, k).join(names, F.col("query_key") == F.col("__key"))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(spark: SparkSession, index: DataFrame, settings: tuple) -> DataFrame:
-    """The k best of each partition, staged: the queries' broadcast goes when they are written."""
-    shared = spark.sparkContext.broadcast(settings)
-    found = stage(_ranked(index.mapInArrow(lambda batches: _expand(*shared.value)(batches), FOUND), settings[3]).drop("rank"), "found")
-    shared.destroy()
-    return found
+def _met(now: DataFrame, asks: DataFrame, index: DataFrame, k: int, width: int) -> DataFrame:
+    """Blocks with the queries that ask them, in chunks: a block that all ask is many rows, and no row holds more than a block and a chunk."""
+    counts = asks.groupBy(F.col("block").alias("__b")).agg(F.ceil(F.count("*") / PER_CHUNK).alias("chunks"))
+    dealt = asks.join(counts, F.col("block") == F.col("__b")).select(F.col("key").alias("__key"), F.col("block").alias("__block"), F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk"))
+    rows = dealt.join(now, F.col("__key") == F.col("key"))
+    chunks = rows.groupBy("__block", "chunk").agg(F.collect_list(F.struct("key", "floor", "v")).alias("asked"))
+    with small_batches(now.sparkSession, 16):
+        return stage(chunks.join(index, F.col("__block") == F.col("block")).select("asked", "keys", "ids", "vectors", "width").mapInArrow(_scores(k, width), FOUND), "scored")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    """The best k of what the partitions found: k rows a partition and query at most."""
+    """The best k of each query."""
     order = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

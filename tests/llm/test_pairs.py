@@ -155,7 +155,7 @@ def test_top_k_of_odd_vectors(spark):
     vectors = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
     found = topk.top_k(df, F.col("id") % 100 == 0, pivots=8)
     assert sorted(tuple(r) for r in found.collect()) == plain_top(vectors, 10)
-    turns = topk.top_k(df, F.col("id") % 100 == 0, pivots=8, per_turn=2)
+    turns = topk.top_k(df, F.col("id") % 100 == 0, pivots=8, rounds=(1, 2, 3, 5, None))
     assert sorted(tuple(r) for r in turns.collect()) == plain_top(vectors, 10)
 
 
@@ -167,11 +167,37 @@ def test_top_k_of_few_and_none(spark):
 
 def test_rows_of_the_same_id_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(0, [1.0]), (7, [2.0]), (7, [3.0]), (100, [1.0]), (100, [-1.0])], "vec_id long, embedding array<double>")
-    out = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, per_turn=1).collect())
+    out = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, rounds=(1, None)).collect())
     assert [(a, b, c, d // 2**20) for a, b, c, d in out if a == 0] == [(0, 1, 7, 3), (0, 2, 7, 2), (0, 3, 100, 1), (0, 4, 100, -1)]
     assert sorted((c, d // 2**20) for a, _, c, d in out if a == 100) == sorted([(7, 3), (7, 2), (0, 1), (100, -1), (0, -1), (100, -1), (7, -2), (7, -3)])
 
 
+def test_rows_found_do_not_grow_with_blocks(spark, monkeypatch):
+    """Many small blocks in 200 partitions: what queries ask and find follows the blocks that can hold a result, not the partitions (which gave 2,000 rows a query and pass)."""
+    monkeypatch.setattr(topk, "PER_BLOCK", 20)
+    random = np.random.default_rng(8)
+    middles = random.normal(size=(40, 8))
+    x = middles[random.integers(0, 40, 4000)] + 0.1 * random.normal(size=(4000, 8))
+    found = []
+    met = topk._met
+
+    def seen(*args):
+        out = met(*args)
+        found.append((args[1].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(topk, "_met", seen)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(200)
+    out = topk.top_k(df, F.col("id") % 100 == 0, pivots=16)
+    v = np.floor(1024 * x).astype(np.int64)
+    for q in (0, 700, 3900):
+        score = v[q] @ v.T
+        wanted = sorted((k for k in range(4000) if k != q), key=lambda k: (-score[k], k))[:10]  # noqa: B023
+        assert [(r.vec_id, r.score) for r in out.filter(f"query_id = {q}").orderBy("rank").collect()] == [(k, score[k]) for k in wanted]
+    asked, rows = sum(n for n, _ in found), sum(n for _, n in found)
+    assert rows < 40 * 300 and rows <= 6 * asked
+
+
 def test_bounds_hold():
     random = np.random.default_rng(3)
     q, x, p = random.normal(size=(20, 6)), random.normal(size=(300, 6)), random.normal(size=(1, 6))
