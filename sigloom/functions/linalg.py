@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 
@@ -166,6 +168,20 @@ def independent_components(x: np.ndarray, seed: int = 42, most: int = 200, toler
     return fix_signs(w @ white)
 
 
+def majorise(d: np.ndarray, x: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, bool]:
+    """Points moved by stress majorisation until a step lowers the stress by ``tolerance`` of itself or less, or it is nothing beside the distances, and whether that came within ``steps``."""
+    last, nothing = np.inf, 1e-15 * np.square(d).sum()
+    for _ in range(steps):
+        now = np.sqrt(np.square(x[:, None] - x[None]).sum(-1))
+        stress = np.square(now - d).sum() / 2
+        if stress <= nothing or not last - stress > tolerance * stress:
+            return x, True
+        last = stress
+        pull = np.divide(d, now, out=np.zeros(d.shape), where=now > 0)
+        x = (pull.sum(1)[:, None] * x - pull @ x) / len(x)
+    return x, False
+
+
 def metric_mds(d: np.ndarray, dims: int = 2, steps: int = 300) -> np.ndarray:
     """Points whose distances fit ``d``: classical start, then stress majorisation."""
     n = len(d)
@@ -174,16 +190,7 @@ def metric_mds(d: np.ndarray, dims: int = 2, steps: int = 300) -> np.ndarray:
     x = fix_signs((vectors[:, ::-1][:, :dims] * np.sqrt(np.maximum(values[::-1][:dims], 0))).T).T
     if x.shape[1] < dims:
         x = np.pad(x, ((0, 0), (0, dims - x.shape[1])))
-    last = np.inf
-    for _ in range(steps):
-        now = np.sqrt(np.square(x[:, None] - x[None]).sum(-1))
-        stress = np.square(now - d).sum() / 2
-        if last - stress < 1e-10 * max(1.0, stress):
-            break
-        last = stress
-        with np.errstate(divide="ignore", invalid="ignore"):
-            b = -np.where(now > 0, d / now, 0)
-        b[np.arange(n), np.arange(n)] = 0
-        b[np.arange(n), np.arange(n)] = -b.sum(1)
-        x = b @ x / n
+    x, done = majorise(d, x, steps, 1e-10)
+    if not done:
+        warnings.warn(f"the stress still falls after {steps} steps", stacklevel=2)
     return x

@@ -274,29 +274,40 @@ def csp_fit(df: DataFrame, by: list[str], filters: int, cov: str = "cov", label:
     return csp_of_means(riemann_means(df, [*by, label], cov), by, filters, label)
 
 
-def mds_embed(distances: DataFrame, by: str = "subject_id", d: str = "d", largest: int = 2000, rounds: int = 300, tolerance: float = 1e-6) -> DataFrame:
-    """Points (by, i, x, y) whose distances fit those of a table of all pairs i < j: a classical start, then stress majorisation.
+def mds_embed(distances: DataFrame, by: str = "subject_id", d: str = "d", largest: int = 2000, rounds: int = 300, tolerance: float = 1e-7) -> DataFrame:
+    """Points (by, i, x, y) whose distances fit those of a table of all pairs i < j: a ``landmark_start``, then stress majorisation.
 
-    A group of at most ``largest`` points, a matrix of bounded size, is one task's; larger ones are worked out in Spark rounds (see
-    ``mds_rounds``). Points are centred, turned to their principal axes and made positive at the farthest point of each axis.
+    Every group takes the same steps from the same start to the same end. Where they are worked out depends on its size: a group of at most ``largest`` points, a
+    matrix of bounded size, is one task's; of larger ones each step is a Spark round (see ``mds_rounds``). It warns if the stress of any still falls after
+    ``rounds``. Points are centred, turned to their principal axes and made positive at the farthest point of each axis.
     """
     from sigloom.sources.staging import stage
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(rows[["i", "j"]].to_numpy())
-        m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)
-        m[a, b] = m[b, a] = rows.d
-        points = linalg.metric_mds(m)
-        return pd.DataFrame({"g": rows.g.iloc[0], "i": ids, "x": points[:, 0], "y": points[:, 1]})
-
     kind = distances.schema[by].dataType.simpleString()
-    pairs = stage(distances.select(F.col(by).alias("g"), "i", "j", F.col(d).alias("d")), "mds-pairs")
+    pairs = stage(distances.select(F.col(by).alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col(d).cast("double").alias("d")), "mds-pairs")
     sizes = stage(pairs.groupBy(F.col("g").alias("__g")).agg(((F.sqrt(8 * F.count("*") + 1) + 1) / 2).cast("long").alias("n")), "mds-sizes")
     sized = pairs.join(sizes, F.col("g") == F.col("__g")).drop("__g")
-    points = sized.filter(F.col("n") <= largest).drop("n").groupBy("g").applyInPandas(run, f"g {kind}, i long, x double, y double")
+    ends = stage(sized.unionByName(sized.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "d", "n")), "mds-ends")
+    own = ends.select("g", "i", "n").distinct().select("g", "i", F.col("i").alias("j"), F.lit(0.0).alias("d"), "n")
+    start = stage(landmark_start(ends.unionByName(own)), "mds-start")
+
+    def run(rows: pd.DataFrame, begun: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"g": [], "i": [], "x": [], "y": [], "open": []})
+        begun = begun.sort_values("i")
+        ids, m = begun.i.to_numpy(), np.zeros((len(begun), len(begun)))
+        m[np.searchsorted(ids, rows.i), np.searchsorted(ids, rows.j)] = rows.d
+        points, done = linalg.majorise(m, begun[["x", "y"]].to_numpy(), rounds, tolerance)
+        return pd.DataFrame({"g": rows.g.iloc[0], "i": ids, "x": points[:, 0], "y": points[:, 1], "open": not done})
+
+    small = ends.filter(F.col("n") <= largest).select("g", "i", "j", "d").groupBy("g").cogroup(start.withColumnRenamed("g", "h").groupBy("h"))
+    points = stage(small.applyInPandas(run, f"g {kind}, i long, x double, y double, open boolean"), "mds-points")
+    if not points.filter("open").isEmpty():
+        warnings.warn(f"the stress of some groups still falls after {rounds} rounds", stacklevel=2)
+    points = points.drop("open")
     if not sizes.filter(F.col("n") > largest).isEmpty():
-        points = points.unionByName(mds_rounds(sized.filter(F.col("n") > largest), rounds, tolerance))
+        large = sizes.filter(F.col("n") > largest).select(F.col("__g"))
+        points = points.unionByName(mds_rounds(ends.filter(F.col("n") > largest), start.join(large, F.col("g") == F.col("__g"), "left_semi"), rounds, tolerance))
     return _to_axes(stage(points, "mds-points")).withColumnRenamed("g", by)
 
 
@@ -323,19 +334,15 @@ def landmark_start(pairs: DataFrame, landmarks: int = 200) -> DataFrame:
     return seen.join(model, F.col("g") == F.col("__g")).select("g", "i", at.alias("p")).select("g", "i", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def mds_rounds(sized: DataFrame, rounds: int = 300, tolerance: float = 1e-6, landmarks: int = 200) -> DataFrame:
-    """(g, i, x, y) of groups of any size, from (g, i, j, d, n): stress majorisation with unit weights from a ``landmark_start``.
+def mds_rounds(ends: DataFrame, start: DataFrame, rounds: int = 300, tolerance: float = 1e-7) -> DataFrame:
+    """(g, i, x, y) of groups of any size, from (g, i, j, d, n), every pair both ways round: stress majorisation with unit weights from ``start`` (g, i, x, y).
 
     In a round every pair meets its two points and pulls each along their difference; a point's new place is the mean of its pulls, so a
-    round is two joins and an aggregate, and no task holds a group. A group ends where its stress falls by less than ``tolerance`` of
-    itself; the driver only sees whether any goes on. It warns if one still does after ``rounds``.
+    round is two joins and an aggregate, and no task holds a group. A group ends where its stress falls by ``tolerance`` of
+    itself or less; the driver only sees whether any goes on. It warns if one still does after ``rounds``.
     """
     from sigloom.sources.staging import stage
 
-    turned = sized.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "d", "n")
-    ends = stage(sized.unionByName(turned), "mds-ends")
-    own = ends.select("g", "i", "n").distinct().select("g", "i", F.col("i").alias("j"), F.lit(0.0).alias("d"), "n")
-    start = landmark_start(ends.unionByName(own), landmarks)
     points = stage(start.withColumns({"stress": F.lit(float("inf")), "open": F.lit(True)}), "points")
     for _ in range(rounds):
         of = points.filter("open").select(F.col("g").alias("pg"), F.col("i").alias("pi"), "x", "y")
@@ -345,11 +352,11 @@ def mds_rounds(sized: DataFrame, rounds: int = 300, tolerance: float = 1e-6, lan
         now = F.sqrt(dx * dx + dy * dy)
         pull = F.when(now > 0, F.col("d") / now).otherwise(0.0)
         # A pair's misfit comes at both of its ends.
-        moved = met.groupBy(F.col("g").alias("__g"), F.col("i").alias("__i")).agg(F.sum(pull * dx).alias("mx"), F.sum(pull * dy).alias("my"), F.max("n").alias("n"), (F.sum((now - F.col("d")) * (now - F.col("d"))) / 4).alias("s"))
+        moved = met.groupBy(F.col("g").alias("__g"), F.col("i").alias("__i")).agg(F.sum(pull * dx).alias("mx"), F.sum(pull * dy).alias("my"), F.max("n").alias("n"), (F.sum((now - F.col("d")) * (now - F.col("d"))) / 4).alias("s"), F.sum(F.col("d") * F.col("d")).alias("dd"))
         moved = stage(moved, "mds-moves")
-        totals = moved.groupBy(F.col("__g").alias("__h")).agg(F.sum("s").alias("__now"))
+        totals = moved.groupBy(F.col("__g").alias("__h")).agg(F.sum("s").alias("__now"), (1e-15 * F.sum("dd")).alias("__nothing"))
         joined = points.join(moved, (F.col("g") == F.col("__g")) & (F.col("i") == F.col("__i")), "left").join(totals, F.col("g") == F.col("__h"), "left")
-        falls = F.coalesce(F.col("open") & (F.col("stress") - F.col("__now") > tolerance * F.col("__now")), F.lit(False))
+        falls = F.coalesce(F.col("open") & (F.col("__now") > F.col("__nothing")) & (F.col("stress") - F.col("__now") > tolerance * F.col("__now")), F.lit(False))
         take = lambda new, old: F.when(falls, new / F.col("n")).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
         points = stage(joined.select("g", "i", take(F.col("mx"), "x"), take(F.col("my"), "y"), F.coalesce("__now", "stress").alias("stress"), falls.alias("open")), "points")
         if points.filter("open").isEmpty():
@@ -386,7 +393,7 @@ def eye_removal_fit(df: DataFrame, n_channels: int, veog: tuple[int, int], heog:
     moments. A group of at most ``largest`` times, which is of bounded size, iterates in one task; of larger ones each step is a Spark round for
     all of them, in which batches add up their times' terms (see ``group_sums``), so no task holds such a group. Both take the same steps.
     The correlations of components with the eyes follow from the moments. ``veog`` averages two channels, ``heog`` is
-    the difference of two. It warns if an unmixing by rounds still turns after ``most`` of them.
+    the difference of two. It warns if an unmixing still turns after ``most`` steps.
     """
     from sigloom.sources.staging import stage
 
@@ -427,7 +434,7 @@ def eye_removal_fit(df: DataFrame, n_channels: int, veog: tuple[int, int], heog:
             w = out[:, :-1]
             if out[0, -1] < tolerance:
                 break
-        return pd.DataFrame({"__g": [frame["__g"].iloc[0]], "n": [n], "__m": [frame["__m"].iloc[0]], "__v": [frame["__v"].iloc[0]], "__w": [w[0]], "__turn": [0.0]})
+        return pd.DataFrame({"__g": [frame["__g"].iloc[0]], "n": [n], "__m": [frame["__m"].iloc[0]], "__v": [frame["__v"].iloc[0]], "__w": [w[0]], "__turn": [float(out[0, -1])]})
 
     kind = df.schema[by].dataType.simpleString()
     small = rows.join(model.filter(F.col("n") <= largest).select(F.col("__g").alias("__h"), "n", "__m", "__v"), F.col("__g") == F.col("__h")).drop("__h")
@@ -440,9 +447,9 @@ def eye_removal_fit(df: DataFrame, n_channels: int, veog: tuple[int, int], heog:
         model = stage(joined.select("__g", "n", "__m", "__v", F.coalesce(F.slice("__new", 1, p * p), "__w").alias("__w"), F.coalesce(F.element_at("__new", -1), "__turn").alias("__turn")), "ica")
         if model.filter(F.col("__turn") >= tolerance).isEmpty():
             break
+    model = stage(ended, "ica").unionByName(model)
     if not model.filter(F.col("__turn") >= tolerance).isEmpty():
         warnings.warn(f"components of some groups still turn after {most} rounds", stacklevel=2)
-    model = stage(ended, "ica").unionByName(model)
 
     def cleaning(w: np.ndarray, v: np.ndarray, f: np.ndarray) -> np.ndarray:
         eyes = np.zeros((2, p))
