@@ -47,21 +47,6 @@ def sosfilt(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None
     return y.T, state
 
 
-def free_responses(sections: np.ndarray, n: int) -> np.ndarray:
-    """What each entry of a flat state (sections x 2) still gives in ``n`` steps without input: entries x times."""
-    size = 2 * len(sections)
-    columns = np.eye(size).reshape(size, len(sections), 2).transpose(1, 2, 0)
-    return sosfilt(sections, np.zeros((size, n)), columns)[0]
-
-
-def transition(sections: np.ndarray, n: int) -> np.ndarray:
-    """How a state without input moves on in ``n`` steps: a square matrix over the flattened state."""
-    size = 2 * len(sections)
-    columns = np.eye(size).reshape(size, len(sections), 2).transpose(1, 2, 0)
-    one = sosfilt(sections, np.zeros((size, 1)), columns)[1].reshape(size, size)
-    return np.linalg.matrix_power(one, n)
-
-
 def decimation_taps(q: int) -> np.ndarray:
     """20 q + 1 taps of a Hamming-windowed low-pass with its cut-off at 1 / q of the Nyquist rate; they sum to one."""
     at = np.arange(-10 * q, 10 * q + 1)

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.functions import filters
 from sigloom.functions.matrix import batch, lists
-from sigloom.sources.staging import stage
 
 
 def to_chunks(samples: DataFrame, size: int, key: str = "session_id", order: str = "idx", x: str = "x") -> DataFrame:
@@ -41,61 +39,35 @@ def _shapes(sizes: np.ndarray):
 
 
 def run_filters(chunks: DataFrame, designs: list[np.ndarray], start: str = "zero", key: str = "session_id") -> DataFrame:
-    """Each channel through each filter (sections), the channels of the first filter first; equal to one pass over the whole session.
+    """Each channel through each filter (sections), the channels of the first filter first; to the last bit one pass over the whole session.
 
-    A linear filter's output is that of the chunk from rest plus what the state before it still gives. Chunks are filtered from
-    rest in parallel, all of a batch that have one shape as one array; their end states, one small row a chunk, are carried along
-    the session; and the responses to those states, products with a table, are added. ``start``: ``zero`` or ``unit_step`` for the first state.
+    A session's chunks stream through one task in order, with one small state a session; those of equal number and shape, of many
+    sessions, are worked out as one array. ``start``: ``zero`` or ``unit_step`` for the first state.
     """
     names = [key, "chunk", "n_channels", "n_times"]
-    widths = [2 * len(d) for d in designs]
 
-    def rest(batches):
+    def first(d: np.ndarray, c: int) -> np.ndarray:
+        return np.zeros((len(d), 2, c)) if start == "zero" else np.repeat(filters.unit_step_state(d)[..., None], c, 2)
+
+    def run(batches):
+        states: dict = {}
         for b in batches:
-            sizes = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
-            for (c, n), at in _shapes(sizes):
-                rows = pa.array(at)
+            keys, sizes = b.column(0).to_pylist(), np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1)
+            # In order of the chunks' numbers.
+            for (_, c, n), at in _shapes(sizes):
+                rows, out, ends = pa.array(at), [], []
                 x = batch(b.column(4).take(rows)).reshape(len(at) * c, n)
-                out, ends = [], []
-                for d, width in zip(designs, widths, strict=True):
-                    y, state = filters.sosfilt(d, x)
+                before = [states.get(keys[i]) or [first(d, c) for d in designs] for i in at]
+                for k, d in enumerate(designs):
+                    y, state = filters.sosfilt(d, x, np.concatenate([s[k] for s in before], 2))
                     out.append(y.reshape(len(at), c * n))
-                    ends.append(state.reshape(width, len(at), c).transpose(1, 0, 2).reshape(len(at), width * c))
-                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], lists(np.concatenate(out, 1)), lists(np.concatenate(ends, 1))], [*names, "signal", "state"])
+                    ends.append(np.split(state, len(at), 2))
+                states |= {keys[i]: [e.copy() for e in end] for i, end in zip(at, zip(*ends, strict=True), strict=True)}
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], lists(np.concatenate(out, 1))], [*names, "signal"])
 
     kinds = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in names)
-    rested = stage(chunks.select(*names, "signal").mapInArrow(rest, f"{kinds}, signal array<double>, state array<double>"), "rested")
-
-    def carry(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chunk")
-        c = int(rows.n_channels.iloc[0])
-        state = [np.zeros((w, c)) if start == "zero" else np.repeat(filters.unit_step_state(d).reshape(w, 1), c, 1) for d, w in zip(designs, widths, strict=True)]
-        cuts = np.cumsum([w * c for w in widths])[:-1]
-        before, powers = [], {}
-        for n, end in zip(rows.n_times, rows.state, strict=True):
-            before.append(np.concatenate([s.ravel() for s in state]))
-            if n not in powers:
-                powers[n] = [filters.transition(d, int(n)) for d in designs]
-            state = [p @ s + e.reshape(-1, c) for p, s, e in zip(powers[n], state, np.split(np.asarray(end, float), cuts), strict=True)]
-        return pd.DataFrame({key: rows[key], "chunk": rows.chunk, "before": before})
-
-    kind = chunks.schema[key].dataType.simpleString()
-    states = rested.select(*names, "state").groupBy(key).applyInPandas(carry, f"{key} {kind}, chunk long, before array<double>")
-
-    def respond(batches):
-        tables: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            sizes = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], 1)
-            for (c, n), at in _shapes(sizes):
-                rows = pa.array(at)
-                if n not in tables:
-                    tables[n] = [filters.free_responses(d, int(n)) for d in designs]
-                y, state = batch(b.column(4).take(rows)).reshape(len(at), len(designs), c, n), batch(b.column(5).take(rows))
-                for k, (table, part) in enumerate(zip(tables[n], np.split(state, np.cumsum([w * c for w in widths])[:-1], 1), strict=True)):
-                    y[:, k] += part.reshape(len(at), -1, c).transpose(0, 2, 1) @ table
-                yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], lists(y.reshape(len(at), -1))], [*names, "signal"])
-
-    out = rested.drop("state").join(states, [key, "chunk"]).select(*names, "signal", "before").mapInArrow(respond, f"{kinds}, signal array<double>")
+    ordered = chunks.select(*names, "signal").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions("chunk", key)
+    out = ordered.mapInArrow(run, f"{kinds}, signal array<double>")
     return out.withColumn("n_channels", (F.col("n_channels") * len(designs)).cast("int"))
 
 

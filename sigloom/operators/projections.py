@@ -150,6 +150,14 @@ def vector_distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     return 1 - total(lambda x, y: x * y) / (norm(a) * norm(b))
 
 
+def round_half_away(v: Column, digits: int) -> Column:
+    """``v`` times a power of ten, to the nearest whole number with halves away from zero, over that power: as in C and SQL engines built on it. A zero keeps its value's sign."""
+    scaled = F.abs(v) * 10.0**digits
+    whole = F.floor(scaled).cast("double")
+    rounded = F.signum(v) * ((whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits)
+    return F.when(scaled < 2.0**52, rounded).otherwise(v)
+
+
 def difference_vector(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: y - x)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import filters, signal_ops
+from sigloom.operators import projections as P
 from sigloom.queries import standins as S
 from sigloom.queries.signal import SEGMENTS, last_code_machine
 from sigloom.sources import tables
@@ -42,7 +43,7 @@ def _chunks(spark, sf_dir, size: int = SIZE):
 
 
 def _rounded(c: str):
-    return F.transform(c, lambda v: F.round(v, 6) + 0.0).alias(c)
+    return F.transform(c, lambda v: P.round_half_away(v, 6) + 0.0).alias(c)
 
 
 LONG = f"WITH RECURSIVE {S.SAMPLES_SQL}, clean AS (SELECT session_id, idx, unnest([0, 1, 2]) AS ch, unnest([CASE WHEN isnan(v) THEN 0 ELSE v END, k, ref]) AS x FROM samples)"

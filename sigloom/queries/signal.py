@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.nearest import nearest_within
@@ -106,8 +106,10 @@ def vector_distances(spark, sf_dir):
 
 @register(f"{_PAIR} SELECT subject_id, i, j, list_transform(list_zip(a, b), lambda p: round(p[2] - p[1], 6)) AS difference, list_transform(a, lambda v: round(sqrt(greatest(0, 2 * (1 - v))), 6)) AS far FROM pairs WHERE j = i + 1")
 def difference_vector(spark, sf_dir):
-    p = _pairs(spark, sf_dir).filter("j = i + 1")
-    r = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    along = Window.partitionBy("subject_id").orderBy("i")
+    rows = _indexed(spark, sf_dir).select("subject_id", "i", F.col("sample").alias("a"), F.lead("i").over(along).alias("j"), F.lead("sample").over(along).alias("b"))
+    p = rows.filter("j IS NOT NULL")
+    r = lambda c: F.transform(c, lambda v: P.round_half_away(v, 6))
     return p.select("subject_id", "i", "j", r(P.difference_vector(F.col("a"), F.col("b"))).alias("difference"), r(P.correlation_distance(F.col("a"))).alias("far"))
 
 
