@@ -28,8 +28,14 @@ def asof_state(samples: DataFrame, states: DataFrame, value: str = "state", key:
     return merged.join(opening, [key, "__slot"]).withColumn(value, F.coalesce("__now", "__first")).select(*samples.columns, value)
 
 
-def interval_join(samples: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, bucket: int = 4096) -> DataFrame:
-    """Samples inside [start, end) of an interval of their key: an equi-join on buckets of ``at``, then the exact test."""
+def interval_join(samples: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
+    """Samples inside [start, end) of an interval of their key: an equi-join on buckets of ``at``, then the exact test.
+
+    A ``bucket`` is the intervals' mean length unless given, so that all together they are in at most three times as many buckets as there are intervals.
+    """
+    if bucket is None:
+        mean = intervals.filter(F.col(end) > F.col(start)).agg(F.ceil(F.avg(F.col(end) - F.col(start)))).first()[0]
+        bucket = max(1, int(mean or 1))
     spread = intervals.filter(F.col(end) > F.col(start)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
     keyed = samples.withColumn("__b", F.floor(F.col(at) / bucket))
     return keyed.join(spread, [key, "__b"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
