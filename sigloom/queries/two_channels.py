@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import matrix
 from sigloom.operators import aggregates as A
-from sigloom.operators import joins as J
 from sigloom.operators import projections as P
 from sigloom.operators import windows as W
 from sigloom.plans import evaluate as E
@@ -227,9 +226,8 @@ def pipeline_steps_2ch(spark, sf_dir):
 )
 def reference_weighted_2ch(spark, sf_dir):
     rows = staged2(spark, sf_dir)
-    general = matrix.general_mean(stage(matrix.subject_means(rows), "means")).select(F.col("mean").alias("g"))
-    pairs = J.pairs_within(rows.withColumn("tangent", P.flatten_upper(F.col("cov"), 2)), "tangent").crossJoin(F.broadcast(general))
-    return pairs.select("subject_id", "i", "j", F.round(matrix.weighted_reference_distance("a", "b", "g"), 9).alias("d"))
+    found = E.reference_pairs(rows.withColumn("tangent", P.flatten_upper(F.col("cov"), 2)), "tangent", matrix.general_mean(stage(matrix.subject_means(rows), "means")))
+    return found.select("subject_id", "i", "j", P.round_half_away(F.col("d"), 9).alias("d"))
 
 
 _MATRIX_SQL = {
