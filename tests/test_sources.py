@@ -2,7 +2,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter
 
+from sigloom.queries import sessions as session_queries
 from sigloom.schemas import EPOCHS, require_columns
 from sigloom.sources import tables
 
@@ -77,3 +79,11 @@ def test_machine_tables(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b, c"):
         require_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b", "c"])
+
+
+def test_stand_in_sessions_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    """Sessions are few bytes: left to their size, all of their files would be one task's."""
+    seen, write = [], DataFrameWriter.csv
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, *a, **k: (seen.append(self._df.rdd.getNumPartitions()), write(self, *a, **k))[1])
+    rows = session_queries.QUERIES["discover_sessions"](spark, sf_dir).collect()
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and rows and rows == sorted(rows)
