@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sigloom.llm.staging import rank_within, running_total, stage
 
 OVERHEAD = 8
+#: While labels propagate, a shard may take so many times its share: what is above it moves on by whole groups afterwards.
+SLACK = 1.1
 
 
 def _uniform(*columns) -> F.Column:
@@ -35,13 +37,15 @@ def odds(asks: dict[tuple[int, int], int], room: list[float]) -> list[float]:
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: float, rounds: int = 4) -> DataFrame:
     """(``node``, ``size``, ``label``) after ``rounds`` of label propagation; ``edges`` (``a``, ``b``) have a < b, each once.
 
-    A node starts where its smallest neighbour, or itself if that is smaller, hashes to, so that a star starts together. In a round a node asks
+    A node starts at its ``label``, if ``nodes`` has one; else where its smallest neighbour, or itself if that is smaller, hashes to. In a round a node asks
     for the label that most neighbours have (of equals the smallest), and requests are granted under quotas (see ``odds``), by a hash
     of the node and the round. In even rounds only smaller neighbours count, so that two neighbours do not swap labels for ever; in odd rounds
     all do, and half of the nodes hold still. Loads and requests, ``shards`` squared rows, are all that the driver sees.
     """
-    smallest = edges.groupBy(F.col("b").alias("__b")).agg(F.min("a").alias("__a"))
-    start = nodes.join(smallest, F.col("node") == F.col("__b"), "left").withColumn("label", F.pmod(F.xxhash64(F.coalesce("__a", "node")), F.lit(shards)).cast("int"))
+    start = nodes
+    if "label" not in nodes.columns:
+        smallest = edges.groupBy(F.col("b").alias("__b")).agg(F.min("a").alias("__a"))
+        start = nodes.join(smallest, F.col("node") == F.col("__b"), "left").withColumn("label", F.pmod(F.xxhash64(F.coalesce("__a", "node")), F.lit(shards)).cast("int"))
     labels = stage(start.select("node", "size", "label"), "labels")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     for step in range(rounds):
@@ -107,7 +111,8 @@ def shard_documents(df: DataFrame, shards: int = 24, rounds: int = 4, id_col: st
     """One row per document: id, ``size``, ``text_crc32``, ``law`` (bytes), ``shard``, ``slot``, ``grown_shard`` (null).
 
     Sizes (bytes and 8) of the shards are equal but for about a document, the largest. Documents with equal texts (null: empty) are linked to the
-    first of them and propagate labels; shards that get too much pass whole groups on (see ``even_out``), and the documents without copies fill
+    first of them. Each starts where it hashes to itself, and propagation brings those of a group together, up to ``SLACK`` of a shard's size; shards that
+    get too much pass whole groups on (see ``even_out``), and the documents without copies fill
     what is left. A group larger than a shard is split among shards. Each row is a node of its own, so null ids and repeated rows are
     shards' rows like any other. Slots are gapless from 0 in each shard. Other columns are not read. An empty table gives no rows.
     """
@@ -119,7 +124,8 @@ def shard_documents(df: DataFrame, shards: int = 24, rounds: int = 4, id_col: st
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     edges = stage(linked.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
     nodes = linked.filter("hub IS NOT NULL").select("node", "size", "hub")
-    labels = propagate(nodes.select("node", "size"), edges, shards, total / shards, rounds)
+    apart = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label")
+    labels = propagate(nodes.select("node", "size", apart), edges, shards, SLACK * total / shards, rounds)
     grouped = labels.join(nodes.select(F.col("node").alias("__node"), F.col("hub").alias("group")), F.col("node") == F.col("__node")).drop("__node")
     labels = even_out(stage(grouped.select("node", "group", "size", "label"), "grouped"), shards, total / shards)
     loads = _loads(labels, shards)

@@ -80,3 +80,25 @@ def test_shards_are_even_and_copies_together(spark, size, groups):
     together, copies = sum(max(c.values()) for c in held.values() if sum(c.values()) > 1), sum(sum(c.values()) for c in held.values() if sum(c.values()) > 1)
     if 1 < size < 100:
         assert together >= 0.95 * copies
+
+
+def test_propagation_is_what_brings_copies_together(spark, monkeypatch):
+    """Without its rounds copies stay where each hashes to; with them nearly all of a group share a shard."""
+    rows = [(k, f"text {k // 4}" if k < 800 else f"other {k}") for k in range(1600)]
+    df, given, moved = spark.createDataFrame(rows, "doc_id long, text string"), sharding.propagate, []
+
+    def watched(nodes, *rest):
+        out = given(nodes, *rest)
+        moved.append(out.join(nodes.select("node", nodes["label"].alias("before")), "node").filter("label <> before").count())
+        return out
+
+    def main(rounds):
+        held = defaultdict(Counter)
+        for x in sharding.shard_documents(df, 6, rounds).collect():
+            if x.doc_id < 800:
+                held[x.doc_id // 4][x.shard] += 1
+        return sum(max(c.values()) for c in held.values())
+
+    monkeypatch.setattr(sharding, "propagate", watched)
+    assert main(0) < 500 and main(4) >= 760
+    assert moved[0] == 0 and moved[1] > 400
