@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
+from sigloom.llm import near_copies as near_copies_module
 from sigloom.llm import exact_dedup, mixing, near_copies
 
 
@@ -114,3 +115,14 @@ def test_stages_keep_all_columns(spark, clashing, nothing):
     assert sorted(t or "" for t in kept) == sorted({r["text"] or "" for r in df.collect()})
     long = [r["doc_id"] for r in near_copies.drop_near_copies(df).filter("doc_id IN (6, 7)").collect()]
     assert long == [6]
+
+
+def test_linked_fingerprints_propose(spark, monkeypatch):
+    """A word of many changed: SimHash links the texts, and what it proposes is compared."""
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"v{k}" for k in range(600))]
+    seen, given = [], near_copies_module.fingerprint_pairs
+    monkeypatch.setattr(near_copies_module, "fingerprint_pairs", lambda df: (seen.append(given(df)), seen[-1])[1])
+    kept = near_copies_module.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2]
+    assert len(seen) == 1 and seen[0].count() == 1
