@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm.staging import small_batches
+from sigloom.llm.exact_dedup import filter_room
+from sigloom.llm.staging import small_batches, stage, wrapped
+from sigloom.llm.tokens import drop_encoders
 
 FOLDS = 5
+#: A digest in hex, and what a row of a broadcast takes besides.
+_GONE_BYTES = 200
 
 
 @dataclass
@@ -133,6 +137,7 @@ def _judge(texts: list[str], model: Model) -> tuple[list[str], list[float], list
     The lift is how far the score is on its way from what a text without any n-gram of the landmarks gets for that label to 1. Scores
     over the labels sum to 1, so the best one alone is never low. With a single label, which everything gets, the lift is 1.
     """
+    drop_encoders()
     labels, scores, lifts = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     known = [i for i, t in enumerate(texts) if model.labels and has_letter(t)]
     for k in range(0, len(known), model.settings.batch):
@@ -202,16 +207,20 @@ def keep_identified(df: DataFrame, model: Model, least: float, text_col: str = "
     """The rows of ``df``, all columns, whose language ``judge`` names with a score of ``least`` and a lift of ``lift`` or more; ``und`` never stays.
 
     Only the text says whether a row stays: null and empty texts and those without a letter go, repeated rows stay or go together, and other columns, of any
-    names, come back as they are. An empty table gives no rows.
+    names, come back as they are. An empty table gives no rows. Texts are judged here, in small batches, and the digests of those that go are staged.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        kept = []
-        for k in range(0, len(texts), 512):
-            found = _judge([(t or b"").decode("utf-8", "replace") for t in texts[k : k + 512].to_pylist()], shared.value)
-            kept += [x != "und" and y >= least and z >= lift for x, y, z in zip(*found, strict=True)]
-        return pa.array(kept, pa.bool_())
+    spark, shared = df.sparkSession, df.sparkSession.sparkContext.broadcast(model)
+    digest = lambda text: F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)
 
-    return df.filter(known(F.col(text_col).cast("binary")))
+    def run(batches):
+        for batch in batches:
+            found = _judge([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()], shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([x == "und" or y < least or z < lift for x, y, z in zip(*found, strict=True)], pa.bool_()))], ["gone"])
+
+    texts = df.select(digest(F.col(text_col)), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    with small_batches(spark, 512):
+        gone = stage(texts.mapInArrow(run, "gone string").distinct(), "unidentified")
+    # While they fit, no row has to move.
+    if gone.count() * _GONE_BYTES <= filter_room(spark):
+        gone = F.broadcast(gone)
+    return wrapped(df).join(gone, digest(F.col("row")[text_col]) == F.col("gone"), "left_anti").select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -123,3 +124,10 @@ class Encoder:
 def encoder(path: str, kept_words: int = 120_000, width: int = 4) -> Encoder:
     """The process's encoder: a Python worker keeps it, and the ids of frequent words, from task to task."""
     return Encoder(path, kept_words, width)
+
+
+def drop_encoders() -> None:
+    """Free what ``encoder`` keeps: a worker that goes on with another operator's tasks needs the room."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its words refer to each other

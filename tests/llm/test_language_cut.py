@@ -3,7 +3,8 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from sigloom.llm import langid
+from sigloom.llm import langid, tokens
+from sigloom.llm.queries import tokenizer_path
 
 UNLEARNED = [
     "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. ",
@@ -32,3 +33,17 @@ def test_cut_without_right_predictions_or_with_one_language(spark):
     assert langid.keep_identified(one, model, 0.2, lift=langid.least_lift(one, model)).count() == 20
     assert langid.least_lift(one.withColumn("lang", F.lit("fr")), model) == 0
     assert langid.least_lift(one.limit(0), model) == 0
+
+
+def test_texts_are_judged_before_the_rows_are_asked_for(spark):
+    """What is judged later is judged in batches of the session's size, whatever this operator asks for."""
+    docs = spark.createDataFrame([(k, f"some words {'here' if k % 2 else '1 2 3'}" if k % 3 else None, "en") for k in range(20)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs, langid.fit(docs), 0.2)
+    assert "Python" not in (plan := kept._jdf.queryExecution().toString()) and "InArrow" not in plan
+    assert {r.doc_id for r in kept.collect()} == {k for k in range(20) if k % 3}
+
+
+def test_a_worker_that_judges_keeps_no_tokenizer():
+    tokens.encoder(tokenizer_path(), 50)
+    langid.judge(["some words"], langid.Model([], None, None, None, langid.Settings()))
+    assert not tokens.encoder.cache_info().currsize
