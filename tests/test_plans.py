@@ -170,6 +170,40 @@ def test_points_by_rounds_fit_as_those_of_one_task(spark):
     assert np.allclose([[r.x, r.y] for r in sorted(one)], [[r.x, r.y] for r in sorted(many)], atol=1e-6)
 
 
+def test_points_of_several_blocks_in_one_task_and_by_rounds(spark):
+    """Points from blocks of distances, and from pairs with other indexes, are those of one matrix, and groups of one point have none."""
+    random = np.random.RandomState(7)
+    x = {1: random.normal(size=(259, 4, 9)), 2: random.normal(size=(3, 4, 9)), 3: random.normal(size=(1, 4, 9))}
+    c = {g: v @ v.swapaxes(1, 2) for g, v in x.items()}
+    rows = spark.createDataFrame([(g, i, m.ravel().tolist()) for g in c for i, m in enumerate(c[g])], "subject_id long, i long, cov array<double>")
+    blocks = stage(E.riemann_blocks(rows), "blocks")
+    assert {(r.g, r.p, r.q): len(r.block) for r in blocks.collect()} == {(1, 0, 0): 8 * 256**2, (1, 0, 1): 8 * 256 * 3, (1, 1, 1): 8 * 9, (2, 0, 0): 8 * 9}
+    pairs = stage(E.riemann_pairs(rows).withColumns({c: F.when(F.col("subject_id") == 2, 10 * F.col(c) - 7).otherwise(F.col(c)) for c in "ij"}), "pairs")
+    one = matrix.mds_embed(blocks, rounds=3).collect()
+    assert sorted((r.subject_id, r.i) for r in one) == [(1, i) for i in range(259)] + [(2, i) for i in range(3)]
+    for more in (matrix.mds_embed(blocks, rounds=3, largest=100), matrix.mds_embed(pairs, rounds=3).withColumn("i", F.when(F.col("subject_id") == 2, (F.col("i") + 7) / 10).otherwise(F.col("i")))):
+        assert np.allclose([[r.i, r.x, r.y] for r in sorted(one)], [[r.i, r.x, r.y] for r in sorted(more.collect())], atol=1e-9)
+    fused = W.temporal_distance_fused(E.riemann_pairs(rows.filter("subject_id = 1")))
+    gaps, wanted = np.zeros((259, 259)), {(r.i, r.j): r.fused for r in fused.collect()}
+    for r in matrix.fused_blocks(blocks.filter("g = 1")).collect():
+        d = np.frombuffer(r.block).reshape(min(256, 259 - 256 * r.p), -1)
+        gaps[256 * r.p : 256 * r.p + d.shape[0], 256 * r.q : 256 * r.q + d.shape[1]] = d
+    assert np.allclose([gaps[k] for k in wanted], list(wanted.values()), atol=1e-12) and len(wanted) == 259 * 258 // 2
+
+
+def test_an_embedding_makes_no_row_of_a_pair(spark, sf_dir, monkeypatch):
+    rows, kept = [], stage
+
+    def counted(df, label):
+        out = kept(df, label)
+        rows.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr("sigloom.sources.staging.stage", counted)
+    assert matrix.mds_embed(E.riemann_blocks(spark.createDataFrame([(1, i, [2.0 + i, 0.5, 0.5, 3.0]) for i in range(60)], "subject_id long, i long, cov array<double>"))).count() == 60
+    assert max(rows)[0] <= 60
+
+
 def test_subjects_without_a_matrix_are_errors(spark, epochs, rows):
     some = rows.filter("subject_id <> 2")
     means = stage(matrix.subject_means(some), "some")
