@@ -1,16 +1,19 @@
-"""Spelling variants: words walked through a trie kept as a table, a level a join, with one edit at most."""
+"""Spelling variants: words meet by what is left of them without one code point; very long ones are walked through a trie with one edit at most."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.llm.staging import shuffle_files_dropped, stage, unstage
 from sigloom.llm.substrings import mixed, powers
 
-LETTER = "[A-Za-zÀ-ÿ]"
+#: One by one, as Java looks single letters up in a table but tries ranges in turn.
+LETTER = "[" + "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)])) + "]"
+#: Code points of a word that is written out once for each of them; for longer ones that would be too much.
+LONG = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BASE = 0xA0761D6478BD642F
 
@@ -22,11 +25,14 @@ def noisy_words(df: DataFrame, id_col: str, text_col: str, least_length: int, ev
     more are given; a shorter run gives none.
     """
     runs = F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"{LETTER}{{{least_length},}}"), F.lit(0)))
-    found = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), runs.alias("run")).select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
-    found = found.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
+    found = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), runs.alias("raw"))
+    lowered = F.when(F.octet_length("raw") == F.char_length("raw"), F.lower("raw")).otherwise(F.translate("raw", _UPPER, _LOWER))
+    found = found.select("raw", "id", lowered.alias("run")).select("raw", "run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
+    # Said of raw runs and not of the words: Spark tests it before it works words out, and would work each out twice.
+    found = found.filter((F.char_length("raw") > least_length) | (F.col("h") % every != 0))
     at = (F.col("h") % F.char_length("run")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
-    return found.select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("word")).filter(F.char_length("word") >= least_length)
+    return found.select(F.when(F.col("h") % every == 0, cut).otherwise(F.col("run")).alias("word"))
 
 
 def _tail_nodes(batches):
@@ -137,23 +143,63 @@ def _last_forms(forms: DataFrame) -> DataFrame:
     return ways.select("word", "root")
 
 
+def _with(s, i, c):
+    """``s`` with ``c`` as its ``i``-th code point (from 1)."""
+    return F.concat(F.substring(s, F.lit(1), i - 1), c, F.substring(s, i, F.char_length(s)))
+
+
+def cut_links(words: DataFrame) -> DataFrame:
+    """(word, n, near, best): rows whose ``near`` add up to the number of words one edit away, and whose least ``best`` is the first of these.
+
+    ``best`` is a struct of ``n``, negative, and ``form``; null: none. Every word of ``words`` (distinct, ``word``, ``n``) has a row. A row of the shuffle is a word without its ``i``-th
+    code point ``c``, or (``i`` 0) the whole word. Words that agree in what is left and in ``i`` differ by one replacement, and do so in no other place. What is left may also be
+    a word itself: a deletion, which counts only at the last of equal code points. So no pair is met twice, and rows of what is left are counted, not paired;
+    there are no more of them than letters times places in a word.
+    """
+    i = F.col("i")
+    left = F.when(i == 0, F.col("word")).otherwise(F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.char_length("word"))))
+    cuts = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.char_length("word"))).alias("i")).select(left.alias("s"), "i", F.when(i > 0, F.substring("word", i, F.lit(1))).otherwise("").alias("c"), "n")
+    same = Window.partitionBy("s")
+    alike = Window.partitionBy("s", "i").orderBy(F.desc("n"), "c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = cuts.repartition("s").sortWithinPartitions("s", "i", F.desc("n"), "c").withColumns({"k": F.count("*").over(same), "whole": F.max(F.when(i == 0, F.col("n"))).over(same)}).filter((F.col("k") > 1) | (i == 0))
+    longer = (i > 0) & F.col("whole").isNotNull() & (F.substring("s", i, F.lit(1)) != F.col("c"))
+    met = met.withColumn("word", F.when(i == 0, F.col("s")).otherwise(_with(F.col("s"), i, F.col("c")))).withColumn("longer", longer)
+    met = met.withColumns({"n_longer": F.count_if("longer").over(same), "best_longer": F.min(F.when(F.col("longer"), F.struct((-F.col("n")).alias("n"), F.col("word").alias("form")))).over(same)})
+    met = met.withColumns({"m": F.count("*").over(alike), **{f"{x}{k}": F.nth_value(x, k).over(alike) for x in "nc" for k in (1, 2)}})
+    n, c = (F.when(F.col("c") == F.col("c1"), F.col(f"{x}2")).otherwise(F.col(f"{x}1")) for x in "nc")
+    replaced = F.when(F.col("m") > 1, F.struct((-n).alias("n"), _with(F.col("s"), i, c).alias("form")))
+    other = F.when(i == 0, F.col("best_longer")).when(F.col("longer"), F.struct((-F.col("whole")).alias("n"), F.col("s").alias("form")))
+    near = F.col("m") - 1 + F.when(i == 0, F.col("n_longer")).otherwise(F.col("longer").cast("long"))
+    return met.select("word", "n", near.alias("near"), F.least(replaced, other).alias("best"), "i").filter((i == 0) | (F.col("near") > 0)).drop("i")
+
+
+def walked_links(words: DataFrame) -> DataFrame:
+    """As ``cut_links``, a row a pair, for words of more than ``LONG`` code points and their links with those of ``LONG``."""
+    long, size = words.filter(F.char_length("word") >= LONG), F.char_length
+    pairs = neighbours(long.select("word")).filter((size("word") > LONG) | (size("other") > LONG))
+    counts = long.select(F.col("word").alias("__o"), F.col("n").alias("__n"))
+    met = pairs.join(counts, F.col("other") == F.col("__o"))
+    links = met.select("word", F.lit(None).cast("long").alias("n"), F.lit(1).cast("long").alias("near"), F.struct((-F.col("__n")).alias("n"), F.col("other").alias("form")).alias("best"))
+    own = long.filter(size("word") > LONG).select("word", "n", F.lit(0).cast("long").alias("near"), F.lit(None).cast(links.schema["best"].dataType).alias("best"))
+    return links.unionByName(own)
+
+
 def spelling_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 7, least_count: int = 2, factor: int = 10, every: int = 31) -> DataFrame:
     """Per word: ``form``, ``root``, ``n``, ``n_near``, ``form_n``.
 
     Words are those of ``noisy_words`` that occur ``least_count`` times or more. ``n_near``: words one edit away (0: none); ``form``: the most frequent of them
     (ties: the first by code points) if it is ``factor`` times as frequent as the word or more, else null, as ``form_n``, its count; ``root``: from the word,
     forms followed to the last. Null and empty texts have no word, repeated rows count as often as they come, other columns are not read. An empty table
-    gives no rows. Words are counted before they shuffle; a hot word or node is in joins that Spark splits.
+    gives no rows. Words are counted before they shuffle; a word's links are bounded by its length, and are counted where they meet.
     """
     spark = df.sparkSession
     with shuffle_files_dropped(spark):
         words = stage(noisy_words(df, id_col, text_col, least_length, every).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_count), "words")
-        pairs = neighbours(words.select("word"))
-        counts = words.select(F.col("word").alias("__o"), F.col("n").alias("__n"))
-        met = pairs.join(counts, F.col("other") == F.col("__o"))
-        near = met.groupBy(F.col("word").alias("__w")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("__n")).alias("n"), F.col("other").alias("form"))).alias("best"))
+        links = cut_links(words.filter(F.char_length("word") <= LONG))
+        if not words.filter(F.char_length("word") > LONG).isEmpty():
+            links = links.unionByName(walked_links(words))
+        judged = links.repartition("word").groupBy("word").agg(F.max("n").alias("n"), F.sum("near").alias("n_near"), F.min("best").alias("best"))
         takes = -F.col("best.n") >= factor * F.col("n")
-        judged = words.join(near, F.col("word") == F.col("__w"), "left")
-        judged = stage(judged.select("word", F.when(takes, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(takes, -F.col("best.n")).alias("form_n")), "forms")
+        judged = stage(judged.select("word", F.when(takes, F.col("best.form")).alias("form"), "n", "n_near", F.when(takes, -F.col("best.n")).alias("form_n")), "forms")
         roots = _last_forms(judged.filter("form IS NOT NULL")).select(F.col("word").alias("__w"), F.col("root").alias("__root"))
     return judged.join(roots, F.col("word") == F.col("__w"), "left").select("word", "form", F.coalesce("__root", "word").alias("root"), "n", "n_near", "form_n")

@@ -80,3 +80,35 @@ def test_odd_rows(spark, odd, nothing, clashing):
     assert sorted(map(tuple, spelling.spelling_groups(names).collect())) == brute(rows)
     found = spelling.spelling_groups(nothing)
     assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"] and found.count() == 0
+
+
+def test_words_are_worked_out_once_and_pairs_are_not_written(spark, monkeypatch):
+    """The work grew with repeated expressions and with rounds of staged states; now words, links' sums and roots are staged."""
+    rows = [(k, " ".join("abcdef" + chr(97 + j) * 2 for j in range(26)) + " ÀBCDEFgh Àbcdefgi") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = spelling.noisy_words(df, "doc_id", "text", 7, 31)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("crc32(") <= 2 and plan.count("translate(") <= 2
+    staged, stage = [], spelling.stage
+    monkeypatch.setattr(spelling, "stage", lambda table, label: staged.append(label) or stage(table, label))
+    assert sorted(map(tuple, spelling.spelling_groups(df).collect())) == brute(rows)
+    assert set(staged) == {"words", "forms", "roots"}
+
+
+def test_links_are_counted_where_words_meet(spark):
+    words = [("abcdef" + chr(97 + j), 100 - j) for j in range(26)] + [("abcdefaa", 7), ("abcdefba", 9)]
+    links = spelling.cut_links(spark.createDataFrame(words, "word string, n long")).collect()
+    # A row for what is left of a word with others, not one for each of 26 * 25 pairs.
+    assert len(links) < 4 * len(words)
+    assert sum(r["near"] for r in links) == sum(one_edit(a, b) for a, _ in words for b, _ in words)
+
+
+def test_long_words_meet_those_of_the_limit(spark):
+    r, rows, n = random.Random(7), [], spelling.LONG
+    for size in (n - 2, n - 1, n, n + 1, n + 2):
+        word = "".join(r.choice("ab") for _ in range(size))
+        for k, times in ((0, 1000), (r.randrange(size), 60), (size - 1, 3)):
+            rows += [(times, f"{word} " * times), (times, f"{word[:k]}{word[k + 1 :]} " * 4 + f"{word[:k]}c{word[k:]} " * (times // 10 + 2) + f"{word[:k]}é{word[k + 1 :]} " * 2)]
+    found = sorted(map(tuple, spelling.spelling_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    assert found == brute(rows)
+    sizes = {(len(w), len(f)) for w, f, *_ in found if f}
+    assert {(n, n + 1), (n + 1, n), (n, n), (n + 1, n + 1)} <= sizes
