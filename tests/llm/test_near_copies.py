@@ -126,3 +126,25 @@ def test_linked_fingerprints_propose(spark, monkeypatch):
     kept = near_copies_module.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [0, 2]
     assert len(seen) == 1 and seen[0].count() == 1
+
+
+def test_pairs_of_buckets_of_two(spark):
+    """Two groups around 2 and 3, linked by 0 and 1 alone: what these share is a bucket without any other text, and each shares more with the middle of its own group."""
+    r = random.Random(3739)
+
+    def edited(words, n, tag):
+        out = list(words)
+        for at in r.sample(range(2, len(words) - 2, 5), n):
+            out[at] = f"{tag}{at}"
+        return out
+
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    zero, one = edited(base, 2, "a"), edited(base, 2, "b")
+    two, three = edited(zero, 3, "c"), edited(one, 3, "d")
+    rest = [edited(words, 3, f"e{4 + 5 * k + j}_") for k, words in enumerate((two, three)) for j in range(5)]
+    texts = {k: " ".join(words) for k, words in enumerate([zero, one, two, three, *rest])}
+    least, pairs = brute(texts)
+    across = [(a, b) for a, b in pairs if (a in {0, 2, *range(4, 9)}) != (b in {0, 2, *range(4, 9)})]
+    assert across == [(0, 1)] and set(least.values()) == {0}
+    found = {x["id"]: x["component_id"] for x in near_copies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == least
