@@ -73,3 +73,24 @@ def test_word_hashes_tell_words_apart():
     assert of.tolist() == [2, 2, 2, 3, 4, 4, 5]
     assert words[0] == words[5] and words[1] == words[6] and len(np.unique(words)) == 5
     assert substrings.word_hashes(pa.array(texts).slice(2, 2))[0].tolist() == words[:4].tolist()
+
+
+def test_shuffles_grow_with_the_input(spark, sf_dir, monkeypatch):
+    """A task's share of a shuffle is bounded, and so is a row group of what is staged; the settings are as before afterwards."""
+    from sigloom.llm import staging
+    from sigloom.sources import staging as tables
+
+    seen, given = [], substrings.stage
+    monkeypatch.setattr(substrings, "stage", lambda df, label: (seen.append([int(spark.conf.get(f"spark.sql.{c}")) for c in ("shuffle.partitions", "adaptive.advisoryPartitionSizeInBytes")]), given(df, label))[1])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(substrings, "enough_partitions", lambda df: staging.enough_partitions(df, 10_000))
+    before = [spark.conf.get(f"spark.sql.{c}") for c in ("shuffle.partitions", "adaptive.advisoryPartitionSizeInBytes")]
+    rows = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.cut_repeats(docs).collect())
+    assert [spark.conf.get(f"spark.sql.{c}") for c in ("shuffle.partitions", "adaptive.advisoryPartitionSizeInBytes")] == before
+    assert seen and all(n > 10 and size == 20_000 for n, size in seen)
+    assert rows == sorted(brute([(r.doc_id, r.text) for r in docs.collect()]))
+    long = tables.stage(spark.range(4000, numPartitions=1).select(F.expr("transform(sequence(0, 1500), k -> xxhash64(id, k))").alias("v")), "long")
+    import pyarrow.parquet as pq
+
+    parts = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in long.inputFiles()]
+    assert max(m.row_group(k).total_byte_size for m in parts for k in range(m.num_row_groups)) < 40 << 20
