@@ -57,3 +57,14 @@ def test_no_pair_moves(spark, rows):
         assert W.temporal_distance_fused(both).count() == n * (n - 1) // 2
         sizes.append(written(spark) - before)
     assert sizes[1] < 16 * sizes[0]
+
+
+def test_a_row_shuffles_as_often_as_there_are_tiles(spark, rows):
+    """Eight times the rows of a key shuffle about eight times as much, however many blocks of the least size they have."""
+    sizes = []
+    for copies in (4, 32):
+        many = spark.range(copies).crossJoin(rows.filter("subject_id = 'a'")).withColumn("i", (F.col("i") + 90 * F.col("id")).cast("int"))
+        before, n = written(spark), 90 * copies
+        assert pairs.measured_pairs(many, {"e": ("v", pairs.euclidean)}, block=32).count() == n * (n - 1) // 2
+        sizes.append(written(spark) - before)
+    assert sizes[1] < 12 * sizes[0]
